@@ -18,7 +18,8 @@ from .words import word_count
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK = 2048
-CHUNK = 1 << 16  #: slots, or rows, aimed at in one task of a running count
+CHUNK = 1 << 16  #: slots made by one task at most
+BUCKET = 1 << 13  #: slots, or rows, aimed at in one bucket of a running sum
 
 
 @dataclass
@@ -70,7 +71,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     source's texts is a fixed mix of the id (of the size where that is null), then id and size. Rows without words take
     nothing; repeated rows each take their own; an empty table gives no rows and no slots. extra: columns to carry along.
 
-    Running sums over a source, and ranks of its slots, go by buckets of about CHUNK rows, so a source with most rows is no
+    Running sums over a source, and ranks of its slots, go by buckets of at most about BUCKET rows, so a source with most rows is no
     single task. The per-source table is the only one that meets in one task: a few numbers for each source.
     """
     ident = F.col(id_col).cast("long")
@@ -86,7 +87,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     chunks = t.filter("slots > 0").select("s", "first", "slots", "blocks", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("chunk")).repartition("s", "chunk")
     slots = chunks.select("s", "slots", "blocks", "rest", F.explode(F.sequence(F.col("first") + F.col("chunk") * CHUNK, F.col("first") + F.least("slots", (F.col("chunk") + 1) * CHUNK) - 1)).alias("j"))
     slots = slots.withColumn("position", _reversed(F.col("j"), bits))
-    slots = _running(slots, F.shiftright("position", max(0, min(bits, 16))).cast("long"), ["position"], F.lit(1).cast("long"), "rank")
+    slots = _running(slots, F.shiftright("position", min(bits, 13)).cast("long"), ["position"], F.lit(1).cast("long"), "rank")
     slots = slots.withColumn("epoch", F.expr("`rank` div blocks")).withColumn("block", F.expr("`rank` % blocks"))
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
     slots = slots.select("s", "position", "rank", "epoch", "block", F.when(last, F.col("rest") - F.col("block") * block).otherwise(F.lit(block)).alias("limit"))
@@ -94,7 +95,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     placed = rows.withColumnRenamed("source", "src").join(t.select("source", "s", F.col("size").alias("source_size"), "target"), F.col("src").eqNullSafe(F.col("source"))).drop("src")
     none = placed.filter("size = 0").select("*", F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("taken"))
     mix = F.pmod(F.pmod(F.coalesce("id", "size"), F.lit(1 << 31)) * F.lit(2654435761) + F.lit(97531), F.lit(1 << 32))
-    buckets = max(1, rows.count() // CHUNK * 4 + 1)
+    buckets = rows.count() // BUCKET + 1
     some = placed.filter("size > 0").withColumn("mix", mix)
     some = _running(some, F.shiftright(F.col("mix") * F.lit(buckets), 32), ["mix", F.col("id").asc_nulls_first(), "size"], F.col("size"), "begin")
     keys = ["s", "begin"]
