@@ -1,0 +1,144 @@
+"""Schemas of common binary formats, and which one a file name or media type calls for."""
+
+from __future__ import annotations
+
+from pathlib import PurePosixPath
+
+_INTS = """
+let U = integer { @signed: false; @endian: 'little'; };
+let B = integer { @signed: false; @endian: 'big'; };
+let lu8 = byte <> U;  let lu16 = [2] byte <> U;  let lu32 = [4] byte <> U;  let ls64 = [8] byte <> integer { @signed: true; @endian: 'little'; };
+let bu8 = byte <> B;  let bu16 = [2] byte <> B;  let bu32 = [4] byte <> B;  let bu64 = [8] byte <> B;
+let CString = string { @boundary: '\\0'; };
+"""
+
+#: name -> (schema text, the type of a whole file, extensions, media types)
+FORMATS: dict[str, tuple[str, str, tuple[str, ...], tuple[str, ...]]] = {
+    "gzip": (
+        _INTS
+        + """
+let File = struct { members: [] Part; };
+let Part = struct {
+    magic: [2] byte; method: lu8; flags: lu8; modified: lu32; effort: lu8; system: lu8;
+    let ?has_checksum = (flags & 2) != 0;  let ?has_extra = (flags & 4) != 0;  let ?has_name = (flags & 8) != 0;  let ?has_comment = (flags & 16) != 0;
+    if (?has_extra) { extra_size: lu16; extra: [extra_size] byte <> [] Extra; }
+    if (?has_name) { name: CString; }
+    if (?has_comment) { comment: CString; }
+    if (?has_checksum) { header_crc: lu16; }
+    body: deflate { @output_size: size; };
+    crc: lu32; size: lu32;
+};
+let Extra = struct { tag: [2] byte; n: lu16; data: [n] byte; };
+""",
+        "File", (".gz", ".tgz"), ("application/gzip", "application/x-gzip"),
+    ),
+    "tar": (
+        _INTS
+        + """
+let Octal = CString <> formatted_integer { @base: 8; @empty_value: 0; };
+let File = struct { entries: [] Entry; };
+let Entry = struct {
+    head: Head;
+    pages: [(head.size + 511) / 512] Page;
+    let ?content = pages <> [head.size] byte;
+    @key: head.name;
+};
+let Page = [512] byte;
+let Head = struct {
+    @span: 512;
+    name: [100] byte <> CString; mode: [8] byte <> Octal; user: [8] byte <> Octal; group: [8] byte <> Octal; size: [12] byte <> Octal; modified: [12] byte <> Octal; checksum: [8] byte <> Octal;
+    kind: byte <> CString; link: [100] byte <> CString; magic: [6] byte <> CString; version: [2] byte; user_name: [32] byte <> CString; group_name: [32] byte <> CString;
+    major: [8] byte; minor: [8] byte; prefix: [155] byte <> CString;
+};
+""",
+        "File", (".tar",), ("application/x-tar",),
+    ),
+    "sorted_table": (
+        _INTS
+        + """
+let File = struct {
+    body: [] byte;
+    foot: struct { @span: 48; meta: Handle; index: Handle; [] byte; magic: [8] byte; };
+    let ?index = foot.index;  let ?meta = foot.meta;
+    let Handle = struct { at: varint; n: varint; let ?block = body[at .. at + n + sizeof(Tail)] <> Stored; };
+    let Tail = struct { kind: lu8; crc: lu32; };
+    let Stored = struct {
+        if (tail.kind == 0) { Block; } else if (tail.kind == 1) { snappy <> Block; }
+        tail: Tail;
+    };
+    let Block = struct { entries: [] Entry; restarts: [n_restarts] lu32; n_restarts: lu32; };
+    let Entry = struct { shared: varint; unshared: varint; n: varint; key_end: [unshared] byte; value: [n] byte; };
+};
+""",
+        "File", (".ldb", ".sst"), (),
+    ),
+    "block_log": (
+        _INTS
+        + """
+let File = struct { blocks: [] Full; rest: Partial; };
+let Full = struct { @span: 32768; records: [] Record; fill: [] byte; };
+let Partial = struct { records: [] Record; };
+let Record = struct { @minspan: 7; crc: lu32; n: lu16; kind: lu8; data: [n] byte <> string; };
+""",
+        "File", (".log",), (),
+    ),
+    "mp4": (
+        _INTS
+        + """
+let Code = [4] byte <> string;
+let File = struct { boxes: [] Box; };
+let Box = struct {
+    head: struct { size: bu32; code: Code; };
+    @span: head.size;  @minspan: 8;  @key: head.code;
+    if (head.code == 'ftyp') { brand: Code; brand_version: bu32; compatible: [] Code; }
+    else if (head.code == 'moov' || head.code == 'trak' || head.code == 'mdia' || head.code == 'minf' || head.code == 'stbl' || head.code == 'dinf' || head.code == 'edts' || head.code == 'udta') { boxes: [] Box; }
+    else if (head.code == 'mvhd' || head.code == 'mdhd') {
+        version: bu8; flags: [3] byte;
+        if (version == 1) { created: bu64; modified: bu64; timescale: bu32; duration: bu64; } else { created: bu32; modified: bu32; timescale: bu32; duration: bu32; }
+        rest: [] byte;
+    }
+    else if (head.code == 'hdlr') { version: bu8; flags: [3] byte; quicktime: Code; handler: Code; reserved: [12] byte; name: string; }
+    else if (head.code == 'stsd' || head.code == 'dref') { version: bu8; flags: [3] byte; n: bu32; boxes: [n] Box; }
+    else if (head.code == 'stts') { version: bu8; flags: [3] byte; n: bu32; times: [n] struct { count: bu32; delta: bu32; }; }
+    else if (head.code == 'stsc') { version: bu8; flags: [3] byte; n: bu32; chunks: [n] struct { first: bu32; samples: bu32; description: bu32; }; }
+    else if (head.code == 'stsz') { version: bu8; flags: [3] byte; size: bu32; n: bu32; if (size == 0) { sizes: [n] bu32; } }
+    else if (head.code == 'stco' || head.code == 'stss') { version: bu8; flags: [3] byte; n: bu32; values: [n] bu32; }
+    else if (head.code == 'co64') { version: bu8; flags: [3] byte; n: bu32; values: [n] bu64; }
+    else { data: [] byte; }
+};
+""",
+        "File", (".mp4", ".m4a", ".mov"), ("video/mp4",),
+    ),
+    "ogg": (
+        _INTS
+        + """
+let File = struct { pages: [] Page; };
+let Page = struct {
+    head: struct { magic: [4] byte <> string; version: lu8; flags: lu8; granule: ls64; stream: lu32; number: lu32; crc: lu32; n: lu8; sizes: [n] lu8; };
+    parts: [head.n] Part;
+    let Part = struct { data: [?size] byte; let ?size = head.sizes[index(parts, self)]; };
+};
+""",
+        "File", (".ogg", ".oga", ".ogv"), ("application/ogg", "audio/ogg"),
+    ),
+    "key_value_log": (
+        _INTS + "let File = struct { records: [] Record; };  let Record = struct { flags: bu8; key_n: bu32; key: [key_n] byte <> string; n: bu32; value: [n] byte; @key: key; };",
+        "File", (".dumbdb", ".kvlog"), (),
+    ),
+    "word_list": ("let File = [] Entry;  let Entry = struct { word: string { @boundary: '\\n'; }; @key: word; };", "File", (".dict", ".words"), ()),
+}
+
+
+def find_format(path: str | None = None, extension: str | None = None, mimetype: str | None = None) -> str | None:
+    """Name of the format that a path, extension or media type calls for."""
+    ext = (extension if extension is None or extension.startswith(".") else f".{extension}") or (PurePosixPath(path).suffix if path else None)
+    for name, (_, _, extensions, types) in FORMATS.items():
+        if ext and ext.lower() in extensions or mimetype and mimetype in types:
+            return name
+    return None
+
+
+def schema_of(name: str) -> tuple[str, str]:
+    """(schema text, type of a whole file)"""
+    text, top, _, _ = FORMATS[name]
+    return text, top

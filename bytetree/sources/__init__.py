@@ -1,0 +1,26 @@
+"""Where bytes come from: files, columns and buffers, as DataFrames with one source a row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, content): each file is a row; partition columns and path filters prune files."""
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+
+
+def buffers(spark: SparkSession, data: dict[str, bytes]) -> DataFrame:
+    """(name, content) of in-memory bytes."""
+    return spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "name string, content binary")
+
+
+def fixed_records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(content): the records of flat files of fixed-width records, split by byte range, so one huge file is many tasks."""
+    return spark.sparkContext.binaryRecords(path, width).map(lambda r: (bytearray(r),)).toDF("content binary")
+
+
+def with_extension(df: DataFrame, column: str = "path") -> DataFrame:
+    return df.withColumn("extension", F.regexp_extract(column, r"(\.[^./]+)$", 1))
