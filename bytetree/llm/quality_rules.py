@@ -15,7 +15,7 @@ from .words import SPACES, bind, words
 
 BINS = 2000
 # rule -> (least spread in units of the measure): limits lie REACH spreads beyond a quartile
-RULES = {"symbol_share": 20, "dup_line_share": 100, "repeat_share": 60, "word_length": 100}
+RULES = {"symbol_share": 20, "dup_line_share": 100, "repeat_share": 110, "word_length": 100}
 REACH = 3
 LEAST_ROWS = 50  #: a source of fewer rows takes the limits of its language, a language of fewer those of everything
 SYMBOLS = "#*$%&|<>"

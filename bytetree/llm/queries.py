@@ -151,7 +151,7 @@ rp AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY k, gram) AS c
 rw AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest(range(p, p + 3)) AS q FROM rp) GROUP BY k),
 m AS (SELECT w.k, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rw USING (k)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(least(1000 * n_symbols // nullif(word_chars, 0), 1999), 0) AS symbol_share, coalesce(least(1000 * n_dup_lines // nullif(n_lines, 0), 1999), 0) AS dup_line_share, coalesce(least(1000 * n_repeat_words // nullif(n_words, 0), 1999), 0) AS repeat_share, coalesce(least(100 * word_chars // nullif(n_words, 0), 1999), 0) AS word_length FROM m),
-st AS (SELECT lang, source, 'symbol_share' AS rule, 20 AS spread, symbol_share AS bin FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_line_share', 100, dup_line_share FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'repeat_share', 60, repeat_share FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'word_length', 100, word_length FROM b WHERE NOT base_failed),
+st AS (SELECT lang, source, 'symbol_share' AS rule, 20 AS spread, symbol_share AS bin FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_line_share', 100, dup_line_share FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'repeat_share', 110, repeat_share FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'word_length', 100, word_length FROM b WHERE NOT base_failed),
 qa AS (SELECT lang, source, rule, spread, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3, count(*) AS n FROM st GROUP BY ALL),
 qb AS (SELECT lang, rule, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3, count(*) AS n FROM st GROUP BY ALL),
 qc AS (SELECT rule, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM st GROUP BY ALL),
