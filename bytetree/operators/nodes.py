@@ -63,7 +63,7 @@ def node_rows(top: Box, deepest: int) -> Iterator[tuple]:
                     n = i + 1
                     key_, rank = None, 0
                     if keyed:
-                        key_ = box.key_of(i)
+                        key_ = box.key_in(b)
                         rank = seen.get(key_, 0)
                         seen[key_] = rank + 1
                     if depth < deepest:

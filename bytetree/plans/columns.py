@@ -205,3 +205,40 @@ def assemble(rt: Runtime, leaves: list[Leaf], data: Column, at: Column, depth: i
     for leaf in leaves:
         groups.setdefault(leaf.path[depth], []).append(leaf)
     return F.struct(*(assemble(rt, g, data, at, depth + 1).alias(k) for k, g in groups.items()))
+
+
+# ---------------------------------------------------------------- delimited items
+@dataclass
+class Delimited:
+    """Items that each end at a constant boundary, bare or as the only field of a structure."""
+
+    boundary: bytes
+    field: str | None
+
+
+def delimited(rt: Runtime, stages: list[Stage]) -> Delimited | None:
+    """How the items of an array without a length are delimited, if that is all there is to them."""
+    if len(stages) != 1 or stages[0].kind != "array" or rt.array_of(stages[0]).length is not None or rt.is_bytes(stages[0]):
+        return None
+    items, name = rt.item_stages(stages[0]), None
+    if len(items) != 1 or len(items[0]) != 1 or rt.last_attr(items[0]):
+        return None
+    st = items[0][0]
+    if st.kind == "struct":
+        block = st.block
+        if len(block.fields) != 1 or block.fields[0].name is None or block.fields[0].conds or any(a.name != "@key" for a in block.attrs):
+            return None
+        c, name = rt.choices(block.fields[0].expr), block.fields[0].name
+        if len(c) != 1 or len(c[0]) != 1:
+            return None
+        st = c[0][0]
+    edge = rt._attr_const(st, "@boundary") if st.kind == "string" and len(st.attr("@boundary")) == 1 else None
+    return Delimited(edge, name) if edge else None
+
+
+def split_items(d: Delimited, data: Column) -> Column:
+    """The items of `data` as an array of latin-1 text, a character for each byte; no item after a boundary that ends the data."""
+    text = F.decode(data, "ISO-8859-1")
+    parts = F.split(text, "\\Q" + d.boundary.decode("latin-1").replace("\\E", "\\E\\\\E\\Q") + "\\E")
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.when(F.length(data) > 0, whole).otherwise(F.array().cast("array<string>"))

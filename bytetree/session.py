@@ -186,6 +186,20 @@ class Items:
         rt = self.session.local.rt
         return K.member_layout(rt, c[0], name) if name else K.layout_of(rt, c[0])
 
+    def delimiter(self) -> K.Delimited | None:
+        """How the items of `source <> Type` are delimited, if nothing else makes them up."""
+        e = self.node
+        if self.source is None or not isinstance(e, Chain) or not isinstance(e.left, Name) or e.left.name != self.source:
+            return None
+        c = self.session.local.rt.choices(e.right)
+        return K.delimited(self.session.local.rt, c[0]) if len(c) == 1 else None
+
+    def _split(self, d: K.Delimited) -> DataFrame:
+        df, keys, column = self._input()
+        rows = df.select(*keys, F.posexplode(K.split_items(d, F.coalesce(F.col(column).cast("binary"), F.lit(b"")))).alias("ordinal", "item"))
+        item = F.encode("item", "ISO-8859-1")
+        return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), (F.struct(item.alias(d.field)) if d.field else item).alias("item"))
+
     def _input(self) -> tuple[DataFrame, list[str], str]:
         if self.source is None:
             df = self.session.spark.createDataFrame([(bytearray(),)], "content binary")
@@ -267,6 +281,9 @@ class Items:
         layout = self.layout() if self.strategy != "decoder" else None
         if layout is not None:
             return self._catalyst(layout)
+        split = self.delimiter() if self.strategy != "decoder" else None
+        if split is not None:
+            return self._split(split)
         if self.strategy == "catalyst":
             raise ExprError("the layout isn't constant")
         kind = self.item_schema()

@@ -50,6 +50,17 @@ def test_strategies_agree(spark, spec, expr):
     assert "Python" not in plan and "MapInArrow" not in plan
 
 
+@pytest.mark.parametrize("boundary,data", [("\\n", [b"a\nb\n\nc", b"", b"\n", b"x\n", b"\n\ny"]), ("ab", [b"1ab2aab", b"ab", b"a", b"\xff\x00ab\xe9"]), (".", [b"a.b", b"..", b"\\E.\\Q"])])
+def test_delimited_items_agree(spark, boundary, data):
+    s = Session(spark)
+    s.add_spec("Spec", f"let Bare = [] string {{ @boundary: '{boundary}'; }};  let Boxed = [] struct {{ w: string {{ @boundary: '{boundary}'; }}; @key: w; }};")
+    s.add_data_source("data", buffers(spark, {str(i): d for i, d in enumerate(data)}))
+    for t in ("Bare", "Boxed"):
+        fast, slow = (s.eval(f"data <> Spec.{t}", how).rows().select("name", "ordinal", "item") for how in ("auto", "decoder"))
+        assert "MapInArrow" not in fast._jdf.queryExecution().toString()
+        assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+
+
 def test_modes_and_statuses(spark):
     s = Session(spark)
     s.add_spec("Spec", BASE + "let Schema = struct { n: u8; t: [n] byte <> formatted_integer; };")
