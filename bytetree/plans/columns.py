@@ -217,23 +217,9 @@ class Delimited:
 
 
 def delimited(rt: Runtime, stages: list[Stage]) -> Delimited | None:
-    """How the items of an array without a length are delimited, if that is all there is to them."""
-    if len(stages) != 1 or stages[0].kind != "array" or rt.array_of(stages[0]).length is not None or rt.is_bytes(stages[0]):
-        return None
-    items, name = rt.item_stages(stages[0]), None
-    if len(items) != 1 or len(items[0]) != 1 or rt.last_attr(items[0]):
-        return None
-    st = items[0][0]
-    if st.kind == "struct":
-        block = st.block
-        if len(block.fields) != 1 or block.fields[0].name is None or block.fields[0].conds or any(a.name != "@key" for a in block.attrs):
-            return None
-        c, name = rt.choices(block.fields[0].expr), block.fields[0].name
-        if len(c) != 1 or len(c[0]) != 1:
-            return None
-        st = c[0][0]
-    edge = rt._attr_const(st, "@boundary") if st.kind == "string" and len(st.attr("@boundary")) == 1 else None
-    return Delimited(edge, name) if edge else None
+    """How the items of an array are delimited, if that is all there is to them."""
+    d = rt.delimited(stages[0]) if len(stages) == 1 else None
+    return Delimited(d[0], d[1].fields[0].name if d[1] is not None else None) if d else None
 
 
 def split_items(d: Delimited, data: Column) -> Column:

@@ -216,7 +216,7 @@ class Items:
         """Keys and `made` columns: each(run, data) yields tuples for one source row."""
         df, keys, column = self._input()
         program, mode = self._program(), self.mode
-        src = df.select(*keys, F.col(column).cast("binary").alias(column))
+        src = _spread(df.select(*keys, F.col(column).cast("binary").alias(column)))
         out = T.StructType([*(src.schema[k] for k in keys), *made.fields])
         arrow = to_arrow_schema(T.StructType(made.fields))
         n = len(keys)
@@ -364,6 +364,15 @@ class Items:
         return yaml.safe_dump_all(self.python(), default_flow_style=False)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df, dealt out where a plain scan gives fewer partitions than there are cores: decoding costs more than moving few rows.
+    Inputs with a shuffle of their own are left to adaptive execution."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString()[:200]:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _deep(v):
     return v.deep() if isinstance(v, Box) else v
 
