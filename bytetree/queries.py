@@ -404,7 +404,7 @@ class Shout:
         return bytes(data).replace(b"the", b"THE")
 
 
-@query("udf_function", "SELECT n_nationkey AS k, n_nationkey + 42 AS value FROM nation")
+@query("udf_function", "SELECT n_nationkey AS k, CAST(n_nationkey + 42 AS BIGINT) AS value FROM nation")
 def udf_function(spark, d):
     n = _table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.unhex(E.u_be(F.col("n_nationkey"), 1)).alias("content"))
     s = Session(spark)
