@@ -2,7 +2,7 @@
 
 * `fingerprints` makes one fingerprint a row from hashed word shingles.
 * `link_fingerprints` splits the distinct fingerprints by their Hamming distance to vantage points. The top of the tree is
-  fitted on a bounded, hash-ordered sample and shipped to the executors; every distinct fingerprint is filed in one leaf and
+  fitted on a bounded sample drawn by hash and shipped to the executors; every distinct fingerprint is filed in one leaf and
   also asks each leaf that the triangle bound can't rule out. Leaves are searched exactly, in parallel.
 * `near_groups` adds the connected components.
 * `similar_groups` is the wide-radius form for a Jaccard threshold (see there).
@@ -198,6 +198,13 @@ def link_leaf(points: np.ndarray, members: np.ndarray, visitors: np.ndarray, rad
 
 
 # ---------------------------------------------------------------- distributed search
+def _sample(fps: DataFrame, n: int, size: int) -> np.ndarray:
+    """About `size` of the n distinct fingerprints, those of the smallest hashes, in a fixed order: 8 bytes each on the driver."""
+    part = int(min(1.0, size / max(n, 1)) * (1 << 30))
+    got = fps.select("fp").filter(F.xxhash64("fp").bitwiseAND(F.lit((1 << 30) - 1)) < part).toPandas()["fp"].to_numpy(np.int64)
+    return np.random.default_rng(SEED).permutation(np.sort(got)).view(np.uint64)
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> DataFrame:
     """Distinct signed longs in column fp -> edges (u, v) that connect exactly what links of at most `radius` bits connect.
 
@@ -207,8 +214,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> Data
     spark = fps.sparkSession
     n = fps.count()
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, MAX_DEPTH))
-    sample = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_LEAF << depth).collect()] if depth else []
-    tree = spark.sparkContext.broadcast(fit_tree(np.array(sample, np.int64).view(np.uint64), depth))
+    tree = spark.sparkContext.broadcast(fit_tree(_sample(fps, n, SAMPLE_PER_LEAF << depth) if depth else np.empty(0, np.uint64), depth))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
