@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -134,6 +135,49 @@ def test_similar_texts(spark, odd, none):
     assert left == [-1, 1, 4, 7, 8, 9, 10, 12]
 
 
+def edited(text, share, seed):
+    r = random.Random(seed)
+    return " ".join(w if r.random() > share else f"x{r.randrange(10**6)}" for w in text.split())
+
+
+def shingle_sets(texts, words=5):
+    split = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in split]
+
+
+@pytest.mark.parametrize("group", [512, 4])  # at 4, nearly every file goes by pivots and pieces
+def test_similar_groups_against_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "PIECE", 8)
+    passage = prose(60, 7)
+    base = [prose(120, 900 + i) for i in range(12)]
+    texts = [f"{edited(b, share, 31 * i + j)} {passage}" for i, b in enumerate(base) for j, share in enumerate((0, 0.01, 0.02, 0.03, 0.05, 0.1))]
+    sets = shingle_sets(texts)
+    root = list(range(len(texts)))
+    unsure = set()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        similar = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        if abs(similar - 0.8) < 0.03:
+            unsure |= {i, j}
+        elif similar > 0.8:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r.id: r.kept for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    clear = [i for i in root if not any(root[u] == root[i] for u in unsure)]
+    assert len(set(clear)) > 20
+    assert {i for i in got if got[i] and i in clear} == set(clear)
+
+
+def test_signatures_tell_similarity():
+    r = np.random.default_rng(1)
+    for n in (40, 400, 20_000):
+        h = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 2 * n, dtype=np.uint64)
+        for shift, close in ((0, True), (n // 20, True), (n // 5, False), (n, False)):
+            a, b = np.unique(h[:n]), np.unique(h[shift : n + shift])
+            sets = S._Sets([S.signature(a).tobytes(), S.signature(b).tobytes()], [len(a), len(b)])
+            assert sets.near(sets.sig[0], sets.full[0], sets.n[0], 0.8).tolist() == [True, close]
+
+
 # ---------------------------------------------------------------- 2
 def plain_jump(key, n):
     b, j = -1, 0
