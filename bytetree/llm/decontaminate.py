@@ -203,10 +203,14 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, min_items: int = 1, max_share: float = 0.0, text_col: str = "text") -> DataFrame:
-    """df without the rows of which windows of at least `min_items` items cover more than `max_share` of the words."""
+def decontaminate(df: DataFrame, benchmark: DataFrame, min_items: int = 1, least_words: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """df without the rows in which windows of at least `min_items` items cover `least_words` words, or the whole text.
+
+    So an item shorter than that, which common prose may hold by chance, costs no longer text its place. Rows without words stay;
+    nulls, repeats and empty tables as in `overlaps`.
+    """
     marked = overlaps(df, benchmark, text_col)
     words, spans, items = marked.columns[-3:]
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    bad = (F.size(items) >= min_items) & (hit > max_share * F.col(words))
+    bad = (F.size(items) >= min_items) & (hit >= F.least(F.lit(least_words).cast("long"), F.col(words)))
     return marked.filter(~bad).select(*df.columns)

@@ -296,6 +296,16 @@ def test_overlaps(spark, odd, none, limit, monkeypatch):
     assert clean.columns == odd.columns and clean.count() == sum(not x[1] for x in got)
 
 
+def test_short_items_cost_no_longer_text_its_place(spark):
+    item = prose(20, 3)
+    texts = ["what is it", "What is it?", prose(60, 1) + " what is it " + prose(60, 2), prose(40, 4) + " " + " ".join(item.split()[5:13]), prose(40, 5) + " " + " ".join(item.split()[5:12]), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "what is it"), (2, item)], "item_id long, text string")
+    assert [r.doc_id for r in D.decontaminate(df, bench).orderBy("doc_id").collect()] == [2, 4, 5, 6]
+    assert [r.doc_id for r in D.decontaminate(df, bench, least_words=3).orderBy("doc_id").collect()] == [4, 5, 6]
+
+
+
 def test_winnowing_matches_every_window():
     r = random.Random(3)
     for _ in range(20):
