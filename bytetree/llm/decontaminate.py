@@ -140,14 +140,16 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The items with words, INDEX_BYTES of text or so at a time, dealt by a hash of id and text."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks there are, at least one, and the items of each: INDEX_BYTES of text or so, dealt by a hash of id and text.
+
+    A text that stands under several ids counts, and is dealt, once for each.
+    """
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // INDEX_BYTES)
-    for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t.encode()) for r in part.collect()]
+    n = max(1, -(-size // INDEX_BYTES))
+    parts = (rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n))
+    return n, ([(r.i, r.t.encode()) for r in part.collect()] for part in parts)
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", prefix: str = "bench") -> DataFrame:
@@ -166,22 +168,16 @@ def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     spark = df.sparkSession
     names = [fresh(df, f"{prefix}_{x}") for x in ("words", "spans", "items")]
     kinds = ["bigint", "array<struct<start:bigint,end:bigint>>", "array<string>"]
-    first = df.select("*", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
-    out, blocks = first, list(_sizes_only(benchmark, bench_col))
-    parts = _blocks(benchmark, item_col, bench_col)
-    for number in range(max(1, blocks[0])):
-        index = spark.sparkContext.broadcast(Index(next(parts, [])))
+    out = df.select("*", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
+    n, parts = _blocks(benchmark, item_col, bench_col)
+    for number, part in enumerate(parts, 1):
+        index = spark.sparkContext.broadcast(Index(part))
         out = out.mapInArrow(_marker(index, df.columns.index(text_col), len(df.columns)), out.schema)
-        if number + 1 < blocks[0]:
+        if number < n:
             out = cut(out)
     return out
 
 
-def _sizes_only(benchmark: DataFrame, text_col: str) -> tuple[int]:
-    size = benchmark.select(text_col).distinct().agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return (-(-size // INDEX_BYTES),)
-
-
 def _marker(index, text_at: int, own: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -296,6 +296,16 @@ def test_overlaps(spark, odd, none, limit, monkeypatch):
     assert clean.columns == odd.columns and clean.count() == sum(not x[1] for x in got)
 
 
+def test_one_text_under_many_ids_is_indexed_whole(spark, monkeypatch):
+    texts = [prose(20, 500 + i) for i in range(3)]
+    monkeypatch.setattr(D, "INDEX_BYTES", sum(map(len, texts)))  # one block of distinct texts, four of pairs
+    items = [(f"{i}-{k}", t) for i, t in enumerate(texts) for k in range(4)] + [("own", prose(5, 600))]
+    docs = [(i, f"{prose(30, 510 + i)} {t} {prose(30, 520 + i)}") for i, t in enumerate([*texts, items[-1][1]])]
+    marked = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    got = {r.doc_id: (r.bench_words, sum(x.end - x.start for x in r.bench_spans), r.bench_items) for r in marked.collect()}
+    assert got == {i: brute_overlap(t, items) for i, t in docs}
+
+
 def test_short_items_cost_no_longer_text_its_place(spark):
     item = prose(20, 3)
     texts = ["what is it", "What is it?", prose(60, 1) + " what is it " + prose(60, 2), prose(40, 4) + " " + " ".join(item.split()[5:13]), prose(40, 5) + " " + " ".join(item.split()[5:12]), "", None]
