@@ -261,7 +261,6 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 # ---------------------------------------------------------------- wide radius
 ANCHORS = 12
-SURE = 6  #: anchors that decide: texts of similarity 0.8 share none of six given ones with probability 0.2**6
 BINS = 1024  #: of a signature, one byte each
 GROUP = 512  #: files up to this size are compared in one piece
 PIECE = 4096  #: rows of a side in one piece of a larger file
@@ -285,7 +284,12 @@ class _Sets:
         self.sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, BINS)
         self.full, self.n = np.packbits(self.sig > 0, axis=1).view(np.uint64), np.asarray(n, np.int64)
 
-    def near(self, sig: np.ndarray, full: np.ndarray, n, similarity: float, among: np.ndarray | None = None) -> np.ndarray:
+    def only(self, rows: np.ndarray) -> _Sets:
+        out = object.__new__(_Sets)
+        out.sig, out.full, out.n = self.sig[rows], self.full[rows], self.n[rows]
+        return out
+
+    def near(self, sig: np.ndarray, full: np.ndarray, n, similarity: float, among: slice | None = None) -> np.ndarray:
         """Which sets (of the rows `among`) are similar to the given one, or row by row to the given ones."""
         s, f, m = (self.sig, self.full, self.n) if among is None else (self.sig[among], self.full[among], self.n[among])
         both_empty = BINS - np.bitwise_count(f | full).sum(1, dtype=np.int64)
@@ -296,7 +300,8 @@ class _Sets:
 def link_file(sets: _Sets, similarity: float, members: np.ndarray | None = None, queries: np.ndarray | None = None) -> np.ndarray:
     """Roots of the links between similar sets: of all pairs, or of each query with each member.
 
-    Of all pairs, those of two sets that are both similar to the first set need no look: they are linked through it.
+    Of all pairs, those of two sets that are both similar to the first set need no look: they are linked through it. Members lie
+    in the order of their sizes, and a query looks at those whose size allows the similarity.
     """
     rows = np.arange(len(sets.n))
     links = _Links(len(rows))
@@ -304,8 +309,11 @@ def link_file(sets: _Sets, similarity: float, members: np.ndarray | None = None,
         members, at = rows, np.flatnonzero(sets.near(sets.sig[0], sets.full[0], sets.n[0], similarity))
         links.add(at, np.zeros(len(at), np.int64))
         queries = np.setdiff1d(rows[1:], at)
-    for q in queries:
-        at = members[sets.near(sets.sig[q], sets.full[q], sets.n[q], similarity, members)]
+    members = members[np.argsort(sets.n[members], kind="stable")]
+    held = sets.only(members)
+    lo, hi = np.searchsorted(held.n, np.floor(similarity * sets.n[queries])), np.searchsorted(held.n, np.ceil(sets.n[queries] / similarity), "right")
+    for q, a, b in zip(queries, lo, hi, strict=True):
+        at = members[a:b][held.near(sets.sig[q], sets.full[q], sets.n[q], similarity, slice(a, b))]
         links.add(at, np.full(len(at), q))
     return links.roots()
 
@@ -356,9 +364,8 @@ def _search(rows: DataFrame, similarity: float) -> DataFrame:
 def _large_files(filed: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (u, v) of the files over GROUP rows; None if there are none.
 
-    Every row is compared with its file's pivot; rows similar to it are linked through it. A row with SURE other anchors meets
-    all that it is similar to in the smaller files. Any other row that is not similar to the pivot is compared with the whole
-    file, piece by piece.
+    Every row is compared with its file's pivot; rows similar to it are linked through it. Any other row is compared with the
+    whole file, piece by piece, so two similar sets of a file are linked whatever their other anchors are.
     """
     pivots = sizes.filter(F.col("size") > GROUP).select("anchor", "size", F.col("pivot.k").alias("k")).join(sets.select("k", "n", "sig"), "k")
     pivots = cut(pivots.select("anchor", "size", F.col("k").alias("pk"), F.col("n").alias("pn"), F.col("sig").alias("psig")))
@@ -371,16 +378,14 @@ def _large_files(filed: DataFrame, sizes: DataFrame, sets: DataFrame, similarity
             for a in range(0, len(whole), PIECE):
                 b = whole.iloc[a : a + PIECE]
                 p = _Sets(b["psig"], b["pn"])
-                yield b[["anchor", "size", "k", "pk", "loose"]].assign(near=_Sets(b["sig"], b["n"]).near(p.sig, p.full, p.n, similarity))
+                yield b[["anchor", "size", "k", "pk"]].assign(near=_Sets(b["sig"], b["n"]).near(p.sig, p.full, p.n, similarity))
 
     met = filed.join(pivots.select("anchor"), "anchor", "left_semi")
-    large = met.groupBy("k").agg(F.count("*").alias("large"))
-    of_set = sets.select("k", "n", "sig", F.size("anchors").alias("own")).join(large, "k").select("k", "n", "sig", (F.col("own") - F.col("large") < SURE).alias("loose"))
-    judged = met.join(of_set, "k").join(pivots, "anchor").select("anchor", "size", "k", "n", "sig", "pk", "pn", "psig", "loose")
-    judged = cut(judged.mapInPandas(compare, "anchor long, size long, k long, pk long, loose boolean, near boolean"))
+    judged = met.join(sets.select("k", "n", "sig"), "k").join(pivots, "anchor").select("anchor", "size", "k", "n", "sig", "pk", "pn", "psig")
+    judged = cut(judged.mapInPandas(compare, "anchor long, size long, k long, pk long, near boolean"))
     links = judged.filter(F.col("near") & (F.col("k") != F.col("pk"))).select(F.col("k").alias("u"), F.col("pk").alias("v"))
 
-    asked = judged.filter(F.col("loose") & ~F.col("near"))
+    asked = judged.filter(~F.col("near"))
     asking = cut(asked.groupBy("anchor").agg(F.count("*").alias("asks")))
     if not asking.limit(1).count():
         return links

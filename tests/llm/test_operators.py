@@ -168,6 +168,25 @@ def test_similar_groups_against_all_pairs(spark, monkeypatch, group):
     assert {i for i in got if got[i] and i in clear} == set(clear)
 
 
+def test_tails_on_one_frequent_passage(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 4)
+    passage = prose(100, 41)
+    own = set(map(int, S.shingle_hashes(passage.encode(), 5)))
+    texts, few, many = [passage], 0, 0
+    for seed in itertools.count():  # of each text that holds the passage, half the anchors and more are its own, or few are
+        text = f"{passage} {edited(prose(18, 7), 1, seed)}"
+        alone = sum(int(x) not in own for x in np.unique(S.shingle_hashes(text.encode(), 5))[: S.ANCHORS])
+        if (keep := alone >= 6) and many < 6 or alone <= 2 and few < 12:
+            texts.append(text)
+            many, few = many + keep, few + (not keep)
+        if many == 6 and few == 12:
+            break
+    sets = shingle_sets(texts)
+    assert all(len(sets[0] & s) / len(sets[0] | s) > 0.83 for s in sets) and len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.75
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.id for r in got if r.kept] == [0]
+
+
 def test_signatures_tell_similarity():
     r = np.random.default_rng(1)
     for n in (40, 400, 20_000):
