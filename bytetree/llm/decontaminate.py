@@ -163,11 +163,17 @@ def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     The corpus is read once, in place, with no shuffle. The index of the benchmark is broadcast; a benchmark of more than
     INDEX_BYTES is worked through block by block, with a checkpoint after each, so what executors hold has a fixed bound.
     """
+    marked = _marked(df, benchmark, text_col, item_col, bench_col, prefix)
+    return marked.drop(marked.columns[-1])
+
+
+def _marked(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, bench_col: str, prefix: str) -> DataFrame:
+    """`overlaps` with a fourth column: how many words the longest item of fewer than WINDOW words has that lies whole in the text."""
     from .common import fresh
 
     spark = df.sparkSession
-    names = [fresh(df, f"{prefix}_{x}") for x in ("words", "spans", "items")]
-    kinds = ["bigint", "array<struct<start:bigint,end:bigint>>", "array<string>"]
+    names = [fresh(df, f"{prefix}_{x}") for x in ("words", "spans", "items", "whole")]
+    kinds = ["bigint", "array<struct<start:bigint,end:bigint>>", "array<string>", "bigint"]
     out = df.select("*", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
     n, parts = _blocks(benchmark, item_col, bench_col)
     for number, part in enumerate(parts, 1):
@@ -182,14 +188,15 @@ def _marker(index, text_at: int, own: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch, text_at):
-                old_spans, old_items = b.column(own + 1).to_pylist(), b.column(own + 2).to_pylist()
-                n, spans, items = [], [], []
-                for (words, found, owners), s, i in zip(index.value.find(texts_of(b.column(text_at).cast(pa.string()))), old_spans, old_items, strict=True):
+                old = (b.column(own + k).to_pylist() for k in (1, 2, 3))
+                n, spans, items, whole = [], [], [], []
+                for (words, found, owners), s, i, most in zip(index.value.find(texts_of(b.column(text_at).cast(pa.string()))), *old, strict=True):
                     n.append(words)
                     spans.append([{"start": a, "end": e} for a, e in _union([(int(a), int(a + k)) for a, k in found] + [(x["start"], x["end"]) for x in s or ()])])
                     items.append(sorted({index.value.items[o] for o in owners} | set(i or ())))
+                    whole.append(int(max(most or 0, found[found[:, 1] < WINDOW, 1].max(initial=0))))
                 cols = [b.column(c) for c in range(own)]
-                made = [pa.array(x, b.schema.field(own + k).type) for k, x in enumerate((n, spans, items))]
+                made = [pa.array(x, b.schema.field(own + k).type) for k, x in enumerate((n, spans, items, whole))]
                 yield pa.RecordBatch.from_arrays([*cols, *made], schema=b.schema)
 
     return run
@@ -199,14 +206,16 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, min_items: int = 1, least_words: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """df without the rows in which windows of at least `min_items` items cover `least_words` words, or the whole text.
+def decontaminate(df: DataFrame, benchmark: DataFrame, min_items: int = 1, least_words: int = WINDOW, text_col: str = "text", least_item: int = GRAM) -> DataFrame:
+    """df without the rows that share windows with at least `min_items` items, if the windows cover `least_words` words or the
+    whole text, or if an item of fewer than WINDOW words but at least `least_item` lies whole in the text.
 
     So an item shorter than that, which common prose may hold by chance, costs no longer text its place. Rows without words stay;
     nulls, repeats and empty tables as in `overlaps`.
     """
-    marked = overlaps(df, benchmark, text_col)
-    words, spans, items = marked.columns[-3:]
+    marked = _marked(df, benchmark, text_col, "item_id", "text", "bench")
+    words, spans, items, whole = marked.columns[-4:]
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    bad = (F.size(items) >= min_items) & (hit >= F.least(F.lit(least_words).cast("long"), F.col(words)))
+    covered = hit >= F.least(F.lit(least_words).cast("long"), F.col(words))
+    bad = (F.size(items) >= min_items) & (covered | (F.col(whole) >= least_item))
     return marked.filter(~bad).select(*df.columns)

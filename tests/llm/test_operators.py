@@ -333,6 +333,16 @@ def test_short_items_cost_no_longer_text_its_place(spark):
     assert [r.doc_id for r in D.decontaminate(df, bench).orderBy("doc_id").collect()] == [2, 4, 5, 6]
     assert [r.doc_id for r in D.decontaminate(df, bench, least_words=3).orderBy("doc_id").collect()] == [4, 5, 6]
 
+@pytest.mark.parametrize("limit", [32 << 20, 40])  # at 40, the items lie in several blocks
+def test_whole_short_items_are_removed_from_longer_texts(spark, limit, monkeypatch):
+    monkeypatch.setattr(D, "INDEX_BYTES", limit)
+    short = {n: " ".join(f"{w}{n}" for w in "which of these seas is largest".split()[: n]) for n in (4, 5, 6)}
+    texts = [f"{prose(40, 1)} {x} {prose(40, 2)}" for x in (short[4], short[5], short[6], short[6].rsplit(" ", 1)[0])]
+    df = spark.createDataFrame([*enumerate(texts), (4, ""), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([*short.items(), (9, prose(20, 3))], "item_id long, text string")
+    assert [r.doc_id for r in D.decontaminate(df, bench).orderBy("doc_id").collect()] == [0, 3, 4, 5]
+    assert D.overlaps(df, bench).columns == ["doc_id", "text", "bench_words", "bench_spans", "bench_items"]
+
 
 
 def test_winnowing_matches_every_window():
