@@ -33,6 +33,12 @@ def test_query_equals_sql(spark, duck, name):
     assert cells(map(tuple, got.select(*cols).collect())) == cells(want)
 
 
+def test_file_filter_reads_all_of_its_lookup_table(spark, tmp_path):
+    spark.createDataFrame([(3, "R3"), (17, "R17")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert sorted(map(tuple, QUERIES["file_filter"](spark, str(tmp_path)).collect())) == [(3, "N3"), (17, "N17")]
+
+
 RECORDS = "let Rec = struct { k: u64; c: s32; l: u16l; t: [5] byte <> NulText; in: struct { a: u8; raw: [2] byte; }; };"
 
 
