@@ -30,8 +30,9 @@ def format_key(key, twin: int = 0) -> str:
     return quoted + (f"{{{twin}}}" if twin else "")
 
 
-def node_rows(top: Box, deepest: int) -> Iterator[tuple]:
-    """Rows of NODE_SCHEMA for top and what lies below it, in preorder. Unreadable nodes carry their status."""
+def node_rows(top: Box, deepest: int | None = None) -> Iterator[tuple]:
+    """Rows of NODE_SCHEMA for top and what lies below it, down to depth `deepest` or all, in preorder. Unreadable nodes carry their status."""
+    deepest = float("inf") if deepest is None else deepest
     spaces: dict[int, int] = {}
     held: list = []  # sources stay alive, so their identity stays theirs
     count = 0

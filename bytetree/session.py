@@ -316,8 +316,8 @@ class Items:
         item = K.assemble(self.session.local.rt, layout.leaves, F.col(column), at)
         return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), item.alias("item"))
 
-    def nodes(self, depth: int = 64) -> DataFrame:
-        """The node table: one row for each box below the expression, in preorder (columns: NODE_SCHEMA)."""
+    def nodes(self, depth: int | None = None) -> DataFrame:
+        """The node table: one row for each box below the expression, down to `depth` if one is given, in preorder (columns: NODE_SCHEMA)."""
 
         def each(run, data):
             v = run(data)

@@ -97,6 +97,20 @@ def test_node_table_and_cursor(spark):
     assert N.reverse(n).first().node_id == n.count() - 1 and N.at_path(n, '["b"].v').first().v_int == 2
 
 
+def test_node_table_has_every_level(spark):
+    s = Session(spark)
+    s.add_spec("Spec", BASE + "let Box = struct { size: u8; kind: u8; @span: size; if (kind == 1) { x: [] Box; } else { x: u8; } };  let Schema = [] Box;")
+    levels = 100
+    data = b"\3\0\7"
+    for _ in range(levels - 1):
+        data = bytes([len(data) + 2, 1]) + data
+    s.add_data_source("data", buffers(spark, {"x": data}).withColumnRenamed("name", "source"))
+    n = s.eval("data <> Spec.Schema").nodes().cache()
+    assert n.filter("status is not null").count() == 0 and n.filter("name = 'kind'").count() == levels
+    assert n.filter("v_int = 7 and name = 'x'").first().depth == n.agg(F.max("depth")).first()[0] > 64
+    assert s.eval("data <> Spec.Schema").nodes(2).agg(F.max("depth")).first()[0] == 2
+
+
 def test_recursive_and_mixed_types_are_json(spark):
     s = Session(spark)
     s.add_spec("Spec", BASE + "let Box = struct { size: u8; kind: u8; @span: size; if (kind == 1) { x: [] Box; } else { x: u8; } };  let Schema = [] Box;")
