@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds, in built-in functions only.
 
 Each rule's measure is an integer share, so a histogram over it is a mergeable quantile sketch of at most BINS bins with no
-error beyond one bin: counts for each language and source add up to those for a language and to those for everything. Limits are read
-from the sketches and joined to the rows.
+error beyond one bin, but for mean words of 20 characters and more, which share the last bin: where an upper quartile is 17 or more, the
+upper limit on words rejects nothing. Counts for each language and source add up to those for a language and to those for everything.
+Limits are read from the sketches and joined to the rows.
 """
 
 from __future__ import annotations
