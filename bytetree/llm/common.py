@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -15,10 +15,10 @@ SLICE_BYTES = 2 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where none is set, one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytetree-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work")
     return sc.getCheckpointDir()
 
 
@@ -28,9 +28,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new folder name below the shared checkpoint folder. `remove` deletes the folder, and the end of the program does."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is. DataFrames that read it are no longer usable."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -67,14 +87,15 @@ def crc32_of(col):
 BROADCAST_KEYS = 200_000
 
 
-def by_text(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """Join df with keys (id, h, ...; h as `text_hash`), materialised already, on id and text hash; nulls match nulls."""
+def by_text(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str, *more: str) -> DataFrame:
+    """Join df with keys (id, h, ...; h as `text_hash`), materialised already, on id and hash; nulls match nulls."""
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     names = {k: fresh(df, f"key_{k}") for k in keys.columns}
     keys = keys.withColumnsRenamed(names)
-    return df.join(keys, F.col(id_col).cast("long").eqNullSafe(F.col(names["id"])) & (text_hash(F.col(text_col)) == F.col(names["h"])), how)
+    return df.join(keys, F.col(id_col).cast("long").eqNullSafe(F.col(names["id"])) & (text_hash(F.col(text_col), *map(F.col, more)) == F.col(names["h"])), how)
 
 
-def text_hash(col):
-    return F.xxhash64(F.coalesce(col.cast("string"), F.lit("")))
+def text_hash(text, *more):
+    """A hash of the text, a null like an empty one, and of `more` columns."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in more))

@@ -1,24 +1,32 @@
-"""Quality classifier with hierarchical empirical Bayes: what a document's text says is combined with what its host and path say,
-and sites with few documents shrink toward the level above them.
+"""Quality classifier with hierarchical empirical Bayes: what a document's text says is combined with what the other documents of
+its host and path are like, and sites with few documents shrink toward the level above them.
+
+Text evidence is a logistic fit on style measures and on the mean log-odds of the text's hashed words and word pairs, which a
+naive Bayes table gives. A site's documents count by their label where they have one, else by what their text says, and a
+document never counts for itself.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import BROADCAST_KEYS, by_text, cut, text_hash, text_slices
 
 SAMPLE_ROWS = 12_000  #: labelled rows, at most, that the document classifier is fitted on
+SAMPLE_TERMS = 1 << 24  #: words and word pairs, at most, of these rows: 4 bytes each on the driver
 BROADCAST_SITES = 100_000  #: a site table of up to this many rows is broadcast, a larger one is joined by a shuffle
 PRIOR_STRENGTH = (1.0, 1e4)  #: bounds of a level's strength, in documents
 SHIFT = 2.0  #: a site moves a document's log-odds by this much at most, so clear texts decide for themselves
-FEATURES = ("symbols", "capitals", "marks", "digits", "word_length", "distinct", "repeats", "dup_lines", "long_words", "log_words")
+BUCKETS = 1 << 16  #: of the naive Bayes table
+FOLDS = 4  #: the table that scores a training row is made without the row's fold
+FEATURES = ("symbols", "capitals", "marks", "digits", "word_length", "distinct", "repeats", "dup_lines", "long_words", "log_words")  # of the style; terms follow
 
 
 def features_of(text: str) -> np.ndarray:
@@ -47,15 +55,60 @@ def features_of(text: str) -> np.ndarray:
 _SYMBOLS, _MARKS = b"#*$%&|<>{}[]\\^~=_@+", b"!?.,;:-\"'()"
 
 
-def text_features(col: Column) -> Column:
-    """features_of each text, as array<double>."""
+class Terms:
+    """Buckets of a text's words and pairs of neighbouring words, case ignored, with a bounded memo."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        memo, out = self.memo, []
+        if len(memo) > 200_000:
+            memo.clear()
+        for w in text.lower().split():
+            k = memo.get(w)
+            if k is None:
+                k = memo[w] = zlib.crc32(w.encode())
+            out.append(k)
+        code = np.array(out, np.uint32)
+        pairs = (code[:-1] * np.uint32(2654435761)) ^ (code[1:] * np.uint32(40503) + np.uint32(1))
+        return np.concatenate([code, pairs]) >> np.uint32(16)
+
+
+def odds_table(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of each bucket, by how many texts of either class hold it; rare buckets count less."""
+    seen = np.zeros((2, BUCKETS))
+    for t, label in zip(terms, y, strict=True):
+        seen[int(label)] += np.bincount(np.unique(t), minlength=BUCKETS)
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    return (np.clip(odds, -4, 4) * (seen.sum(0) / (seen.sum(0) + 3))).astype(np.float32)
+
 
-    @F.pandas_udf("array<double>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([features_of(t or "") for t in batch], index=batch.index, dtype=object)
+def _mean(table: np.ndarray, terms: np.ndarray) -> float:
+    return float(table[terms].mean()) if len(terms) else 0.0
 
-    return run(col)
+
+class Model:
+    """Log-odds for good quality of a text, at even prior odds."""
+
+    def __init__(self, style: np.ndarray, terms: list[np.ndarray], y: np.ndarray):
+        self.table, self.weights, self.bias = np.zeros(BUCKETS, np.float32), np.zeros(len(FEATURES) + 1), 0.0
+        if not len(y) or y.min() == y.max():
+            return
+        fold = np.arange(len(y)) % FOLDS
+        x = np.zeros((len(y), len(FEATURES) + 1))
+        x[:, :-1] = style
+        for k in range(FOLDS):
+            rest = [t for t, f in zip(terms, fold, strict=True) if f != k]
+            table = odds_table(rest, y[fold != k])
+            for i in np.flatnonzero(fold == k):
+                x[i, -1] = _mean(table, terms[i])
+        self.weights, self.bias = fit(x, y)
+        self.table = odds_table(terms, y)
+
+    def logit(self, style: np.ndarray, terms: np.ndarray) -> float:
+        return float(self.weights[:-1] @ style + self.weights[-1] * _mean(self.table, terms) + self.bias)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -87,62 +140,102 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int =
     return found.groupBy("lid").agg(F.max("label").alias("label")).orderBy(F.xxhash64("lid"), "lid").limit(rows)
 
 
+def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """A model of at most SAMPLE_ROWS labelled rows with SAMPLE_TERMS terms together, in the order of a hash of the id.
+
+    Texts become numbers where they lie; only these come to the driver. Of a repeated id the smallest text counts.
+    """
+    ids = F.broadcast(labelled_sample(labels, id_col, label_col))
+    sample = df.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("string").alias("t")).join(ids, "lid")
+    sample = sample.groupBy("lid").agg(F.min("t").alias("t"), F.max("label").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
+        for batch in batches:
+            for b in text_slices(batch, 1):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                style = pa.array([features_of(t) for t in texts], pa.list_(pa.float64()))
+                found = pa.array([terms(t).astype(np.uint16).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), style, found], ["lid", "label", "style", "terms"])
+
+    made = cut(sample.mapInArrow(run, "lid long, label int, style array<double>, terms binary"))
+    upto = F.sum(F.length("terms") / 2).over(Window.orderBy(F.xxhash64("lid"), "lid"))  # over the bounded sample
+    got = made.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_TERMS).drop("upto").toArrow().sort_by("lid")
+    style = np.array(got["style"].to_pylist(), float).reshape(-1, len(FEATURES))
+    return Model(style, [np.frombuffer(t, np.uint16) for t in got["terms"].to_pylist()], got["label"].to_numpy().astype(float))
+
+
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """df with the columns quality_evidence, host_posterior, path_posterior and quality_score, all double.
+    """(id, h, host, path, quality_evidence, host_posterior, path_posterior, quality_score): one row for each row of df.
 
-    evidence: log-odds for good quality from the text alone, at even prior odds. host_posterior: the host's share of good
-    documents, shrunk toward the global share by a strength that the spread between hosts gives (method of moments);
-    path_posterior: the same for a path of the host, shrunk toward its host. score: the probability that joins the evidence
-    with the log-odds of the path, which count for SHIFT at most to either side of even.
+    evidence: log-odds for good quality from the text alone, at even prior odds. host_posterior: the share of good documents
+    among the host's others, shrunk toward that of all other documents by a strength that the spread between hosts gives
+    (method of moments); path_posterior: the same for a path of the host, shrunk toward its host. A document counts in these
+    shares as its label says, else by the probability from its text. score: the probability that joins the evidence with the
+    log-odds of the path, which count for SHIFT at most to either side of even. h: `text_hash` of text, host and path.
 
     Null and empty texts have zero features; null hosts and paths are sites of their own; without labels of both classes the
-    evidence is zero; an empty table gives no rows; repeated rows are each scored; names that df has get an underscore.
+    evidence is zero; of an id with several labels the largest counts, null ids have none; an empty table gives no rows;
+    repeated rows are each scored, as different documents; other columns are ignored.
 
-    Texts stay where they are read. Sites are found by grouped sums, combined map-side, and come back to the rows by a
-    broadcast join while they are at most BROADCAST_SITES, else by a shuffle that adaptive execution can split.
+    Each text is read once and stays where it is read. Sites are found by grouped sums, combined map-side, and come back to the
+    rows by a broadcast join while they are at most BROADCAST_SITES, else by a shuffle that adaptive execution can split.
     """
-    evidence, host, path, final = (fresh(df, c) for c in ("quality_evidence", "host_posterior", "path_posterior", "quality_score"))
-    ids = F.broadcast(labelled_sample(labels, id_col, label_col))
-    sample = df.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("string").alias("t")).join(ids, "lid")
-    got = sample.groupBy("lid").agg(F.min("t").alias("t"), F.max("label").alias("label")).select(text_features(F.col("t")).alias("x"), "label").collect()
-    w, b = fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.label for r in got], float))
-
-    arr = text_features(F.col(text_col).cast("string"))
-    scored = df.withColumn(evidence, arr)
-    dot = F.aggregate(F.zip_with(evidence, F.array(*map(F.lit, w.tolist())), lambda a, c: a * c), F.lit(b), lambda s, v: s + v)
-    scored = scored.withColumn(evidence, dot)
-
-    h, p = F.col(host_col).cast("string"), F.col(path_col).cast("string")
-    good = 1 / (1 + F.exp(-F.col(evidence)))
-    paths = scored.select(h.alias("h"), p.alias("p"), good.alias("g")).groupBy("h", "p").agg(F.count("*").alias("n"), F.sum("g").alias("s"))
-    paths = cut(paths)
-    hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    mean, strength = _moments(hosts)
-    hosts = hosts.select(F.col("h").alias("hh"), ((F.col("s") + strength * mean) / (F.col("n") + strength)).alias("hp"))
-    _, inner = _moments(paths)
-    sites = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).select("h", "p", "hp", ((F.col("s") + inner * F.col("hp")) / (F.col("n") + inner)).alias("pp"))
-    names = {k: fresh(df, f"site_{k}") for k in sites.columns}
-    sites = sites.withColumnsRenamed(names)
+    shipped = df.sparkSession.sparkContext.broadcast(fit_quality(df, labels, id_col, text_col, label_col))
+    host, path = F.col(host_col).cast("string"), F.col(path_col).cast("string")
+    key = text_hash(F.col(text_col), F.col(host_col), F.col(path_col))
+    src = df.select(F.col(id_col).cast("long").alias("id"), key.alias("h"), host.alias("host"), path.alias("path"), F.col(text_col).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, model = Terms(), shipped.value
+        for batch in batches:
+            for b in text_slices(batch, 4):
+                texts = [t or "" for t in b.column(4).to_pylist()]
+                found = [model.logit(features_of(t), terms(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.float64())], ["id", "h", "host", "path", "e"])
+
+    rows = cut(src.mapInArrow(run, "id long, h long, host string, path string, e double"))
+    known = labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("label")).filter("lid is not null and label in (0, 1)")
+    known = known.groupBy("lid").agg(F.max("label").alias("label"))
+    known = F.broadcast(known) if labels.count() <= BROADCAST_KEYS else known
+    counted = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-F.col("e"))))
+    rows = rows.join(known, F.col("id") == F.col("lid"), "left").select("id", "h", "host", "path", "e", counted.alias("g"))
+
+    paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("g").alias("s")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    outer, inner = _moments(hosts), _moments(paths)
+    total, good = paths.agg(F.sum("n"), F.sum("s")).first()
+    hosts = hosts.select(F.col("host").alias("hh"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("hh"))).select(F.col("host").alias("sh"), F.col("path").alias("sp"), "n", "s", "hn", "hs")
     if paths.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    met = scored.join(sites, h.eqNullSafe(F.col(names["h"])) & p.eqNullSafe(F.col(names["p"])), "left")
-    lean = F.least(F.greatest(_logit(F.coalesce(F.col(names["pp"]), F.lit(0.5))), F.lit(-SHIFT)), F.lit(SHIFT))
-    return met.select(*df.columns, evidence, F.col(names["hp"]).alias(host), F.col(names["pp"]).alias(path), (1 / (1 + F.exp(-(F.col(evidence) + lean)))).alias(final))
-
-
-def _moments(sites: DataFrame) -> tuple[float, float]:
-    """(mean, strength) of the beta prior over a level's sites: weighted spread between sites beyond that of sampling."""
-    r = sites.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.count("*").alias("k")).first()
-    if not r["n"]:
-        return 0.5, PRIOR_STRENGTH[1]
-    mean = min(max(r["s"] / r["n"], 1e-6), 1 - 1e-6)
+    met = rows.join(sites, F.col("host").eqNullSafe(F.col("sh")) & F.col("path").eqNullSafe(F.col("sp")), "left")
+    mean = (F.lit(good or 0.0) - F.col("g")) / F.nullif(F.lit(total or 0) - 1, F.lit(0))
+    met = met.withColumn("m", F.coalesce(mean, F.lit(0.5)))
+    met = met.withColumn("hp", (F.col("hs") - F.col("g") + outer * F.col("m")) / (F.col("hn") - 1 + outer))
+    met = met.withColumn("pp", (F.col("s") - F.col("g") + inner * F.col("hp")) / (F.col("n") - 1 + inner))
+    lean = F.least(F.greatest(_logit(F.col("pp")), F.lit(-SHIFT)), F.lit(SHIFT))
+    final = 1 / (1 + F.exp(-(F.col("e") + lean)))
+    return met.select("id", "h", "host", "path", F.col("e").alias("quality_evidence"), F.col("hp").alias("host_posterior"), F.col("pp").alias("path_posterior"), final.alias("quality_score"))
+
+
+def _moments(sites: DataFrame) -> float:
+    """Strength of the beta prior over a level's sites: weighted spread between sites beyond that of sampling."""
+    n, s, q, k = sites.agg(F.sum("n"), F.sum("s"), F.sum(F.col("s") * F.col("s") / F.col("n")), F.count("*")).first()
+    if not n:
+        return PRIOR_STRENGTH[1]
+    mean = min(max(s / n, 1e-6), 1 - 1e-6)
     within = mean * (1 - mean)
-    between = (r["q"] - r["n"] * mean * mean - (r["k"] - 1) * within) / max(r["n"], 1)
-    strength = within / between - 1 if between > 0 else PRIOR_STRENGTH[1]
-    return mean, float(np.clip(strength, *PRIOR_STRENGTH))
+    between = (q - n * mean * mean - (k - 1) * within) / n
+    return float(np.clip(within / between - 1, *PRIOR_STRENGTH)) if between > 0 else PRIOR_STRENGTH[1]
 
 
-def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.5, **cols: str) -> DataFrame:
-    """The rows of df whose score is at least `threshold`, with df's columns."""
-    scored = score(df, labels, **cols)
-    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(*df.columns)
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """The rows of df whose score is at least `threshold`, with df's columns.
+
+    Rows that repeat id, text, host and path go only if all of them score below it. Nulls, empty texts, repeats and empty
+    tables as in `score`; extra columns come along, whatever their names. Only ids and hashes of rejected rows are joined with the texts.
+    """
+    scored = score(df, labels, id_col, text_col, host_col, path_col)
+    bad = cut(scored.groupBy("id", "h").agg(F.max("quality_score").alias("best")).filter(F.col("best") < threshold).select("id", "h"))
+    return by_text(df, bad, id_col, text_col, "left_anti", host_col, path_col)

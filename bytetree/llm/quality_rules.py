@@ -1,9 +1,9 @@
 """Quality rules with adaptive thresholds, in built-in functions only.
 
-Each rule's measure is an integer share, so a histogram over it is a mergeable quantile sketch of at most BINS bins with no
-error beyond one bin, but for mean words of 20 characters and more, which share the last bin: where an upper quartile is 17 or more, the
-upper limit on words rejects nothing. Counts for each language and source add up to those for a language and to those for everything.
-Limits are read from the sketches and joined to the rows.
+Each rule's measure is an integer, so counts of its values are a mergeable quantile sketch. Values of up to DIGITS digits are bins
+of their own; larger ones, which only mean words of 100 characters and more have, share a bin with those of the same first DIGITS
+digits, an error of a thousandth at most. Nothing is clipped: limits are compared with the measure itself. Counts for each
+language and source add up to those for a language and to those for everything. Limits are read from the sketches and joined to the rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .words import SPACES, bind, words
 
-BINS = 2000
+DIGITS = 4  #: of a measure that a bin of its sketch keeps
 # rule -> (least spread in units of the measure): limits lie REACH spreads beyond a quartile
 RULES = {"symbol_share": 20, "dup_line_share": 100, "repeat_share": 60, "word_length": 100}
 REACH = 3
@@ -56,8 +56,14 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def _share(part: str, whole: str, unit: int) -> Column:
-    """unit * part div whole, at most the last bin; 0 of nothing."""
-    return F.coalesce(F.least(F.expr(f"{unit} * {part} div nullif({whole}, 0)"), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    """unit * part div whole; 0 of nothing."""
+    return F.coalesce(F.expr(f"{unit} * {part} div nullif({whole}, 0)"), F.lit(0)).cast("long")
+
+
+def _bin(measure: Column) -> Column:
+    """The least value that begins with the same DIGITS digits."""
+    step = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(measure.cast("string")) - DIGITS)).cast("long")
+    return measure - measure % step
 
 
 def _quantile(cum: Column, total: Column, q: float) -> Column:
@@ -66,7 +72,7 @@ def _quantile(cum: Column, total: Column, q: float) -> Column:
 
 def limits(rows: DataFrame) -> DataFrame:
     """(lang, source, rule, hi, lo) from the histogram sketches of the rows."""
-    stacked = rows.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))).alias("m")).select("lang", "source", "m.*")
+    stacked = rows.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(F.col(r)).alias("bin")) for r in RULES))).alias("m")).select("lang", "source", "m.*")
     fine = stacked.groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
     wide = fine.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
     every = wide.groupBy("rule", "bin").agg(F.sum("n").alias("n"))

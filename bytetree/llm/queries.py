@@ -103,9 +103,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    scored = score(docs, table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "quality_evidence", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+    scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "quality_evidence", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +120,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     rows = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).rows
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 OP8_SQL = r"""
@@ -132,8 +131,16 @@ u AS (SELECT *, CAST(sum(size) OVER () - coalesce(sum(cap) OVER (ORDER BY stop,
 one AS (SELECT unit FROM u WHERE unit <= stop ORDER BY stop, s LIMIT 1),
 t AS (SELECT source, size AS source_size, coalesce(least(CAST(cap AS DOUBLE), one.unit * weight), 0.0) AS target FROM u LEFT JOIN one ON true),
 m AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words, ((coalesce(doc_id, size) % 2147483648) * 2654435761 + 97531) % 4294967296 AS mix FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mix, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM m)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(a + size, words % source_size) - a) END AS BIGINT) AS taken FROM r
+r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mix, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM m),
+k AS (SELECT s.source, s.s, CASE WHEN s.size = 0 THEN 0 ELSE words // s.size * CAST(ceil(s.size / 2048) AS BIGINT) + CAST(ceil(words % s.size / 2048) AS BIGINT) END AS slots
+      FROM s JOIN (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM t) t ON s.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "first", length(bin(CAST(sum(slots) OVER () AS BIGINT) - 1)) AS bits FROM k),
+j AS (SELECT source, bits, unnest(range(CAST("first" AS BIGINT), CAST("first" + slots AS BIGINT))) AS j FROM f WHERE slots > 0),
+v AS (SELECT source, CAST('0b' || reverse(lpad(bin(j), CAST(bits AS INT), '0')) AS BIGINT) AS position FROM j),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS "rank" FROM v),
+z AS (SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(a + size, words % source_size) - a) END AS BIGINT) AS taken FROM r)
+SELECT z.doc_id, z.size, z.source_size, z.target, z.taken, p.position
+FROM z LEFT JOIN p ON z.source IS NOT DISTINCT FROM p.source AND p."rank" = a // 2048 AND z.taken > 0
 """
 
 
@@ -150,8 +157,16 @@ g AS (SELECT k, p, array_to_string(ws[p:p + 2], ' ') AS gram FROM (SELECT k, ws,
 rp AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY k, gram) AS c FROM g) WHERE c > 1),
 rw AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest(range(p, p + 3)) AS q FROM rp) GROUP BY k),
 m AS (SELECT w.k, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rw USING (k)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(least(1000 * n_symbols // nullif(word_chars, 0), 1999), 0) AS symbol_share, coalesce(least(1000 * n_dup_lines // nullif(n_lines, 0), 1999), 0) AS dup_line_share, coalesce(least(1000 * n_repeat_words // nullif(n_words, 0), 1999), 0) AS repeat_share, coalesce(least(100 * word_chars // nullif(n_words, 0), 1999), 0) AS word_length FROM m),
-st AS (SELECT lang, source, 'symbol_share' AS rule, 20 AS spread, symbol_share AS bin FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_line_share', 100, dup_line_share FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'repeat_share', 60, repeat_share FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'word_length', 100, word_length FROM b WHERE NOT base_failed),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 
+       coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbol_share, 
+       coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_line_share, 
+       coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_share, 
+       coalesce(100 * word_chars // nullif(n_words, 0), 0) AS word_length FROM m),
+sv AS (SELECT lang, source, 'symbol_share' AS rule, 20 AS spread, symbol_share AS v FROM b WHERE NOT base_failed
+       UNION ALL SELECT lang, source, 'dup_line_share', 100, dup_line_share FROM b WHERE NOT base_failed
+       UNION ALL SELECT lang, source, 'repeat_share', 60, repeat_share FROM b WHERE NOT base_failed
+       UNION ALL SELECT lang, source, 'word_length', 100, word_length FROM b WHERE NOT base_failed),
+st AS (SELECT lang, source, rule, spread, CAST(v - v % CAST(pow(10, greatest(0, length(CAST(v AS VARCHAR)) - 4)) AS BIGINT) AS BIGINT) AS bin FROM sv),
 qa AS (SELECT lang, source, rule, spread, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3, count(*) AS n FROM st GROUP BY ALL),
 qb AS (SELECT lang, rule, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3, count(*) AS n FROM st GROUP BY ALL),
 qc AS (SELECT rule, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM st GROUP BY ALL),
