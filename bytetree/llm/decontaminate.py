@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices, texts_of
+from .common import by_text, cut, fresh, text_hash, text_slices, texts_of
 
 WINDOW = 8
 GRAM = 5
-INDEX_BYTES = 32 << 20  #: of benchmark text indexed and shipped at a time; a larger benchmark is worked through in blocks
+INDEX_BYTES = 8 << 20  #: of benchmark text indexed and shipped at a time (some 250 MB on the driver while it is made); a larger benchmark is worked through in blocks
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -52,34 +52,39 @@ def _kept(g: np.ndarray, w: int) -> np.ndarray:
 
 
 class Index:
-    """Windows of a set of items, ready for `find`."""
+    """Windows of a set of items, ready for `find`: arrays of a hash, the word numbers and the owners of each distinct window."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram, self.items = window, gram, sorted({i for i, _ in items})
         self.vocab: dict[bytes, int] = {}
         number = {x: i for i, x in enumerate(self.items)}
-        found: dict[int, dict[tuple, set[int]]] = {}
+        by_size: dict[int, tuple[list, list]] = {}
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
-            size = min(window, len(ids))
-            for a in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[a : a + size]), set()).add(number[item])
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)], np.int32)
+            if size := min(window, len(ids)):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                held = by_size.setdefault(size, ([], []))
+                held[0].append(rows), held[1].append(np.full(len(rows), number[item], np.int32))
         rng = np.random.default_rng(7)
         self.hash = rng.integers(0, 1 << 63, len(self.vocab) + 1, dtype=np.uint64)
         self.sizes = {}
-        for size, windows in found.items():
-            rows = np.array(list(windows), np.int32).reshape(-1, size)
-            owners = list(windows.values())
+        for size, held in by_size.items():
+            rows, owners = (np.concatenate(h) for h in held)
             k = min(gram, size) if size == window else size
             full = self._hash_rows(rows, size)
-            order = np.argsort(full, kind="stable")
-            prints = np.unique(np.concatenate([self._hash_rows(rows[:, j : j + k], k) for j in range(size - k + 1)]))
-            flat = np.array([o for i in order for o in sorted(owners[i])], np.int32)
-            ends = np.cumsum([len(owners[i]) for i in order])
-            self.sizes[size] = (k, prints, full[order], rows[order], flat, np.r_[0, ends])
+            order = np.lexsort((owners, full))
+            rows, owners, full = rows[order], owners[order], full[order]
+            prints = np.unique(np.concatenate([np.unique(self._hash_rows(rows[:, j : j + k], k)) for j in range(size - k + 1)]))
+            new = np.r_[True, (full[1:] != full[:-1]) | (rows[1:] != rows[:-1]).any(1)] if len(rows) else np.empty(0, bool)
+            starts = np.flatnonzero(new)
+            self.sizes[size] = (k, prints, full[starts], rows[starts], owners, np.r_[starts, len(rows)])
 
     def _hash_rows(self, rows: np.ndarray, k: int) -> np.ndarray:
-        return _grams(self.hash[rows].reshape(-1), k)[:: rows.shape[1]][: len(rows)] if rows.shape[1] == k else np.array([], np.uint64)
+        out = np.zeros(len(rows), np.uint64)
+        for j in range(k):
+            out = (out ^ self.hash[rows[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each text: its number of words, the (start, size) pairs of its windows, the numbers of the items they are from."""
@@ -152,7 +157,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, It
     return n, ([(r.i, r.t.encode()) for r in part.collect()] for part in parts)
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", prefix: str = "bench") -> DataFrame:
+def overlaps(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", prefix: str = "bench", id_col: str = "doc_id",
+) -> DataFrame:
     """df with three more columns: `<prefix>_words` long, `<prefix>_spans` array of (start, end) word ranges that windows
     cover, merged and in order, and `<prefix>_items`, the sorted distinct ids, as strings, of the items those windows are from.
 
@@ -160,28 +167,43 @@ def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     texts have no words and no spans; repeated rows are each marked; repeated item ids count once; a null item id counts as
     the empty string; an empty benchmark marks nothing; names that df already has get an underscore.
 
-    The corpus is read once, in place, with no shuffle. The index of the benchmark is broadcast; a benchmark of more than
-    INDEX_BYTES is worked through block by block, with a checkpoint after each, so what executors hold has a fixed bound.
+    The index of a block of the benchmark is broadcast. With one block the corpus is read once, in place, with no shuffle. More
+    blocks read it once each, and of all blocks but the last only the rows with windows are written, as id and hash, words
+    covered and items; they meet the texts in a join that adaptive execution can split. Texts are never rewritten.
     """
-    marked = _marked(df, benchmark, text_col, item_col, bench_col, prefix)
+    marked = _marked(df, benchmark, id_col, text_col, item_col, bench_col, prefix)
     return marked.drop(marked.columns[-1])
 
 
-def _marked(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, bench_col: str, prefix: str) -> DataFrame:
-    """`overlaps` with a fourth column: how many words the longest item of fewer than WINDOW words has that lies whole in the text."""
-    from .common import fresh
+_KINDS = ["bigint", "array<struct<start:bigint,end:bigint>>", "array<string>", "bigint"]
+
 
+def _marked(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, bench_col: str, prefix: str) -> DataFrame:
+    """`overlaps` with a fourth column: how many words the longest item of fewer than WINDOW words has that lies whole in the text."""
     spark = df.sparkSession
     names = [fresh(df, f"{prefix}_{x}") for x in ("words", "spans", "items", "whole")]
-    kinds = ["bigint", "array<struct<start:bigint,end:bigint>>", "array<string>", "bigint"]
-    out = df.select("*", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
     n, parts = _blocks(benchmark, item_col, bench_col)
+    hits = None
     for number, part in enumerate(parts, 1):
-        index = spark.sparkContext.broadcast(Index(part))
-        out = out.mapInArrow(_marker(index, df.columns.index(text_col), len(df.columns)), out.schema)
-        if number < n:
-            out = cut(out)
-    return out
+        marker = lambda at, own, part=part: _marker(spark.sparkContext.broadcast(Index(part)), at, own)
+        if number == n:
+            break
+        found = df.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"), *_empty(["words", "spans", "items", "whole"]))
+        found = cut(found.mapInArrow(marker(2, 3), found.schema).filter("size(items) > 0").select("id", "h", "spans", "items", "whole"))
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        out = df.select("*", *_empty(names))
+    else:
+        # equal rows have equal finds, so sets and maxima are those of one row; a document's blocks are few
+        each = hits.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("whole").alias("whole"))
+        met = by_text(df, cut(each), id_col, text_col, "left")
+        got = dict(zip(("spans", "items", "whole"), met.columns[-3:], strict=True))
+        out = met.select(*df.columns, F.lit(None).cast("bigint").alias(names[0]), *(F.col(got[k]).alias(x) for k, x in zip(got, names[1:], strict=True)))
+    return out.mapInArrow(marker(df.columns.index(text_col), len(df.columns)), out.schema)
+
+
+def _empty(names: list[str]) -> list:
+    return [F.lit(None).cast(k).alias(n) for n, k in zip(names, _KINDS, strict=True)]
 
 
 def _marker(index, text_at: int, own: int):
@@ -206,14 +228,16 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, min_items: int = 1, least_words: int = WINDOW, text_col: str = "text", least_item: int = GRAM) -> DataFrame:
+def decontaminate(
+    df: DataFrame, benchmark: DataFrame, min_items: int = 1, least_words: int = WINDOW, text_col: str = "text", least_item: int = GRAM, id_col: str = "doc_id",
+) -> DataFrame:
     """df without the rows that share windows with at least `min_items` items, if the windows cover `least_words` words or the
     whole text, or if an item of fewer than WINDOW words but at least `least_item` lies whole in the text.
 
     So an item shorter than that, which common prose may hold by chance, costs no longer text its place. Rows without words stay;
     nulls, repeats and empty tables as in `overlaps`.
     """
-    marked = _marked(df, benchmark, text_col, "item_id", "text", "bench")
+    marked = _marked(df, benchmark, id_col, text_col, "item_id", "text", "bench")
     words, spans, items, whole = marked.columns[-4:]
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     covered = hit >= F.least(F.lit(least_words).cast("long"), F.col(words))

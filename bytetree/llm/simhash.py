@@ -3,7 +3,9 @@
 * `fingerprints` makes one fingerprint a row from hashed word shingles.
 * `link_fingerprints` splits the distinct fingerprints by their Hamming distance to vantage points. The top of the tree is
   fitted on a bounded sample drawn by hash and shipped to the executors; every distinct fingerprint is filed in one leaf and
-  also asks each leaf that the triangle bound can't rule out. Leaves are searched exactly, in parallel.
+  also asks each leaf that the triangle bound can't rule out. A leaf with too many members gets a tree of its own. Leaves are
+  searched exactly, in parallel, and a leaf that many ask is searched by as many tasks; bit flips or plain comparison
+  are left for the leaves that no vantage point parts.
 * `near_groups` adds the connected components.
 * `similar_groups` is the wide-radius form for a Jaccard threshold (see there).
 """
@@ -11,7 +13,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,9 +27,16 @@ from .graph import components
 
 SEED = 42
 LEAF = 2048  #: fingerprints aimed at in a leaf of the distributed tree
-MAX_DEPTH = 16  #: bounds the tree on the driver: at most 2**16 leaves
-SAMPLE_PER_LEAF = 32  #: sampled fingerprints a leaf that the tree is fitted on
-HOT_LEAF = 16 * LEAF  #: a leaf asked by more rows than this is searched by bit flips over the whole cluster
+MAX_DEPTH = 16  #: bounds a tree on the driver: at most 2**16 leaves
+SAMPLE_PER_LEAF = 32  #: sampled fingerprints a leaf that a tree is fitted on
+CANDIDATES = 12  #: vantage points tried for a split; that with the fewest fingerprints near its boundary is taken
+HOT_LEAF = 1 << 16  #: members; a leaf with more gets a tree of its own
+ROUTE_ROWS = 1 << 15  #: rows routed at once
+PIECE_ROWS = 1 << 18  #: visitors that one task compares with a leaf's members
+GRID = 1 << 13  #: side of the pieces in which a leaf that nothing parts is compared, at radii other than 2
+SPLIT_SAMPLE = 4096  #: fingerprints, at most, that a vantage point is chosen by
+FLIP_COST = 1300  #: comparisons that one fingerprint's flips cost
+USEFUL = 0.85  #: a split is used if it leaves less than this share of the comparisons
 BLOCK = 1 << 20  #: distances held at once
 BRUTE = 1 << 22  #: members times visitors that are compared without a further split
 
@@ -68,26 +78,32 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _split(points: np.ndarray) -> tuple[np.uint64, int] | None:
-    """A vantage point and the radius that parts the points most evenly; None if no radius parts them."""
-    vp = points[0]
-    d = np.sort(_distance(points, vp))
-    mid = int(d[(len(d) - 1) // 2])
-    if mid == int(d[-1]):
-        below = d[d < mid]
-        if not len(below):
-            return None
-        mid = int(below[-1])
-    return vp, mid
+def _split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
+    """Of some vantage points and all radii, those that leave the fewest comparisons; None if no radius parts the points.
 
+    A side is compared with what lies inside it or within `radius` of its boundary.
+    """
+    best, n = None, len(points)
+    for vp in points[np.linspace(0, n - 1, min(n, CANDIDATES)).astype(np.int64)]:
+        upto = np.cumsum(np.bincount(_distance(points, vp), minlength=65 + radius))  # points at most so far away
+        mu = np.flatnonzero((upto[:65] > 0) & (upto[:65] < n))
+        if not len(mu):
+            continue
+        below = np.where(mu >= radius, upto[np.maximum(mu - radius, 0)], 0)
+        work = upto[mu] * upto[mu + radius] + (n - upto[mu]) * (n - below)
+        k = int(np.argmin(work))
+        if best is None or work[k] < best[0]:
+            best = work[k], vp, int(mu[k])
+    return best and best[1:]
 
-def fit_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
+
+def fit_tree(sample: np.ndarray, depth: int, radius: int) -> list[tuple[int, int] | None]:
     """A complete tree as a heap: node -> (vantage point, radius), inside is child 2i+1, outside 2i+2; None ends a branch."""
     tree: list = [None] * ((1 << depth) - 1)
     todo = [(0, sample)]
     while todo:
         node, pts = todo.pop()
-        if node >= len(tree) or len(pts) < 2 or (s := _split(pts)) is None:
+        if node >= len(tree) or len(pts) < 2 or (s := _split(pts[:SPLIT_SAMPLE], radius)) is None:
             continue
         tree[node] = (int(s[0]), s[1])
         inside = _distance(pts, s[0]) <= s[1]
@@ -95,10 +111,15 @@ def fit_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
     return tree
 
 
-def route(tree: list, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home): the leaf each fingerprint is filed in, and the later leaves the triangle bound leaves open."""
-    rows, leaves, homes = [], [], []
-    todo = [(0, np.arange(len(fps)), np.ones(len(fps), bool))]
+def route(tree: list, fps: np.ndarray, radius: int, member: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): the leaf each member is filed in, and the leaves that the triangle bound leaves open to each row.
+
+    Of two leaves with members that must meet only the later is asked, so each pair is met once; rows that are no members
+    here ask every leaf that is open to them.
+    """
+    member = np.ones(len(fps), bool) if member is None else member
+    rows, leaves, homes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    todo = [(0, np.arange(len(fps)), member)]
     while todo:
         node, at, home = todo.pop()
         if not len(at):
@@ -111,9 +132,9 @@ def route(tree: list, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
         inside, near, far = d <= mu, d - radius <= mu, d + radius > mu
         todo += [(2 * node + 1, at[near], home[near] & inside[near]), (2 * node + 2, at[far], home[far] & ~inside[far])]
     row, leaf, home = np.concatenate(rows), np.concatenate(leaves), np.concatenate(homes)
-    own = np.empty(len(fps), np.int64)
+    own = np.full(len(fps), -1)
     own[row[home]] = leaf[home]
-    keep = leaf >= own[row]  # of two leaves only the later one is asked: each pair is met once
+    keep = leaf >= own[row]
     return row[keep], leaf[keep], home[keep]
 
 
@@ -156,38 +177,43 @@ class _Links:
         return local_roots(self.n, np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
 
 
-def _flips(points: np.ndarray, at: np.ndarray, links: _Links) -> None:
+def _flips(points: np.ndarray, m: np.ndarray, q: np.ndarray, links: _Links) -> None:
     """Exact for radius 2: two fingerprints differ in at most two bits iff they share a value at one flip or none from both."""
-    f = points[at]
-    keys = np.concatenate([f, *(f ^ np.uint64(1 << k) for k in range(64))])
-    who = np.tile(at, 65)
+    flips = [np.uint64(0), *(np.uint64(1 << k) for k in range(64))]
+    keys = np.concatenate([points[m] ^ f for f in flips])
     order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    links.add(who[order[1:]][same], who[order[:-1]][same])
+    keys, who = keys[order], np.tile(m, 65)[order]
+    same = keys[1:] == keys[:-1]
+    links.add(who[1:][same], who[:-1][same])
+    for f in flips:
+        near = points[q] ^ f
+        at = np.minimum(np.searchsorted(keys, near), len(keys) - 1)
+        hit = keys[at] == near
+        links.add(q[hit], who[at[hit]])
 
 
-def link_leaf(points: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius: int) -> np.ndarray:
-    """Roots (indexes into points) of the links between members, and between members and visitors, at most radius apart.
+def link_leaf(points: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius: int, among: bool = True) -> np.ndarray:
+    """Roots (indexes into points) of the links between members, unless not `among`, and between members and visitors, at most radius apart.
 
     Large sides are parted further by vantage points; where a part is so dense that no vantage point parts it, radius 2 is
-    searched by bit flips and any other radius block by block.
+    searched by bit flips and any other radius block by block. A task's memory is bounded by HOT_LEAF and PIECE_ROWS.
     """
     links = _Links(len(points))
-    todo = [(members, np.concatenate([members, visitors]))]
+    todo = [(members, np.concatenate([members, visitors]) if among else visitors)]
     while todo:
         m, q = todo.pop()
         if not len(m) or not len(q):
             continue
         if len(m) * len(q) > BRUTE:
-            if (s := _split(points[m])) is not None:
+            if (s := _split(points[m[:: len(m) // SPLIT_SAMPLE + 1]], radius)) is not None:
                 dm, dq = _distance(points[m], s[0]).astype(np.int64), _distance(points[q], s[0]).astype(np.int64)
                 inside, near, far = dm <= s[1], dq - radius <= s[1], dq + radius > s[1]
                 work = inside.sum() * near.sum() + (~inside).sum() * far.sum()
-                if work < 0.85 * len(m) * len(q):
+                if work < USEFUL * len(m) * len(q):
                     todo += [(m[inside], q[near]), (m[~inside], q[far])]
                     continue
-            if radius == 2:
-                _flips(points, np.unique(np.concatenate([m, q])), links)
+            if radius == 2 and len(m) * len(q) > FLIP_COST * (len(m) + len(q)):
+                _flips(points, m, q, links)
                 continue
         step = max(1, BLOCK // len(q))
         for a in range(0, len(m), step):
@@ -198,48 +224,151 @@ def link_leaf(points: np.ndarray, members: np.ndarray, visitors: np.ndarray, rad
 
 
 # ---------------------------------------------------------------- distributed search
-def _sample(fps: DataFrame, n: int, size: int) -> np.ndarray:
-    """About `size` of the n distinct fingerprints, those of the smallest hashes, in a fixed order: 8 bytes each on the driver."""
-    part = int(min(1.0, size / max(n, 1)) * (1 << 30))
-    got = fps.select("fp").filter(F.xxhash64("fp").bitwiseAND(F.lit((1 << 30) - 1)) < part).toPandas()["fp"].to_numpy(np.int64)
-    return np.random.default_rng(SEED).permutation(np.sort(got)).view(np.uint64)
-
+@dataclass
+class Search:
+    edges: DataFrame  #: (u, v): what links connect, and nothing else, is connected by them
+    leaves: int = 0  #: leaves that were searched
+    routed: int = 0  #: rows sent to these
+    dense: int = 0  #: leaves that no vantage point parts, left to bit flips or plain comparison
+    dense_rows: int = 0  #: rows of these
+    levels: int = 0  #: trees of trees
+
+
+def _fit(rows: DataFrame, todo: dict[int, tuple[int, int]], radius: int, leaf: int, least: int) -> dict[int, tuple[int, list]]:
+    """For each leaf to part: the number of its first new leaf, and its tree."""
+    members = sum(m for m, _ in todo.values())
+    share = min(1.0, (leaf << MAX_DEPTH) / max(members, 1))  # of the leaves wished for, as many as the driver may hold
+    depth = {k: int(np.clip(np.ceil(np.log2(max(m * share / leaf, 1))), least, MAX_DEPTH)) for k, (m, _) in todo.items()}
+    drawn = {}
+    if any(depth.values()):
+        part = int(min(1.0, sum(SAMPLE_PER_LEAF << d for d in depth.values()) / members) * (1 << 30))
+        got = rows.filter("home").filter(F.xxhash64("fp").bitwiseAND(F.lit((1 << 30) - 1)) < part).select("leaf", "fp").toPandas()
+        mixed = np.random.default_rng(SEED)  # a fixed order that has nothing to do with the values
+        drawn = {int(k): mixed.permutation(np.sort(v.to_numpy(np.int64))).view(np.uint64) for k, v in got.groupby("leaf")["fp"]}
+    out, first = {}, 0
+    for k in sorted(todo):
+        out[k] = first, fit_tree(drawn.get(k, np.empty(0, np.uint64)), depth[k], radius)
+        first += 2 << depth[k]
+    return out
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> DataFrame:
-    """Distinct signed longs in column fp -> edges (u, v) that connect exactly what links of at most `radius` bits connect.
 
-    Within a leaf only a star for each local component is returned, so a dense group never becomes all its pairs.
-    The driver holds the tree and a count for each leaf: at most 2**MAX_DEPTH of each, however large the input.
-    """
-    spark = fps.sparkSession
-    n = fps.count()
-    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, MAX_DEPTH))
-    tree = spark.sparkContext.broadcast(fit_tree(_sample(fps, n, SAMPLE_PER_LEAF << depth) if depth else np.empty(0, np.uint64), depth))
+def _part(rows: DataFrame, trees: dict[int, tuple[int, list]], radius: int) -> DataFrame:
+    """(above, leaf, fp, home): rows (leaf, fp, home), dealt to the leaves of the tree of their leaf, now called above."""
+    shipped = rows.sparkSession.sparkContext.broadcast(trees)
+    names = ["above", "leaf", "fp", "home"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            above, f, home = (np.concatenate(c) for c in zip(*held, strict=True))
+            for k in np.unique(above):
+                at = np.flatnonzero(above == k)
+                first, tree = shipped.value[int(k)]
+                row, leaf, own = route(tree, f[at].view(np.uint64), radius, home[at])
+                for a in range(0, len(row), BLOCK):
+                    cut_ = slice(a, a + BLOCK)
+                    cols = np.full(len(row[cut_]), k), leaf[cut_] + first, f[at[row[cut_]]], own[cut_]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
         for b in batches:
-            f = b.column(0).to_numpy()
-            if len(f):
-                row, at, home = route(tree.value, f.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(f[row]), pa.array(home)], ["leaf", "fp", "home"])
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += len(b)
+            if n >= ROUTE_ROWS:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    return rows.select("leaf", "fp", "home").mapInArrow(send, "above long, leaf long, fp long, home boolean")
 
-    routed = fps.select("fp").mapInArrow(send, "leaf int, fp long, home boolean")
-    hot = [r[0] for r in routed.groupBy("leaf").count().filter(F.col("count") > HOT_LEAF).collect()] if radius == 2 else []
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+def _mark(rows: DataFrame, on: str, values: dict[int, int], name: str) -> DataFrame:
+    """Those rows whose `on` is a key of values, and its value as `name`; the keys are leaves, which have a bound."""
+    table = rows.sparkSession.createDataFrame(pd.DataFrame({on: np.array(list(values), np.int64), name: np.array(list(values.values()), np.int64)}))
+    return rows.join(F.broadcast(table), on)
+
+
+def _search_leaves(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) of rows (leaf, fp, home, pieces): a leaf's members with each other and with its visitors, a piece of these a task."""
+    of = F.pmod(F.xxhash64("fp"), F.col("pieces"))
+    pieces = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).otherwise(F.array(of))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         f, home = pdf["fp"].to_numpy(), pdf["home"].to_numpy()
-        root = link_leaf(f.view(np.uint64), np.flatnonzero(home), np.flatnonzero(~home), radius)
+        root = link_leaf(f.view(np.uint64), np.flatnonzero(home), np.flatnonzero(~home), radius, among=pdf["piece"].iloc[0] == 0)
         at = np.flatnonzero(root != np.arange(len(f)))
         return pd.DataFrame({"u": f[at], "v": f[root[at]]})
 
-    cool = routed.filter(~F.col("leaf").isin(hot)) if hot else routed
-    edges = cool.groupBy("leaf").applyInPandas(search, "u long, v long")
-    if hot:  # at most 65 fingerprints share a flipped value: these groups have a bound however dense the leaf is
-        dense = routed.filter(F.col("leaf").isin(hot)).select("fp").distinct()
+    return rows.select("leaf", "fp", "home", F.explode(pieces).alias("piece")).groupBy("leaf", "piece").applyInPandas(one, "u long, v long")
+
+
+def _search_dense(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) of rows (leaf, fp, home, size) of leaves that no vantage point parts.
+
+    At radius 2 rows meet where they share a value at one flip or none: at most 65 share one, however dense the leaf is. At any
+    other radius a leaf is compared in squares of GRID rows a side, each a task: exact, at the cost of its square.
+    """
+    if radius == 2:
         keys = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)))
-        flipped = dense.select("fp", F.explode(keys).alias("key"))
-        edges = edges.union(flipped.groupBy("key").agg(F.min("fp").alias("lo"), F.collect_set("fp").alias("all")).select(F.explode("all").alias("u"), F.col("lo").alias("v")))
-    return edges
+        flipped = rows.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
+        met = flipped.groupBy("key").agg(F.min("fp").alias("lo"), F.collect_set("fp").alias("all"))
+        return met.select(F.explode("all").alias("u"), F.col("lo").alias("v"))
+    side = F.ceil(F.col("size") / GRID).cast("long")
+    mine, others = F.pmod(F.xxhash64("fp"), side), F.sequence(F.lit(0).cast("long"), side - 1)
+    asks = rows.select("leaf", "fp", F.lit(False).alias("home"), mine.alias("j"), F.explode(others).alias("i"))
+    held = rows.filter("home").select("leaf", "fp", "home", F.explode(others).alias("j"), mine.alias("i"))
+
+    def square(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, home = pdf["fp"].to_numpy(), pdf["home"].to_numpy()
+        root = link_leaf(f.view(np.uint64), np.flatnonzero(home), np.flatnonzero(~home), radius, among=False)
+        at = np.flatnonzero(f != f[root])
+        return pd.DataFrame({"u": f[at], "v": f[root[at]]})
+
+    return asks.unionByName(held).groupBy("leaf", "i", "j").applyInPandas(square, "u long, v long")
+
+
+def search_fingerprints(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> Search:
+    """Links of at most `radius` bits between the distinct signed longs of column fp, and how they were searched.
+
+    A leaf with over HOT_LEAF members gets a tree of its own, fitted on its own sample, unless that leaves USEFUL of its
+    comparisons or more: such a leaf is dense. Routed rows are written once a level, in the checkpoint folder. Within a leaf only
+    a star for each local component is returned, so a dense group never becomes all its pairs. The driver holds trees and
+    counts for at most about 2**MAX_DEPTH leaves of a level, however large the input.
+    """
+    n = fps.count()
+    rows, todo = fps.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home")), {0: (n, n)}
+    edges: list[DataFrame] = []
+    out = Search(None)
+    while todo:
+        trees = _fit(rows, todo, radius, leaf, min(out.levels, 1))
+        parted = cut(_part(rows, trees, radius))
+        sizes = parted.groupBy("above", "leaf").agg(F.count_if("home").alias("members"), F.count("*").alias("asks")).collect()
+        left = dict.fromkeys(todo, 0)
+        for r in sizes:
+            left[r.above] += r.members * r.asks
+        dense = {k: a for k, (m, a) in todo.items() if out.levels and left[k] >= USEFUL * m * a}
+        own = [r for r in sizes if r.above not in dense]
+        todo = {r.leaf: (r.members, r.asks) for r in own if r.members > HOT_LEAF}
+        cool = {r.leaf: -(-r.asks // PIECE_ROWS) for r in own if r.leaf not in todo and r.members}
+        whole = not dense and not todo and max(cool.values(), default=1) == 1
+        if cool:
+            edges.append(_search_leaves(parted.withColumn("pieces", F.lit(1).cast("long")) if whole else _mark(parted, "leaf", cool, "pieces"), radius))
+        if dense:
+            edges.append(_search_dense(_mark(rows, "leaf", dense, "size"), radius))
+        rows = _mark(parted.select("leaf", "fp", "home"), "leaf", dict.fromkeys(todo, 0), "hot").drop("hot") if todo else rows
+        out.levels += 1
+        out.leaves += len(cool)
+        out.routed += sum(r.asks for r in own if r.leaf in cool)
+        out.dense += len(dense)
+        out.dense_rows += sum(dense.values())
+    out.edges = reduce(DataFrame.union, edges) if edges else fps.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    return out
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> DataFrame:
+    """Distinct signed longs in column fp -> edges (u, v) that connect exactly what links of at most `radius` bits connect."""
+    return search_fingerprints(fps, radius, leaf).edges
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:

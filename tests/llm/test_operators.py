@@ -88,33 +88,55 @@ def test_simhash_groups(spark, odd, none):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
-def test_vantage_point_links(spark, radius, monkeypatch):
-    r = np.random.default_rng(radius)
+def points(seed, clouds=60):
+    r = np.random.default_rng(seed)
     centres = r.integers(0, 1 << 63, 150, dtype=np.uint64)
     pts = set(map(int, centres))
-    for c in centres[:60]:
+    for c in centres[:clouds]:
         for _ in range(8):
             c ^= np.uint64(1 << int(r.integers(0, 64)))
             pts.add(int(c))
     dense = int(centres[0])
     pts |= {dense ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)}
-    pts = np.array(sorted(pts), np.uint64)
-    if radius == 2:
-        monkeypatch.setattr(S, "HOT_LEAF", 150)
-    df = spark.createDataFrame([(int(x),) for x in pts.view(np.int64)], "fp long")
-    got = {x.node: x.root for x in components(S.link_fingerprints(df, radius, leaf=64)).collect()}
-    near = np.bitwise_count(pts[:, None] ^ pts) <= radius
-    root = S.local_roots(len(pts), *np.nonzero(near))
-    signed = pts.view(np.int64)
-    lows = {}
+    return np.array(sorted(pts), np.uint64)
+
+
+def roots_of(pts, radius):
+    root = S.local_roots(len(pts), *np.nonzero(np.bitwise_count(pts[:, None] ^ pts) <= radius))
+    signed, lows = pts.view(np.int64), {}
     for i, k in enumerate(root):
         lows[k] = min(lows.get(k, 1 << 63), int(signed[i]))
-    assert [got.get(int(x), int(x)) for x in signed] == [lows[k] for k in root]
+    return [lows[k] for k in root]
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize("how", ["plain", "trees", "dense"])  # trees: leaves get trees of their own, visitors come in pieces; dense: no split is called useful
+def test_vantage_point_links(spark, radius, how, monkeypatch):
+    pts = points(radius)
+    if how == "dense":
+        monkeypatch.setattr(S, "USEFUL", 0.0)
+    if how != "plain":
+        monkeypatch.setattr(S, "HOT_LEAF", 40)
+        monkeypatch.setattr(S, "PIECE_ROWS", 50)
+        monkeypatch.setattr(S, "GRID", 64)
+    df = spark.createDataFrame([(int(x),) for x in pts.view(np.int64)], "fp long")
+    found = S.search_fingerprints(df, radius, leaf=64 if how == "plain" else 256)
+    got = {x.node: x.root for x in components(found.edges).collect()}
+    assert [got.get(int(x), int(x)) for x in pts.view(np.int64)] == roots_of(pts, radius)
+    assert (found.leaves > 1) == (how != "dense") and (found.levels > 1) == (how != "plain") and (how == "trees" or (found.dense > 0) == (how == "dense"))
+
+
+def test_leaves_asked_by_many_stay_in_the_tree(spark):
+    """Of unrelated fingerprints nothing is left to flips, however many rows ask a leaf."""
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(int(x),) for x in r.integers(-(1 << 63), 1 << 63, 20_000)], "fp long")
+    found = S.search_fingerprints(df, 2, leaf=64)
+    assert found.levels == 1 and found.dense_rows == 0 and found.routed > 100_000 and found.leaves > 200
 
 
 def test_leaf_search_with_splits_and_flips(monkeypatch):
     monkeypatch.setattr(S, "BRUTE", 500)
+    monkeypatch.setattr(S, "FLIP_COST", 0)
     r = np.random.default_rng(1)
     pts = np.unique(np.r_[r.integers(0, 1 << 63, 300, dtype=np.uint64), np.uint64(99) ^ (np.uint64(1) << r.integers(0, 64, 60).astype(np.uint64))])
     for radius in (2, 4):
@@ -299,12 +321,15 @@ def brute_overlap(text, items):
     return len(w), len(hit), sorted(owners)
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 300])
+@pytest.mark.parametrize("limit", [32 << 20, 1200, 300])  # one, two and seven blocks
 def test_overlaps(spark, odd, none, limit, monkeypatch):
     monkeypatch.setattr(D, "INDEX_BYTES", limit)
     src = rows()
     items = [(1, src[0][1][30:200]), (2, "Two-WORDS"), (3, ""), (4, None), (None, "word word word word"), (1, prose(80, 3)[:90]), (5, prose(30, 77)), (20, " ".join(prose(20_000, 1).split()[777:790]))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items += [(f"again{k}", t) for k in range(2) for _, t in items[:3]]
+    items = [(None if i is None else str(i), t) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert D._blocks(bench, "item_id", "text")[0] == {32 << 20: 1, 1200: 2, 300: 7}[limit]
     marked = D.overlaps(odd, bench)
     w, s, i = marked.columns[-3:]
     assert w == "bench_words_" and marked.count() == len(src)
