@@ -321,15 +321,15 @@ def brute_overlap(text, items):
     return len(w), len(hit), sorted(owners)
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 1200, 300])  # one, two and seven blocks
-def test_overlaps(spark, odd, none, limit, monkeypatch):
-    monkeypatch.setattr(D, "INDEX_BYTES", limit)
+@pytest.mark.parametrize("blocks", [1, 2, 7])
+def test_overlaps(spark, odd, none, blocks, monkeypatch):
     src = rows()
     items = [(1, src[0][1][30:200]), (2, "Two-WORDS"), (3, ""), (4, None), (None, "word word word word"), (1, prose(80, 3)[:90]), (5, prose(30, 77)), (20, " ".join(prose(20_000, 1).split()[777:790]))]
     items += [(f"again{k}", t) for k in range(2) for _, t in items[:3]]
     items = [(None if i is None else str(i), t) for i, t in items]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    assert D._blocks(bench, "item_id", "text")[0] == {32 << 20: 1, 1200: 2, 300: 7}[limit]
+    monkeypatch.setattr(D, "INDEX_BYTES", -(-sum(len(t) for i, t in {x for x in items if x[1]}) // blocks))
+    assert D._blocks(bench, "item_id", "text")[0] == blocks
     marked = D.overlaps(odd, bench)
     w, s, i = marked.columns[-3:]
     assert w == "bench_words_" and marked.count() == len(src)
