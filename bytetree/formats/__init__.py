@@ -1,132 +1,156 @@
-"""Schemas of common binary formats, and which one a file name or media type calls for."""
+"""Schemas of common binary formats, written from the public documents named beside them, and which one a file name or media
+type calls for."""
 
 from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-_INTS = """
-let U = integer { @signed: false; @endian: 'little'; };
-let B = integer { @signed: false; @endian: 'big'; };
-let lu8 = byte <> U;  let lu16 = [2] byte <> U;  let lu32 = [4] byte <> U;  let ls64 = [8] byte <> integer { @signed: true; @endian: 'little'; };
-let bu8 = byte <> B;  let bu16 = [2] byte <> B;  let bu32 = [4] byte <> B;  let bu64 = [8] byte <> B;
-let CString = string { @boundary: '\\0'; };
+_LITTLE = """
+let Le = integer { @signed: false; @endian: 'little'; };
+let byte8 = byte <> Le;  let half = [2] byte <> Le;  let word = [4] byte <> Le;
+"""
+_BIG = """
+let Be = integer { @signed: false; @endian: 'big'; };
+let byte8 = byte <> Be;  let half = [2] byte <> Be;  let word = [4] byte <> Be;  let long = [8] byte <> Be;
 """
 
-#: name -> (schema text, the type of a whole file, extensions, media types)
-FORMATS: dict[str, tuple[str, str, tuple[str, ...], tuple[str, ...]]] = {
-    "gzip": (
-        _INTS
-        + """
-let File = struct { members: [] Part; };
-let Part = struct {
-    magic: [2] byte; method: lu8; flags: lu8; modified: lu32; effort: lu8; system: lu8;
-    let ?has_checksum = (flags & 2) != 0;  let ?has_extra = (flags & 4) != 0;  let ?has_name = (flags & 8) != 0;  let ?has_comment = (flags & 16) != 0;
-    if (?has_extra) { extra_size: lu16; extra: [extra_size] byte <> [] Extra; }
-    if (?has_name) { name: CString; }
-    if (?has_comment) { comment: CString; }
-    if (?has_checksum) { header_crc: lu16; }
-    body: deflate { @output_size: size; };
-    crc: lu32; size: lu32;
+# RFC 1952, section 2.3: member names are those of the document. The compressed blocks end where the eight bytes of the trailer begin.
+GZIP = """
+let File = struct { members: [] Member; };
+let Member = struct {
+    fixed: struct { id1: byte8; id2: byte8; cm: byte8; flg: byte8; mtime: word; xfl: byte8; os: byte8; };
+    let ?fhcrc = fixed.flg >> 1 & 1;  let ?fextra = fixed.flg >> 2 & 1;  let ?fname = fixed.flg >> 3 & 1;  let ?fcomment = fixed.flg >> 4 & 1;
+    if (?fextra == 1) { extra: struct { xlen: half; subfields: [xlen] byte <> [] Subfield; }; }
+    if (?fname == 1) { name: Latin; }
+    if (?fcomment == 1) { comment: Latin; }
+    if (?fhcrc == 1) { crc16: half; }
+    blocks: deflate { @output_size: trailer.isize; };
+    trailer: struct { crc32: word; isize: word; };
 };
-let Extra = struct { tag: [2] byte; n: lu16; data: [n] byte; };
-""",
-        "File", (".gz", ".tgz"), ("application/gzip", "application/x-gzip"),
-    ),
-    "tar": (
-        _INTS
-        + """
-let Octal = CString <> formatted_integer { @base: 8; @empty_value: 0; };
-let File = struct { entries: [] Entry; };
+let Subfield = struct { si1: byte8; si2: byte8; len: half; data: [len] byte; };
+let Latin = string { @boundary: '\\0'; };
+"""
+
+# The ustar interchange format of POSIX.1 (pax utility), one flat record a file: header members in the order and under the names
+# of the standard's table, then the contents, filled up to a whole record of 512 bytes.
+TAR = """
+let Text = string { @boundary: '\\0'; };
+let Digits = Text <> string { @boundary: ' '; } <> formatted_integer { @base: 8; @empty_value: 0; };
+let File = struct { files: [] Entry; };
 let Entry = struct {
-    head: Head;
-    pages: [(head.size + 511) / 512] Page;
-    let ?content = pages <> [head.size] byte;
-    @key: head.name;
+    name: [100] byte <> Text;  mode: [8] byte <> Digits;  uid: [8] byte <> Digits;  gid: [8] byte <> Digits;
+    size: [12] byte <> Digits;  mtime: [12] byte <> Digits;  chksum: [8] byte <> Digits;  typeflag: byte <> string;
+    linkname: [100] byte <> Text;  magic: [6] byte <> Text;  version: [2] byte <> string;
+    uname: [32] byte <> Text;  gname: [32] byte <> Text;  devmajor: [8] byte <> Digits;  devminor: [8] byte <> Digits;
+    prefix: [155] byte <> Text;
+    [12] byte;
+    contents: [size] byte;
+    [-size & 511] byte;
+    @key: name;
 };
-let Page = [512] byte;
-let Head = struct {
-    @span: 512;
-    name: [100] byte <> CString; mode: [8] byte <> Octal; user: [8] byte <> Octal; group: [8] byte <> Octal; size: [12] byte <> Octal; modified: [12] byte <> Octal; checksum: [8] byte <> Octal;
-    kind: byte <> CString; link: [100] byte <> CString; magic: [6] byte <> CString; version: [2] byte; user_name: [32] byte <> CString; group_name: [32] byte <> CString;
-    major: [8] byte; minor: [8] byte; prefix: [155] byte <> CString;
-};
-""",
-        "File", (".tar",), ("application/x-tar",),
-    ),
-    "sorted_table": (
-        _INTS
-        + """
+"""
+
+# The published description of the sorted string table: data blocks, an index block whose values are handles, a footer of 48 bytes.
+# A block is followed by its kind of compression (0 none, 1 snappy) and a checksum. Rows of the index block have their handle
+# spelt out, so `?rows` leads from an index row to the rows it stands for.
+SORTED_TABLE = """
 let File = struct {
-    body: [] byte;
-    foot: struct { @span: 48; meta: Handle; index: Handle; [] byte; magic: [8] byte; };
-    let ?index = foot.index;  let ?meta = foot.meta;
-    let Handle = struct { at: varint; n: varint; let ?block = body[at .. at + n + sizeof(Tail)] <> Stored; };
-    let Tail = struct { kind: lu8; crc: lu32; };
-    let Stored = struct {
-        if (tail.kind == 0) { Block; } else if (tail.kind == 1) { snappy <> Block; }
-        tail: Tail;
+    stored: [] byte;
+    handles: [40] byte <> struct { meta_at: varint; meta_size: varint; index_at: varint; index_size: varint; unused: [] byte; };
+    magic: [8] byte;
+    let ?packed = (stored[handles.index_at + handles.index_size ..][..1] <> byte8) == 1;
+    if (?packed) { let ?index = stored[handles.index_at ..][.. handles.index_size] <> snappy <> Index; }
+    else { let ?index = stored[handles.index_at ..][.. handles.index_size] <> Index; }
+    let Index = struct { rows: [] Pointer; restarts: [n_restarts] word; n_restarts: word; };
+    let Pointer = struct {
+        shared: varint; non_shared: varint; value_length: varint; key_delta: [non_shared] byte; at: varint; size: varint;
+        let ?packed = (File::stored[at + size ..][..1] <> byte8) == 1;
+        if (?packed) { let ?rows = File::stored[at ..][.. size] <> snappy <> Data; } else { let ?rows = File::stored[at ..][.. size] <> Data; }
     };
-    let Block = struct { entries: [] Entry; restarts: [n_restarts] lu32; n_restarts: lu32; };
-    let Entry = struct { shared: varint; unshared: varint; n: varint; key_end: [unshared] byte; value: [n] byte; };
+    let Data = struct { rows: [] Row; restarts: [n_restarts] word; n_restarts: word; };
+    let Row = struct { shared: varint; non_shared: varint; value_length: varint; key_delta: [non_shared] byte; value: [value_length] byte; };
 };
-""",
-        "File", (".ldb", ".sst"), (),
-    ),
-    "block_log": (
-        _INTS
-        + """
-let File = struct { blocks: [] Full; rest: Partial; };
-let Full = struct { @span: 32768; records: [] Record; fill: [] byte; };
-let Partial = struct { records: [] Record; };
-let Record = struct { @minspan: 7; crc: lu32; n: lu16; kind: lu8; data: [n] byte <> string; };
-""",
-        "File", (".log",), (),
-    ),
-    "mp4": (
-        _INTS
-        + """
-let Code = [4] byte <> string;
+"""
+
+# The published description of the block log: records in blocks of 32 KiB, the last one as long as it comes; a rest too short
+# for a record's seven bytes is filled up.
+BLOCK_LOG = """
+let File = struct { blocks: [] Block; };
+let Block = struct { @maxspan: 32768; fragments: [] Fragment; filler: [] byte; };
+let Fragment = struct { @minspan: 7; checksum: word; length: half; type: byte8; data: [length] byte; };
+"""
+
+# ISO/IEC 14496-12: a box is its size, its type and what the type says. Sizes 0 (up to the end) and 1 (a long one follows) as
+# in section 4.2; the versions of a full box differ in the width of times and durations.
+_MP4_INNER = ("moov", "trak", "edts", "mdia", "minf", "dinf", "stbl", "mvex", "moof", "traf", "mfra", "udta")  # fixed values: boxes of boxes
+MP4 = """
+let Tag = [4] byte <> string;
 let File = struct { boxes: [] Box; };
 let Box = struct {
-    head: struct { size: bu32; code: Code; };
-    @span: head.size;  @minspan: 8;  @key: head.code;
-    if (head.code == 'ftyp') { brand: Code; brand_version: bu32; compatible: [] Code; }
-    else if (head.code == 'moov' || head.code == 'trak' || head.code == 'mdia' || head.code == 'minf' || head.code == 'stbl' || head.code == 'dinf' || head.code == 'edts' || head.code == 'udta') { boxes: [] Box; }
-    else if (head.code == 'mvhd' || head.code == 'mdhd') {
-        version: bu8; flags: [3] byte;
-        if (version == 1) { created: bu64; modified: bu64; timescale: bu32; duration: bu64; } else { created: bu32; modified: bu32; timescale: bu32; duration: bu32; }
-        rest: [] byte;
-    }
-    else if (head.code == 'hdlr') { version: bu8; flags: [3] byte; quicktime: Code; handler: Code; reserved: [12] byte; name: string; }
-    else if (head.code == 'stsd' || head.code == 'dref') { version: bu8; flags: [3] byte; n: bu32; boxes: [n] Box; }
-    else if (head.code == 'stts') { version: bu8; flags: [3] byte; n: bu32; times: [n] struct { count: bu32; delta: bu32; }; }
-    else if (head.code == 'stsc') { version: bu8; flags: [3] byte; n: bu32; chunks: [n] struct { first: bu32; samples: bu32; description: bu32; }; }
-    else if (head.code == 'stsz') { version: bu8; flags: [3] byte; size: bu32; n: bu32; if (size == 0) { sizes: [n] bu32; } }
-    else if (head.code == 'stco' || head.code == 'stss') { version: bu8; flags: [3] byte; n: bu32; values: [n] bu32; }
-    else if (head.code == 'co64') { version: bu8; flags: [3] byte; n: bu32; values: [n] bu64; }
-    else { data: [] byte; }
+    size: word; type: Tag;
+    if (size == 1) { largesize: long; }
+    if (size == 1) { @span: largesize; } else if (size != 0) { @span: size; }
+    @minspan: 8;
+    @key: type;
+    if (INNER) { boxes: [] Box; }
+    else if (type == 'ftyp' || type == 'styp') { major_brand: Tag; minor_version: word; compatible_brands: [] Tag; }
+    else if (type == 'mvhd') { full: Full; if (full.version == 1) { time: Long; } else { time: Short; } rate: word; volume: half; [10] byte; matrix: [9] word; [24] byte; next_track_id: word; }
+    else if (type == 'tkhd') { full: Full; if (full.version == 1) { time: LongTrack; } else { time: ShortTrack; } [8] byte; layer: half; alternate_group: half; volume: half; [2] byte; matrix: [9] word; width: word; height: word; }
+    else if (type == 'mdhd') { full: Full; if (full.version == 1) { time: Long; } else { time: Short; } language: half; [2] byte; }
+    else if (type == 'hdlr') { full: Full; [4] byte; handler_type: Tag; [12] byte; name: string { @boundary: '\\0'; }; }
+    else if (type == 'stsd' || type == 'dref') { full: Full; entry_count: word; entries: [entry_count] Box; }
+    else if (type == 'stts') { full: Full; runs: struct { entry_count: word; list: [entry_count] struct { sample_count: word; sample_delta: word; }; }; }
+    else if (type == 'ctts') { full: Full; runs: struct { entry_count: word; list: [entry_count] struct { sample_count: word; sample_offset: word; }; }; }
+    else if (type == 'stsc') { full: Full; runs: struct { entry_count: word; list: [entry_count] struct { first_chunk: word; samples_per_chunk: word; sample_description_index: word; }; }; }
+    else if (type == 'stsz') { full: Full; sample_size: word; sample_count: word; if (sample_size == 0) { entry_sizes: [sample_count] word; } }
+    else if (type == 'stco') { full: Full; entry_count: word; chunk_offsets: [entry_count] word; }
+    else if (type == 'co64') { full: Full; entry_count: word; chunk_offsets: [entry_count] long; }
+    else if (type == 'stss') { full: Full; entry_count: word; sample_numbers: [entry_count] word; }
+    else if (type == 'elst') { full: Full; entry_count: word; if (full.version == 1) { edits: [entry_count] struct { duration: long; media_time: long; rate: word; }; } else { edits: [entry_count] struct { duration: word; media_time: word; rate: word; }; } }
+    else if (type == 'mfhd') { full: Full; sequence_number: word; }
+    else if (type == 'trex') { full: Full; track_id: word; defaults: [4] word; }
+    else { payload: [] byte; }
 };
-""",
-        "File", (".mp4", ".m4a", ".mov"), ("video/mp4",),
-    ),
-    "ogg": (
-        _INTS
-        + """
+let Full = struct { version: byte8; flags: [3] byte; };
+let Short = struct { creation: word; modification: word; timescale: word; duration: word; };
+let Long = struct { creation: long; modification: long; timescale: word; duration: long; };
+let ShortTrack = struct { creation: word; modification: word; track_id: word; [4] byte; duration: word; };
+let LongTrack = struct { creation: long; modification: long; track_id: word; [4] byte; duration: long; };
+""".replace("INNER", " || ".join(f"type == '{x}'" for x in _MP4_INNER))
+
+# RFC 3533, section 6: a page's body is cut by its own table of lacing values.
+OGG = """
 let File = struct { pages: [] Page; };
 let Page = struct {
-    head: struct { magic: [4] byte <> string; version: lu8; flags: lu8; granule: ls64; stream: lu32; number: lu32; crc: lu32; n: lu8; sizes: [n] lu8; };
-    parts: [head.n] Part;
-    let Part = struct { data: [?size] byte; let ?size = head.sizes[index(parts, self)]; };
+    capture_pattern: [4] byte <> string; version: byte8; header_type: byte8;
+    granule_position: [8] byte <> integer { @signed: true; @endian: 'little'; };
+    serial_number: word; sequence_number: word; checksum: word;
+    lacing: struct { page_segments: byte8; values: [page_segments] byte8; };
+    body: [len(lacing.values)] Lace;
+    let Lace = struct { @span: Page::lacing.values[index(Page::body, self)]; packet_data: [] byte; };
 };
-""",
-        "File", (".ogg", ".oga", ".ogv"), ("application/ogg", "audio/ogg"),
-    ),
-    "key_value_log": (
-        _INTS + "let File = struct { records: [] Record; };  let Record = struct { flags: bu8; key_n: bu32; key: [key_n] byte <> string; n: bu32; value: [n] byte; @key: key; };",
-        "File", (".dumbdb", ".kvlog"), (),
-    ),
-    "word_list": ("let File = [] Entry;  let Entry = struct { word: string { @boundary: '\\n'; }; @key: word; };", "File", (".dict", ".words"), ()),
-}
+"""
+
+# Key and value, each behind its length, after a byte of flags.
+KEY_VALUE_LOG = """
+let File = struct { log: [] Pair; };
+let Pair = struct { flags: byte8; key: Sized; value: Sized; @key: key.text; };
+let Sized = struct { length: word; text: [length] byte <> string; };
+"""
+
+WORD_LIST = "let File = [] Entry;  let Entry = struct { word: string { @boundary: '\\n'; }; @key: word; };"
+
+#: name -> (schema text, the type of a whole file, extensions, media types)
+FORMATS: dict[str, tuple[str, str, tuple[str, ...], tuple[str, ...]]] = {
+    "gzip": (_LITTLE + GZIP, "File", (".gz", ".tgz"), ("application/gzip", "application/x-gzip")),
+    "tar": (TAR, "File", (".tar",), ("application/x-tar",)),
+    "sorted_table": (_LITTLE + SORTED_TABLE, "File", (".ldb", ".sst"), ()),
+    "block_log": (_LITTLE + BLOCK_LOG, "File", (".log",), ()),
+    "mp4": (_BIG + MP4, "File", (".mp4", ".m4a", ".mov"), ("video/mp4",)),
+    "ogg": (_LITTLE + OGG, "File", (".ogg", ".oga", ".ogv"), ("application/ogg", "audio/ogg")),
+    "key_value_log": (_BIG + KEY_VALUE_LOG, "File", (".kvlog",), ()),
+    "word_list": (WORD_LIST, "File", (".dict", ".words"), ()),
+}
 
 
 def find_format(path: str | None = None, extension: str | None = None, mimetype: str | None = None) -> str | None:

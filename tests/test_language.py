@@ -289,46 +289,92 @@ def test_board_names():
     assert "string" in builtin_names("str") and find_format("x/y.tar") == "tar" and find_format(mimetype="video/mp4") == "mp4"
 
 
-def test_formats_load_and_read():
+def format_board(name, data):
+    b = Board()
+    b.add_spec("F", FORMATS[name][0])
+    b.add_data_source("d", data)
+    return lambda e: b.read(f"(d <> F.{FORMATS[name][1]}){e}")
+
+
+def test_gzip_members():
     import gzip
+    import io
+    import zlib
+
+    f = io.BytesIO()
+    with gzip.GzipFile("story.txt", "wb", fileobj=f, mtime=77) as g:
+        g.write(b"hello " * 100)
+    read = format_board("gzip", f.getvalue())
+    assert read(".members[0].blocks") == b"hello " * 100 and read(".members[0].name") == b"story.txt" and read(".members[0].fixed.mtime") == 77
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    body = z.compress(b"abc") + z.flush()
+    head = bytes([31, 139, 8, 2 | 4 | 16, 0, 0, 0, 0, 0, 3]) + b"\6\0ab\2\0xy" + b"note\0" + b"\x34\x12"
+    read = format_board("gzip", head + body + zlib.crc32(b"abc").to_bytes(4, "little") + b"\3\0\0\0")
+    assert read(".members[0].extra.subfields[0].data") == b"xy" and read(".members[0].comment") == b"note" and read(".members[0].crc16") == 0x1234
+    assert read(".members[0].blocks") == b"abc" and read(".members[0].trailer.crc32") == zlib.crc32(b"abc")
+
+
+def test_tar_entries():
     import io
     import tarfile
 
-    for text, top, _, _ in FORMATS.values():
-        b = Board()
-        b.add_spec("F", text)
-        assert top
-    b.add_spec("G", FORMATS["gzip"][0])
-    b.add_data_source("g", gzip.compress(b"hello " * 100))
-    assert b.read("(g <> G.File).members[0].body") == b"hello " * 100
     f = io.BytesIO()
     with tarfile.open(fileobj=f, mode="w", format=tarfile.USTAR_FORMAT) as t:
-        for n in ("one", "two"):
+        for n, size in (("one", 700), ("two", 1024), ("none", 0)):
             i = tarfile.TarInfo(n)
-            i.size = 700
-            t.addfile(i, io.BytesIO(n.encode() * 300))
-    b.add_spec("T", FORMATS["tar"][0])
-    b.add_data_source("t", f.getvalue()[: 6 * 512])
-    assert b.read("(t <> T.File).entries['two'].?content") == (b"two" * 300)[:700]
-    log = b"".join(b"crc." + len(x).to_bytes(2, "little") + b"\1" + x for x in [b"a" * 43] * 655) + b"\0" * 18
-    b.add_spec("L", FORMATS["block_log"][0])
-    b.add_data_source("l", log + b"crc." + b"\3\0\1abc")
-    assert b.read("len((l <> L.File).blocks[0].records)") == 657 and b.read("(l <> L.File).rest.records[0].data") == b"abc"
-    block = b"\0\1\1kv" + b"\0\0\0\0" + b"\1\0\0\0"
-    snap = bytes([len(block), (len(block) - 1) << 2]) + block
-    body = block + b"\0crc." + snap + b"\1crc."
-    foot = (bytes([0, len(block), len(block) + 5, len(snap)])).ljust(40, b"\0") + b"magicnum"
-    b.add_spec("S", FORMATS["sorted_table"][0])
-    b.add_data_source("s", body + foot)
-    for h in ("?meta", "?index"):
-        assert b.read(f"(s <> S.File).{h}.?block.entries[0].key_end") == b"k" and b.read(f"(s <> S.File).{h}.?block.n_restarts") == 1
+            i.size, i.uid, i.uname, i.mtime = size, 12, "me", 99
+            t.addfile(i, io.BytesIO(n.encode() * 600))
+    read = format_board("tar", f.getvalue()[: (2 + 1 + 2 + 1 + 1) * 512])
+    assert read(".files['one'].contents") == (b"one" * 600)[:700] and read(".files['two'].size") == 1024 and read(".files['none'].size") == 0
+    assert read(".files[1].uid") == 12 and read(".files[-1].mtime") == 99 and read(".files[0].uname") == b"me"
+
+
+def test_sorted_table_blocks():
+    row = lambda key, value, shared=0: bytes([shared, len(key), len(value)]) + key + value
+    block = lambda *rows: b"".join(rows) + b"\0\0\0\0" + b"\1\0\0\0"
+    snap = lambda b: bytes([len(b), (len(b) - 1) << 2]) + b
+    for packed in (False, True):
+        store = (lambda b: snap(b) + b"\1crc.") if packed else (lambda b: b + b"\0crc.")
+        first, second = store(block(row(b"apple", b"1"), row(b"ly", b"2", 3))), store(block(row(b"pear", b"3")))
+        index = store(block(row(b"b", bytes([0, len(first) - 5])), row(b"q", bytes([len(first), len(second) - 5]))))
+        at = len(first) + len(second)
+        foot = bytes([0, 0, at, len(index) - 5]).ljust(40, b"\0") + b"magicnum"
+        read = format_board("sorted_table", first + second + index + foot)
+        assert read(".?index.rows[1].key_delta") == b"q" and read(".?index.rows[1].?rows.rows[0].value") == b"3"
+        assert read(".?index.rows[0].?rows.rows[1]")["key_delta"] == b"ly" and read(".?index.n_restarts") == 1 and read(".magic") == b"magicnum"
+
+
+def test_block_log_fragments():
+    log = b"".join(b"crc." + len(x).to_bytes(2, "little") + b"\1" + x for x in [b"a" * 43] * 655) + b"crc." + b"\4\0\1last" + b"\0" * 7
+    assert len(log) == 32768
+    read = format_board("block_log", log[:-7] + b"\0" * 7 + b"crc." + b"\3\0\1abc")
+    assert read(".blocks[1].fragments[0].data") == b"abc" and read(".blocks[0].fragments[655].data") == b"last" and read(".blocks[0].fragments[654].length") == 43
+
+
+def test_mp4_boxes():
     box = lambda code, x: (len(x) + 8).to_bytes(4, "big") + code + x
-    b.add_spec("M", FORMATS["mp4"][0])
-    b.add_data_source("m", box(b"ftyp", b"isom\0\0\0\1mp42") + box(b"moov", box(b"trak", box(b"free", b"abc"))))
-    assert b.read("(m <> M.File).boxes['moov'].boxes['trak'].boxes['free'].data") == b"abc" and b.read("(m <> M.File).boxes[0].compatible") == [b"mp42"]
-    b.add_spec("O", FORMATS["ogg"][0])
-    b.add_data_source("o", b"OggS\0\0" + b"\0" * 8 + b"\0" * 12 + b"\2\1\2abb")
-    assert b.read("(o <> O.File).pages[0].parts[1].data") == b"bb"
+    n = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+    mvhd = box(b"mvhd", n(0, 1, 2, 600, 1200) + n(65536) + b"\1\0" + bytes(10) + n(*range(9)) + bytes(24) + n(2))
+    mdhd = box(b"mdhd", b"\1\0\0\0" + bytes(15) + b"\5" + n(48000) + bytes(7) + b"\7" + b"\x55\xc4\0\0")
+    stbl = box(b"stbl", box(b"stts", n(0, 2, 3, 4, 5, 6)) + box(b"stsz", n(0, 0, 2, 11, 12)) + box(b"co64", n(0, 1, 1, 2)))
+    data = box(b"ftyp", b"isom\0\0\0\1mp42iso2") + box(b"moov", mvhd + box(b"trak", box(b"mdia", mdhd + box(b"hdlr", n(0, 0) + b"vide" + bytes(12) + b"me\0") + box(b"minf", stbl)))) + n(1) + b"mdat" + n(0, 19) + b"abc" + n(0) + b"free" + b"tail"
+    read = format_board("mp4", data)
+    assert read(".boxes[0].compatible_brands") == [b"mp42", b"iso2"] and read(".boxes['moov'].boxes['mvhd'].time.duration") == 1200 and read(".boxes['moov'].boxes['mvhd'].next_track_id") == 2
+    inner = ".boxes['moov'].boxes['trak'].boxes['mdia'].boxes"
+    assert read(inner + "['mdhd'].time") == {"creation": 0, "modification": 5, "timescale": 48000, "duration": 7} and read(inner + "['hdlr'].handler_type") == b"vide"
+    tables = inner + "['minf'].boxes['stbl'].boxes"
+    assert read(tables + "['stts'].runs.list[1].sample_delta") == 6 and read(tables + "['stsz'].entry_sizes") == [11, 12] and read(tables + "['co64'].chunk_offsets") == [(1 << 32) + 2]
+    assert read(".boxes['mdat'].payload") == b"abc" and read(".boxes['free'].payload") == b"tail"
+
+
+def test_ogg_pages_key_value_log_and_words():
+    page = b"OggS\0\2" + (5).to_bytes(8, "little") + (9).to_bytes(4, "little") + bytes(8) + b"\2\1\2abb"
+    read = format_board("ogg", page + page.replace(b"\2\1\2abb", b"\1\3xyz"))
+    assert read(".pages[0].body[1].packet_data") == b"bb" and read(".pages[1].body[0].packet_data") == b"xyz" and read(".pages[1].serial_number") == 9
+    pair = lambda k, v: b"\0" + len(k).to_bytes(4, "big") + k + len(v).to_bytes(4, "big") + v
+    read = format_board("key_value_log", pair(b"a", b"1") + pair(b"bb", b"22") + pair(b"a", b"333"))
+    assert read(".log['a'{1}].value.text") == b"333" and read(".log['bb'].value.length") == 2
+    assert format_board("word_list", b"one\ntwo\n")("['two'].word") == b"two"
 
 
 @given(st.lists(st.tuples(st.binary(max_size=20), st.integers(0, 2**32 - 1)), max_size=20))
