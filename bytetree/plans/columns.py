@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..decode.box import Runtime, Stage
 from ..errors import ExprError
-from ..lang.ast import Binary, Lit, Name, Node, Unary
+from ..lang.ast import Binary, Block, Lit, Name, Node, Unary
 from ..lang.parser import parse_expression
 
 
@@ -108,6 +108,13 @@ class Layout:
     width: int
     count: int | None
     leaves: list[Leaf]
+    counted: Leaf | None = None  #: the member that holds the number of records, placed from the start
+    slices: tuple[tuple[int | None, int | None], ...] = ()  #: bounds of slices of the array, first taken first
+
+    @property
+    def sure(self) -> bool:
+        """Whether no source can fail."""
+        return self.counted is None and not self.slices
 
 
 def leaves_of(rt: Runtime, chain: list[Stage], at: int = 0, path: tuple[str, ...] = ()) -> list[Leaf] | None:
@@ -183,6 +190,8 @@ def member_layout(rt: Runtime, stages: list[Stage], name: str) -> Layout | None:
     if len(spot) != 1:
         return None
     c = rt.choices(block.fields[spot[0]].expr)
+    if len(c) == 1 and (counter := _counter(rt, block, spot[0], c[0])) is not None:
+        return counter
     out = layout_of(rt, c[0]) if len(c) == 1 else None
     sizes = [rt.fixed_size(x[0][0]) if len(x := rt.choices(f.expr)) == 1 else None for f in block.fields]
     rest = [s for i, s in enumerate(sizes) if i != spot[0]]
@@ -193,6 +202,76 @@ def member_layout(rt: Runtime, stages: list[Stage], name: str) -> Layout | None:
     return out
 
 
+def _counter(rt: Runtime, block: Block, spot: int, stages: list[Stage]) -> Layout | None:
+    """Layout of an array whose length is an earlier member of its structure, all members before it being of a fixed size."""
+    if len(stages) != 1 or stages[0].kind != "array" or rt.is_bytes(stages[0]):
+        return None
+    length, items = rt.array_of(stages[0]).length, rt.item_stages(stages[0])
+    if not isinstance(length, Name) or len(items) != 1 or rt.last_attr(items[0]):
+        return None
+    found = next(iter(rt.candidates(length.name, length.scope)), None)
+    if found is None or found[0] is not block or found[1] != "field":
+        return None
+    at, counter = 0, None
+    for f in block.fields[:spot]:
+        c = rt.choices(f.expr)
+        w = rt.fixed_size(c[0][0]) if len(c) == 1 else None
+        if w is None:
+            return None
+        if f.name == length.name:
+            own = leaves_of(rt, c[0], at)
+            counter = own[0] if own and own[0].path == () and own[0].chain[-1].kind == "integer" else None
+        at += w
+    width, leaves = rt.fixed_size(items[0][0]), leaves_of(rt, items[0])
+    return Layout(at, 0, width, None, leaves, counter) if counter is not None and width and leaves else None
+
+
+def sliced(layout: Layout, start: Node | None, stop: Node | None) -> Layout | None:
+    """The layout of a slice with one constant bound."""
+    bounds = [None if e is None else _int(e) for e in (start, stop)]
+    if layout.counted is not None or layout.count is not None or (start is None) == (stop is None) or bounds == [None, None]:
+        return None
+    return replace(layout, slices=(*layout.slices, tuple(bounds)))
+
+
+def _int(e: Node) -> int | None:
+    if isinstance(e, Unary) and e.op == "-" and isinstance(e.arg, Lit):
+        return -e.arg.value if isinstance(e.arg.value, int) else None
+    return e.value if isinstance(e, Lit) and isinstance(e.value, int) and not isinstance(e.value, bool) else None
+
+
+@dataclass
+class Extent:
+    first: Column  #: number of the first record that counts
+    n: Column  #: how many count
+    status: Column  #: why there are no more, or null
+    message: Column
+
+
+def extent(rt: Runtime, layout: Layout, data: Column) -> Extent:
+    """Which records of a source an expression names."""
+    size = F.coalesce(F.length(data), F.lit(0))
+    none = F.lit(None).cast("string")
+    if layout.counted is not None:
+        edge = layout.counted.offset + layout.counted.width
+        n = F.when(size >= edge, decode_leaf(rt, layout.counted, data, F.lit(0)))
+        room = F.floor(F.greatest(size - layout.head, F.lit(0)) / layout.width)
+        status = F.when(n.isNull() | (n > room) & (n >= 0), F.lit("out_of_bounds")).when(n < 0, F.lit("data_error"))
+        message = F.when(n.isNull(), F.lit("the length is outside of the data")).when(n < 0, F.lit("a negative length")).when(n > room, F.concat(F.lit("item "), room.cast("string"), F.lit(" is outside of its array")))
+        return Extent(F.lit(0).cast("long"), F.greatest(F.least(F.coalesce(n, F.lit(0)), room), F.lit(0)).cast("int"), status, message)
+    room = F.greatest(size - F.lit(layout.head + layout.tail), F.lit(0))
+    n = F.lit(layout.count) if layout.count is not None else F.floor(room / layout.width).cast("int")
+    first, status, message = F.lit(0), none, none
+    for a, b in layout.slices:
+        bound = F.lit(a if a is not None else b)
+        at = F.when(bound < 0, bound + n).otherwise(bound)
+        bad = (at < 0) | (at > n)
+        message = F.coalesce(message, F.when(bad, F.concat(F.lit("the slice bound "), at.cast("string"), F.lit(" is outside of "), n.cast("string"), F.lit(" items"))))
+        status = F.coalesce(status, F.when(bad, F.lit("no_item")))
+        first, n = (first + at, n - at) if a is not None else (first, at)
+    return Extent(first, F.when(status.isNull(), n).otherwise(F.lit(0)), status, message)
+
+
 def record_type(leaves: list[Leaf]) -> T.DataType:
     return T.LongType() if leaves[0].chain[-1].kind == "integer" else T.BinaryType()
 
@@ -228,3 +307,71 @@ def split_items(d: Delimited, data: Column) -> Column:
     parts = F.split(text, "\\Q" + d.boundary.decode("latin-1").replace("\\E", "\\E\\\\E\\Q") + "\\E")
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return F.when(F.length(data) > 0, whole).otherwise(F.array().cast("array<string>"))
+
+
+# ---------------------------------------------------------------- nodes
+@dataclass
+class Spot:
+    """A node of constant place: below a record, or a record itself."""
+
+    depth: int
+    ordinal: int
+    path: str
+    name: str | None
+    kind: str
+    offset: int
+    size: int
+    n_items: int | None
+    leaf: Leaf | None
+    up: int  #: its parent, as a number within the record; -1 for what holds the record
+
+
+def spots(rt: Runtime, chain: list[Stage], at: int = 0, depth: int = 0, ordinal: int = 0, path: str = "", name: str | None = None, up: int = -1, out: list[Spot] | None = None) -> list[Spot]:
+    """The node of a type of constant layout and all nodes below it, in preorder."""
+    out = [] if out is None else out
+    last, me = chain[-1], len(out)
+    width = rt.fixed_size(chain[0])
+    if last.kind == "struct" and len(chain) == 1:
+        out.append(Spot(depth, ordinal, path, name, "struct", at, width, len(last.block.fields), None, up))
+        pos = at
+        for i, f in enumerate(last.block.fields):
+            c = rt.choices(f.expr)[0]
+            if f.name is not None:
+                spots(rt, c, pos, depth + 1, i, f"{path}.{f.name}", f.name, me, out)
+            pos += rt.fixed_size(c[0])
+    else:
+        out.append(Spot(depth, ordinal, path, name, last.kind, at, width, None, leaves_of(rt, chain, at)[0], up))
+    return out
+
+
+def node_columns(rt: Runtime, layout: Layout, items: list[Stage], top: tuple[int, str] | None, data: Column, i: Column, n: Column, kinds: T.StructType) -> Column:
+    """The nodes above the records where i is -1, else those of the i-th record, as an array of structures of type `kinds`.
+
+    top: the number of members of the structure that holds the array, and the array's name, where there is such a structure.
+    """
+    own = spots(rt, items)
+    above = 1 if top is None else 2
+    start = F.lit(above).cast("long") + i.cast("long") * len(own)
+    stem = "" if top is None else top[1]
+    base = i.cast("long") * layout.width
+
+    def row(**v) -> Column:
+        return F.struct(*(v.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields))
+
+    def node(k: int, s: Spot) -> Column:
+        v = decode_leaf(rt, s.leaf, data, base) if s.leaf is not None else None
+        number = v is not None and s.kind == "integer"
+        place = F.concat(F.lit(f"{stem}["), i.cast("string"), F.lit(f"]{s.path}"))
+        return row(
+            node_id=start + k, parent_id=F.lit(above - 1) if s.up < 0 else start + s.up, depth=F.lit(above + s.depth), ordinal=F.lit(s.ordinal) if k else i, dpath=place,
+            name=F.lit(s.name), filter=F.lit(s.kind), space_id=F.lit(0), offset=base + s.offset, size=F.lit(s.size), n_items=F.lit(s.n_items) if v is None else F.lit(None) if number else F.length(v),
+            v_int=v if number else F.lit(None), v_bin=F.lit(None) if number or v is None else v,
+        )
+
+    zero = F.lit(0)
+    heads = []
+    if top is not None:
+        heads.append(row(node_id=zero, depth=zero, ordinal=zero, dpath=F.lit(""), filter=F.lit("struct"), space_id=zero, offset=zero, size=F.coalesce(F.length(data), zero), n_items=F.lit(top[0])))
+    one = F.lit(above - 1)
+    heads.append(row(node_id=one, parent_id=F.lit(None) if top is None else zero, depth=one, ordinal=zero, dpath=F.lit(stem), name=F.lit(None if top is None else stem), filter=F.lit("array"), space_id=zero, offset=zero, size=n * layout.width, n_items=n))
+    return F.when(i < 0, F.array(*heads)).otherwise(F.array(*(node(k, s) for k, s in enumerate(own))))

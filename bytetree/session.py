@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .decode.board import Board
 from .decode.box import Box, Data, Source, TypeVal
+from .decode.vectors import Records, Varints, reader
 from .errors import ExprError, NoDataError, NoItemError, PathError
-from .lang.ast import Chain, Member, Name, Node
+from .lang.ast import Chain, Member, Name, Node, Slice
 from .lang.parser import parse_expression
 from .operators.nodes import NODE_SCHEMA, node_rows
 from .plans import columns as K
@@ -30,7 +32,16 @@ from .plans.typing import Place, as_spark, fit, infer, item_of, lazy, plain
 
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
 BATCH_ROWS = 2000
-BATCH_BYTES = 4 << 20
+FILES_BYTES = 8 << 20  #: of file contents that every task carries
+PIECE_ITEMS = 1 << 16  #: items decoded by numpy at once
+SPREAD_BYTES = 64 << 20  #: a core's share of a scan that is left where it is
+
+
+@dataclass
+class Piece:
+    """All items of one source row, undecoded."""
+
+    items: np.ndarray
 
 
 @dataclass
@@ -127,10 +138,27 @@ class Session:
         self.add_data_source(name, self.spark.read.format("binaryFile").load(path), "content")
 
     def add_file(self, path: str, data: bytes) -> None:
-        """Content for `file { @path: ...; }`; executors open no files themselves."""
+        """Content for `file { @path: ...; }`, for small lookup files: all together go to every task, so they are at most
+        FILES_BYTES. Larger or unknown sets of files are joined: see `open_files`."""
+        if sum(map(len, self.files.values())) + len(data) > FILES_BYTES:
+            raise ExprError("more file contents than a task may carry; join them with open_files")
         self.files[path] = bytes(data)
         self.local.add_file(path, data)
 
+    def open_files(self, paths: DataFrame, files: DataFrame, on: str = "value") -> DataFrame:
+        """The rows of `paths`, with the content of the file that column `on` (binary or text) names, and a status.
+
+        `files` is (path, content), such as `spark.read.format("binaryFile")` gives: the two meet in a join on the path, so any
+        number of files of any size can be opened by computed paths. A path is matched whole, or by what follows its scheme.
+        """
+        plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*(?=/)", "")
+        held = files.select(plain(F.col("path")).alias("__path"), F.col("content").alias("content"))
+        named = paths.withColumn("__at", plain(F.col(on).cast("binary").cast("string")))
+        met = named.join(held, F.col("__at") == F.col("__path"), "left")
+        missing = F.col("__at").isNotNull() & F.col("__path").isNull()
+        mine = [c for c in paths.columns if c not in ("content", "status")]
+        return met.select(*mine, held["content"], F.when(missing, F.lit("no_item")).alias("status"))
+
     def notify_file_change(self, path: str) -> None:
         self.spark.catalog.refreshByPath(path)
 
@@ -175,7 +203,10 @@ class Items:
 
     def layout(self) -> K.Layout | None:
         """The constant record layout of `source <> Type` or `(source <> Type).member`, if it has one."""
-        e, name = self.node, None
+        e, name, cuts = self.node, None, []
+        while isinstance(e, Slice) and e.start_twin is None and e.stop_twin is None:
+            cuts.append((e.start, e.stop))
+            e = e.base
         if isinstance(e, Member):
             e, name = e.base, e.name
         if self.source is None or not isinstance(e, Chain) or not isinstance(e.left, Name) or e.left.name != self.source:
@@ -184,7 +215,10 @@ class Items:
         if len(c) != 1:
             return None
         rt = self.session.local.rt
-        return K.member_layout(rt, c[0], name) if name else K.layout_of(rt, c[0])
+        out = K.member_layout(rt, c[0], name) if name else K.layout_of(rt, c[0])
+        for start, stop in reversed(cuts):
+            out = K.sliced(out, start, stop) if out is not None else None
+        return out
 
     def delimiter(self) -> K.Delimited | None:
         """How the items of `source <> Type` are delimited, if nothing else makes them up."""
@@ -212,8 +246,8 @@ class Items:
         ext = {k: (x.func, x.is_filter) for k, x in s.local.rt.externals.items()}
         return Program(self.expr, self.source or "__none", dict(s.local.specs), dict(s.local.exprs), ext, dict(s.constants), dict(s.files))
 
-    def _map(self, made: T.StructType, each) -> DataFrame:
-        """Keys and `made` columns: each(run, data) yields tuples for one source row."""
+    def _map(self, made: T.StructType, each, whole: Records | Varints | None = None) -> DataFrame:
+        """Keys and `made` columns: each(run, data) yields tuples for one source row, or a Piece with all its items for `whole` to decode."""
         df, keys, column = self._input()
         program, mode = self._program(), self.mode
         src = _spread(df.select(*keys, F.col(column).cast("binary").alias(column)))
@@ -227,6 +261,15 @@ class Items:
                 at: list[int] = []
                 cols: list[list] = [[] for _ in made.fields]
                 held = 0
+                pieces: list[tuple[int, np.ndarray]] = []
+                piled = 0
+
+                def together():
+                    sizes = np.array([len(p) for _, p in pieces])
+                    kept = batch.take(pa.array(np.repeat([i for i, _ in pieces], sizes)))
+                    number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    own = [pa.array(number), whole.arrow([p for _, p in pieces], arrow.field(1).type), *(pa.nulls(len(number), f.type) for f in list(arrow)[2:])]
+                    return pa.RecordBatch.from_arrays([*kept.columns[:n], *own], [*batch.schema.names[:n], *arrow.names])
 
                 def flush():
                     kept = batch.take(pa.array(at, pa.int64()))
@@ -237,6 +280,13 @@ class Items:
                     data = data.as_py() or b""
                     try:
                         for row in each(run, data):
+                            if isinstance(row, Piece):
+                                pieces.append((i, row.items))
+                                piled += len(row.items)
+                                if piled >= PIECE_ITEMS:
+                                    yield together()
+                                    pieces, piled = [], 0
+                                continue
                             at.append(i)
                             for c, v in zip(cols, row, strict=True):
                                 c.append(v)
@@ -257,6 +307,8 @@ class Items:
                         at, cols, held = [], [[] for _ in made.fields], 0
                 if at:
                     yield flush()
+                if piled:
+                    yield together()
 
         return src.mapInArrow(work, out)
 
@@ -286,7 +338,7 @@ class Items:
             return self._split(split)
         if self.strategy == "catalyst":
             raise ExprError("the layout isn't constant")
-        kind = self.item_schema()
+        kind, whole = self.item_schema(), self._vectors()
         made = T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("item", kind), T.StructField("status", T.StringType()), T.StructField("message", T.StringType())])
         mode = self.mode
 
@@ -294,6 +346,9 @@ class Items:
             v = run(data)
             if not isinstance(v, Box) or not v.sequence():
                 raise NoItemError("the expression isn't a sequence")
+            if whole is not None and (piece := whole.take(v)) is not None:
+                yield Piece(piece)
+                return
             for i, b in enumerate(v.items()):
                 try:
                     yield i, lazy(b, kind), None, None
@@ -303,21 +358,72 @@ class Items:
                     if mode == "PERMISSIVE":
                         yield i, None, e.status, str(e)
 
-        return self._map(made, each)
+        return self._map(made, each, whole)
+
+    def _vectors(self) -> Records | Varints | None:
+        """How the items are read at once by numpy, if they are."""
+        k = self.kind
+        if not isinstance(k, Place) or k.last.kind != "array":
+            return None
+        rt = self.session.local.rt
+        return reader(rt, rt.item_stages(k.last), rt.array_of(k.last).length is not None, K.leaves_of) if not rt.is_bytes(k.last) else None
 
     def _catalyst(self, layout: K.Layout) -> DataFrame:
         df, keys, column = self._input()
-        data = F.col(column).cast("binary")
-        room = F.length(data) - F.lit(layout.head + layout.tail)
-        n = F.lit(layout.count) if layout.count is not None else F.floor(F.greatest(room, F.lit(0)) / layout.width).cast("int")
+        data, rt = F.col(column).cast("binary"), self.session.local.rt
         src = df.select(*keys, data.alias(column))
-        rows = src.withColumn("ordinal", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
-        at = F.col("ordinal") * F.lit(layout.width) + F.lit(layout.head)
-        item = K.assemble(self.session.local.rt, layout.leaves, F.col(column), at)
-        return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), item.alias("item"))
+        x = K.extent(rt, layout, F.col(column))
+        numbers = F.when(x.n > 0, F.sequence(F.lit(0), x.n - 1)).otherwise(F.array().cast("array<int>"))
+        if not layout.sure:
+            src = src.select("*", x.first.cast("long").alias("__first"), x.status.alias("__status"), x.message.alias("__message"))
+            if self.mode == "PERMISSIVE":
+                numbers = F.when(F.col("__status").isNull(), numbers).otherwise(F.concat(numbers, F.array(F.lit(None).cast("int"))))
+            elif self.mode == "FAILFAST":
+                numbers = F.when(F.col("__status").isNull(), numbers).otherwise(F.raise_error(F.col("__message")).cast("array<int>"))
+        rows = src.withColumn("ordinal", F.explode(numbers))
+        first = F.lit(0).cast("long") if layout.sure else F.col("__first")
+        at = (F.col("ordinal") + first) * F.lit(layout.width) + F.lit(layout.head)
+        item = K.assemble(rt, layout.leaves, F.col(column), at.cast("int"))
+        out = [*keys, F.col("ordinal").cast("long").alias("ordinal")]
+        if layout.sure:
+            return rows.select(*out, item.alias("item"))
+        bad = F.col("ordinal").isNull()
+        return rows.select(*out, F.when(~bad, item).alias("item"), F.when(bad, F.col("__status")).alias("status"), F.when(bad, F.col("__message")).alias("message"))
+
+    def _constant_nodes(self) -> DataFrame | None:
+        """The node table without Python, of an array of unkeyed records of constant layout that is all there is in its source."""
+        e, rt = self.node, self.session.local.rt
+        layout = self.layout()
+        name = e.name if isinstance(e, Member) else None
+        top = None
+        if layout is None and isinstance(e, Chain) and len(c := rt.choices(e.right)) == 1 and c[0][-1].kind == "struct":
+            block = c[0][-1].block
+            if len(block.fields) == 1 and block.fields[0].name is not None:
+                layout, top = K.member_layout(rt, c[0], block.fields[0].name) if len(c[0]) == 1 and self._whole(e) else None, (1, block.fields[0].name)
+                stages = rt.choices(block.fields[0].expr)[0]
+        elif layout is not None and not isinstance(e, Slice):
+            c = rt.choices((e.base if name else e).right)[0]
+            stages = rt.choices(next(f for f in c[-1].block.fields if f.name == name).expr)[0] if name else c
+        if layout is None or isinstance(e, Slice) or not layout.sure or layout.count is not None or layout.head or layout.tail:
+            return None
+        items = rt.item_stages(stages[0])[0]
+        if items[-1].attr("@key"):
+            return None
+        df, keys, column = self._input()
+        src = df.select(*keys, F.col(column).cast("binary").alias(column))
+        n = K.extent(rt, layout, F.col(column)).n
+        rows = src.select("*", n.alias("__n"), F.explode(F.sequence(F.lit(-1), n - 1)).alias("__i"))
+        nodes = K.node_columns(rt, layout, items, top, F.col(column), F.col("__i"), F.col("__n"), NODE_SCHEMA)
+        return rows.select(*keys, F.explode(nodes).alias("__node")).select(*keys, "__node.*")
+
+    def _whole(self, e: Chain) -> bool:
+        return self.source is not None and isinstance(e.left, Name) and e.left.name == self.source
 
     def nodes(self, depth: int | None = None) -> DataFrame:
         """The node table: one row for each box below the expression, down to `depth` if one is given, in preorder (columns: NODE_SCHEMA)."""
+        found = self._constant_nodes() if self.strategy != "decoder" and depth is None else None
+        if found is not None:
+            return found
 
         def each(run, data):
             v = run(data)
@@ -365,12 +471,26 @@ class Items:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """df, dealt out where a plain scan gives fewer partitions than there are cores: decoding costs more than moving few rows.
-    Inputs with a shuffle of their own are left to adaptive execution."""
+    """df, dealt out where it is a bare scan of fewer files than there are cores: decoding costs more than moving few rows.
+    Inputs with a shuffle of their own are left to adaptive execution, large files to the scan's own splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString()[:200]:
+    if df.isStreaming or not (files := df.inputFiles()) or len(files) >= cores or _shuffles(df._jdf.queryExecution().analyzed()):
         return df
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+
+
+def _shuffles(plan) -> bool:
+    """Whether a logical plan aggregates, joins, sorts or deals rows out."""
+    names = ("Aggregate", "Join", "Sort", "Repartition", "RepartitionByExpression", "Distinct", "Window", "Deduplicate", "RebalancePartitions")
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() in names:
+            return True
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return False
 
 
 def _deep(v):
