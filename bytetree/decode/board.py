@@ -28,12 +28,14 @@ class Board:
         spec = self.rt.schema(text)
         for s in spec.lets:
             self.rt.board.lets = [x for x in self.rt.board.lets if x.name != s.name or x.conds] + [s]
+        self.rt.flat.clear(), self.rt.found.clear()
         self.specs[""] = text
 
     def forget_spec(self) -> None:
         self.specs.pop("", None)
         keep = {*self.specs, *self.exprs}
         self.rt.board.lets = [s for s in self.rt.board.lets if s.name in keep or isinstance(s.expr, Data)]
+        self.rt.flat.clear(), self.rt.found.clear()
 
     def register_function(self, name: str, func) -> None:
         self.rt.externals[name] = External(name, func, False)

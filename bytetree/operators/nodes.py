@@ -122,3 +122,65 @@ def at_path(nodes: DataFrame, path: str) -> DataFrame:
 
 def reverse(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy(F.col("node_id").desc())
+
+
+def next_item(nodes: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """The item after each of the given nodes, in the same array or structure; none after the last."""
+    after = of.select(*keys, "parent_id", (F.col("ordinal") + 1).alias("ordinal"))
+    return nodes.join(after, [*keys, "parent_id", "ordinal"], "left_semi")
+
+
+def with_next_twin(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes with `next_twin`, the ordinal of the next item with the same key in the same array; null after the last and without keys."""
+    from pyspark.sql import Window
+
+    same = Window.partitionBy(*keys, "parent_id", "key_int", "key_bin").orderBy("ordinal")
+    keyed = F.col("key_int").isNotNull() | F.col("key_bin").isNotNull()
+    return nodes.withColumn("next_twin", F.when(keyed, F.lead("ordinal").over(same)))
+
+
+def next_with_key(nodes: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """The next item after each of the given nodes that has the node's own key."""
+    ids = [*keys, "node_id"]
+    to = with_next_twin(nodes, keys).join(of.select(*ids), ids, "left_semi").filter("next_twin is not null")
+    return nodes.join(to.select(*keys, "parent_id", F.col("next_twin").alias("ordinal")), [*keys, "parent_id", "ordinal"], "left_semi")
+
+
+def positions(nodes: DataFrame, of: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """The n-th position in each of the given containers: (keys, node_id of the container, ordinal, offset, at_end).
+
+    The position after the last item is one too, and stands at the container's end.
+    """
+    held = nodes.filter(F.col("ordinal") == n).select(*keys, F.col("parent_id").alias("node_id"), F.col("offset").alias("__at"))
+    met = of.filter(F.col("n_items") >= n).join(held, [*keys, "node_id"], "left")
+    end = F.col("n_items") == n
+    return met.select(*keys, "node_id", F.lit(n).cast("long").alias("ordinal"), F.when(end, F.col("offset") + F.col("size")).otherwise(F.col("__at")).alias("offset"), end.alias("at_end"))
+
+
+def goto_end(of: DataFrame, keys: list[str]) -> DataFrame:
+    """The position after the last item of each container: (keys, node_id, ordinal, offset)."""
+    return of.filter("n_items is not null").select(*keys, "node_id", F.col("n_items").alias("ordinal"), (F.col("offset") + F.col("size")).alias("offset"))
+
+
+def enter_slice(nodes: DataFrame, of: DataFrame, start: int | None, stop: int | None, keys: list[str]) -> DataFrame:
+    """Items start up to stop of each container, bounds clamped, negative ones counted from the end; ordinals count from the slice's start."""
+    up = of.select(*keys, F.col("node_id").alias("parent_id"), F.col("n_items").alias("__n"))
+
+    def bound(v: int | None, default) -> F.Column:
+        at = default if v is None else F.lit(v).cast("long") if v >= 0 else F.col("__n") + v
+        return F.least(F.greatest(at, F.lit(0).cast("long")), F.col("__n"))
+
+    met = nodes.join(up, [*keys, "parent_id"]).withColumn("__a", bound(start, F.lit(0).cast("long"))).withColumn("__b", bound(stop, F.col("__n")))
+    inside = met.filter((F.col("ordinal") >= F.col("__a")) & (F.col("ordinal") < F.col("__b")))
+    return inside.withColumn("ordinal", F.col("ordinal") - F.col("__a")).select(*nodes.columns)
+
+
+def iterate(nodes: DataFrame, of: DataFrame, keys: list[str], mode: str = "items") -> DataFrame:
+    """What a cursor gives item by item, in five modes: keys, values, items (key and value), spots (offset and size) or paths."""
+    below = children(nodes, of, keys)
+    key = F.coalesce(F.col("name"), F.decode("key_bin", "ISO-8859-1"), F.col("key_int").cast("string"), F.col("ordinal").cast("string")).alias("key")
+    value = F.coalesce(F.decode("v_bin", "ISO-8859-1"), F.col("v_int").cast("string")).alias("value")
+    cols = {"keys": [key], "values": [value], "items": [key, value], "spots": ["offset", "size"], "paths": ["dpath"]}
+    if mode not in cols:
+        raise ValueError(f"no such mode: {mode}")
+    return below.select(*keys, "parent_id", "ordinal", *cols[mode])

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import encode as E
-from .operators.nodes import by_key, children, named, twins
+from .operators.index import by_index, nearest_mark, write_key_index, write_offset_index
+from .operators.nodes import by_key, children, enter_slice, goto_end, iterate, named, next_item, next_with_key, parents, positions, twins
+from .formats import find_format, schema_of
 from .session import Session
+from .sources import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -368,7 +371,8 @@ def scope_closure(spark, d):
 @query("pointer_chase", "SELECT c_custkey AS k, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def pointer_chase(spark, d):
     nations = E.blobs(_table(spark, d, "nation"), F.lit(1), ["n_nationkey"], E.padded(F.col("n_name"), 24)).select(F.col("content").alias("names"))
-    c = _table(spark, d, "customer").join(nations, how="cross").select(F.col("c_custkey").alias("k"), F.concat(F.unhex(E.u_be(F.col("c_nationkey"), 1)), "names").alias("content"))
+    nations = nations.select("names", F.explode(F.sequence(F.lit(0), F.expr("length(names) div 24 - 1"))).alias("at"))
+    c = _table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("at")).select(F.col("c_custkey").alias("k"), F.concat(F.unhex(E.u_be(F.col("c_nationkey"), 1)), "names").alias("content"))
     spec = "let Schema = struct { at: u8; names: [] byte; let ?name = names[at * 24 .. at * 24 + 24] <> NulText; };"
     return _over(spark, c, spec).eval("(data <> Spec.Schema).?name").df().select("k", _text(F.col("value")).alias("name"))
 
@@ -411,9 +415,7 @@ def udf_function(spark, d):
     s.register_function("answer", _answer)
     s.add_spec("Spec", BASE + "let Schema = struct { x: u8; };")
     s.add_data_source("data", n)
-    # an external's kind isn't known before it runs, so it is used where only a value is needed
-    both = s.eval("(data <> Spec.Schema).x").df().select("k", "value")
-    return both.crossJoin(s.eval("answer").df().select(F.col("value").cast("long").alias("v"))).select("k", (F.col("value") + F.col("v")).alias("value"))
+    return s.eval("(data <> Spec.Schema).x + answer").df().select("k", "value")
 
 
 @query("udf_filter", "SELECT doc_id, md5(replace(text, 'the', 'THE')) AS value FROM documents")
@@ -439,10 +441,10 @@ def dump_json(spark, d):
     return _over(spark, r, "let Schema = struct { id: u8; name: string; };").eval("data <> Spec.Schema").json().select("k", "json")
 
 
-@query("hex_dump", "SELECT r_regionkey AS k, CAST(16 * i AS BIGINT) AS \"offset\", substr(r_name, CAST(16 * i + 1 AS BIGINT), 16) AS text FROM (SELECT *, unnest(range(0, (length(r_name) + 15) // 16)) AS i FROM region)")
+@query("hex_dump", "SELECT r_regionkey AS k, CAST(16 * i AS BIGINT) AS \"offset\", trim(regexp_replace(hex(encode(substr(r_name, CAST(16 * i + 1 AS BIGINT), 16))), '(..)', '\\1 ', 'g')) AS hex, substr(r_name, CAST(16 * i + 1 AS BIGINT), 16) AS text FROM (SELECT *, unnest(range(0, (length(r_name) + 15) // 16)) AS i FROM region)")
 def hex_dump(spark, d):
     r = _table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.encode("r_name", "UTF-8").alias("content"))
-    return _over(spark, r, "let Schema = bytes;").eval("data <> Spec.Schema").hexdump().select("k", "offset", "text")
+    return _over(spark, r, "let Schema = bytes;").eval("data <> Spec.Schema").hexdump().select("k", "offset", "hex", "text")
 
 
 @query("file_filter", "SELECT r_regionkey AS k, n_name AS value FROM region JOIN nation ON n_nationkey = r_regionkey")
@@ -453,3 +455,251 @@ def file_filter(spark, d):
     s.add_spec("Spec", BASE + "let Schema = struct { path: string; let ?content = file { @path: path; }; };")
     s.add_data_source("data", _table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.concat(F.lit("n"), F.col("r_regionkey").cast("string")).alias("p")), "p")
     return s.eval("(data <> Spec.Schema).?content").raw().select("k", _text(F.col("raw")).alias("value"))
+
+
+# ---------------------------------------------------------------- cursor moves
+_LAST = "WITH t AS (SELECT o_orderkey // 500 AS k, list(o_orderkey ORDER BY o_orderkey) AS o FROM orders GROUP BY 1) "
+
+
+@query("cursor_next", _LAST + "SELECT k, o[2] AS key FROM t WHERE len(o) > 1")
+def cursor_next(spark, d):
+    n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
+    second = next_item(n, n.filter("depth = 1 AND ordinal = 0"), ["k"])
+    return named(children(n, second, ["k"]), "k").select("k", F.col("v_int").alias("key"))
+
+
+@query("cursor_return", _LAST + "SELECT k, CAST(len(o) - 1 AS BIGINT) AS ordinal, CAST(32 * (len(o) - 1) AS BIGINT) AS \"offset\" FROM t")
+def cursor_return(spark, d):
+    n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
+    biggest = n.filter("depth = 2 AND name = 'k'").groupBy("k").agg(F.max_by("node_id", "v_int").alias("node_id"))
+    last = n.join(biggest, ["k", "node_id"], "left_semi")
+    return parents(n, last, ["k"]).select("k", "ordinal", "offset")
+
+
+@query("cursor_end", _LAST + "SELECT k, CAST(len(o) AS BIGINT) AS ordinal, CAST(32 * len(o) AS BIGINT) AS \"offset\" FROM t")
+def cursor_end(spark, d):
+    n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
+    return goto_end(n.filter("depth = 0"), ["k"]).select("k", "ordinal", "offset")
+
+
+@query("cursor_position", "WITH t AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, CAST(15 AS BIGINT) AS \"offset\", n = 3 AS at_end FROM t WHERE n >= 3")
+def cursor_position(spark, d):
+    n = _over(spark, _lines(spark, d), _ITEMS).eval("(data <> Spec.Schema).items").nodes()
+    return positions(n, n.filter("depth = 0"), 3, ["k"]).select("k", "offset", "at_end")
+
+
+@query("cursor_slice", _LISTS + "SELECT k, CAST(i - 2 AS BIGINT) AS ordinal, p[i] AS p FROM (SELECT *, unnest(range(2, len(p))) AS i FROM t)")
+def cursor_slice(spark, d):
+    n = _over(spark, _lines(spark, d), _ITEMS).eval("(data <> Spec.Schema).items").nodes()
+    inner = enter_slice(n, n.filter("depth = 0"), 1, -1, ["k"])
+    below = named(children(n, inner, ["k"]), "p").select("k", "parent_id", F.col("v_int").alias("p"))
+    return inner.select("k", F.col("node_id").alias("parent_id"), "ordinal").join(below, ["k", "parent_id"]).select("k", "ordinal", "p")
+
+
+@query("cursor_items", "SELECT o_orderkey // 500 AS k, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS cust, min(o_orderpriority) AS low FROM orders GROUP BY 1")
+def cursor_items(spark, d):
+    n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
+    each = iterate(n, n.filter("depth = 1"), ["k"], "items")
+    return each.groupBy("k").agg(F.count_if(F.col("key") == "k").alias("n"), F.sum(F.when(F.col("key") == "c", F.col("value").cast("long"))).alias("cust"), F.min(F.when(F.col("key") == "p", F.col("value"))).alias("low"))
+
+
+@query("next_with_key", _WORDLIST + "SELECT doc_id, ordinal FROM (SELECT doc_id, ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x WHERE word = 'the') WHERE twin = 1")
+def next_with_key_(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    n = _over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1)
+    return next_with_key(n, by_key(n, b"the"), ["doc_id"]).select("doc_id", "ordinal")
+
+
+@query("key_index", _WORDLIST + "SELECT doc_id, ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS INT) AS twin FROM x WHERE word = 'of'")
+def key_index(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    path = work_folder(spark, "key-index")
+    write_key_index(_over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1), path, ["doc_id"])
+    return by_index(spark, path, b"of", None).select("doc_id", "ordinal", "twin")
+
+
+@query("offset_index", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents WHERE text <> ''), x AS (SELECT doc_id, l, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n FROM w) SELECT doc_id, CAST(octet_length(encode(array_to_string(list_slice(l, 1, 64), ' '))) + 1 AS BIGINT) AS \"offset\", 6 AS ahead FROM x WHERE n > 64")
+def offset_index(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    path = work_folder(spark, "offset-index")
+    write_offset_index(_over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1), path, ["doc_id"])
+    return nearest_mark(spark, path, 70).select("doc_id", "offset", "ahead")
+
+
+# ---------------------------------------------------------------- files
+@query("files_by_path", "SELECT c_name AS word FROM customer")
+def files_by_path(spark, d):
+    path = work_folder(spark, "words")
+    _table(spark, d, "customer").select("c_name").write.text(path)
+    text, top = schema_of(find_format("names.words"))
+    s = Session(spark)
+    s.add_spec("Words", text)
+    s.add_files("data", path)
+    return s.eval(f"data <> Words.{top}").rows().select(_text(F.col("item.word")).alias("word"))
+
+
+@query("file_paths_join", "SELECT s_suppkey AS k, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def file_paths_join(spark, d):
+    path = work_folder(spark, "nations")
+    _table(spark, d, "nation").select("n_name", "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    files = spark.read.format("binaryFile").load(path).select(F.concat(F.lit("nation-"), F.regexp_extract("path", r"n_nationkey=(\d+)/", 1)).alias("path"), "content")
+    named_ = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.encode(F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit("\x00?")), "UTF-8").alias("content"))
+    s = _over(spark, named_, "let Schema = struct { path: NulText; [] byte; };")
+    opened = s.open_files(s.eval("(data <> Spec.Schema).path").df().select("k", "value"), files)
+    return opened.filter("status is null").select("k", F.rtrim(F.translate(_text(F.col("content")), "\n", "")).alias("name"))
+
+
+# ---------------------------------------------------------------- more structures
+_value("last_capped", "len((data <> Spec.Capped).items)", _LISTS + ", u AS (SELECT *, list_position(n, 3) AS m FROM t) SELECT k, CASE WHEN m <= 5 THEN m WHEN len(n) >= 5 THEN 5 END AS value, CASE WHEN m <= 5 OR len(n) >= 5 THEN NULL ELSE 'out_of_bounds' END AS status FROM u")
+
+
+@query("conditional_attributes", "SELECT c_custkey AS k, CAST(CASE WHEN c_custkey % 5 > 2 THEN 804 ELSE 1002 END AS BIGINT) AS value FROM customer")
+def conditional_attributes(spark, d):
+    c = _table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.unhex(F.concat(E.u_be(F.col("c_custkey") % 5, 1), F.repeat(F.lit("AB"), 11))).alias("content"))
+    spec = "let Schema = struct { a: struct { n: u8; if (n > 2) { @span: 8; } else { @span: 10; } }; b: [] byte; let ?out = sizeof a * 100 + len(b); };"
+    return _over(spark, c, spec).eval("(data <> Spec.Schema).?out").df().select("k", "value")
+
+
+@query("nested_conditions", "SELECT event_id, CASE WHEN event_id % 4 >= 2 THEN CASE WHEN event_id % 4 = 3 THEN user_id ELSE user_id % 256 END END AS value FROM events")
+def nested_conditions(spark, d):
+    kind, u = F.expr("event_id % 4"), F.col("user_id")
+    body = F.when(kind < 2, F.lit("")).when(kind == 3, E.u_be(u, 4)).otherwise(E.u_be(u, 1))
+    e = _table(spark, d, "events").select("event_id", F.unhex(F.concat(E.u_be(kind, 1), body)).alias("content"))
+    spec = "let Schema = struct { kind: u8; if (kind >= 2) { if (kind == 3) { user: u32; } else { user: u8; } } };"
+    return _over(spark, e, spec).eval("data <> Spec.Schema").df().select("event_id", F.col("value.user").alias("value"))
+
+
+@query("self_index", "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)")
+def self_index(spark, d):
+    li = _table(spark, d, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    sizes = E.blobs(li, F.col("l_orderkey"), order, E.u_be(F.col("l_linenumber"), 1))
+    parts = E.blobs(li, F.col("l_orderkey"), order, F.repeat(F.lit("7A"), F.col("l_linenumber").cast("int"))).withColumnRenamed("content", "parts")
+    both = sizes.join(parts, "k").select("k", F.concat(F.unhex(E.u_be(F.length("content"), 1)), "content", "parts").alias("content"))
+    spec = "let Schema = struct { n: u8; sizes: [n] u8; parts: [n] Part; let Part = struct { data: [sizes[index(parts, self)]] byte; }; };"
+    return _over(spark, both, spec).eval("(data <> Spec.Schema).parts").rows().select("k", "ordinal", F.length("item.data").cast("long").alias("size"))
+
+
+@query("span_records", "SELECT c_custkey // 100 AS k, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS ordinal, c_custkey AS id FROM customer")
+def span_records(spark, d):
+    rec = F.concat(E.u_be(F.col("c_custkey"), 4), F.lit("FFFFFFFF"))
+    c = E.blobs(_table(spark, d, "customer"), F.expr("c_custkey div 100"), ["c_custkey"], rec)
+    return _over(spark, c, "let Rec = struct { id: u32; @span: 8; };  let Schema = [] Rec;").eval("data <> Spec.Schema").rows().select("k", "ordinal", F.col("item.id").alias("id"))
+
+
+@query("counted_variable", "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)")
+def counted_variable(spark, d):
+    li = _table(spark, d, "lineitem")
+    rec = F.concat(E.u_be(F.col("l_linenumber"), 1), F.repeat(F.lit("7A"), F.col("l_linenumber").cast("int")))
+    packed = E.blobs(li, F.col("l_orderkey"), ["l_linenumber", "l_partkey", "l_suppkey"], rec)
+    sized = packed.join(li.groupBy(F.col("l_orderkey").alias("k")).count(), "k").select("k", F.concat(F.unhex(E.u_be(F.col("count"), 1)), "content", F.unhex(F.lit("FFFF"))).alias("content"))
+    spec = "let Schema = struct { n: u8; items: [n] struct { size: u8; data: [size] byte; }; [] byte; };"
+    return _over(spark, sized, spec).eval("(data <> Spec.Schema).items").rows().select("k", "ordinal", F.length("item.data").cast("long").alias("size"))
+
+
+@query("fixed_count", "SELECT n_nationkey AS k, n_regionkey + 3 * i AS item, i AS ordinal FROM nation, (SELECT unnest(range(0, 3)) AS i)")
+def fixed_count(spark, d):
+    n = _table(spark, d, "nation")
+    body = F.concat(*(E.u_be(F.col("n_regionkey") + 3 * i, 2) for i in range(3)))
+    blobs = n.select(F.col("n_nationkey").alias("k"), F.unhex(body).alias("content"))
+    return _over(spark, blobs, "let Schema = [3] u16;").eval("data <> Spec.Schema").rows().select("k", "ordinal", "item")
+
+
+@query("keyed_by_ordinal", "WITH t AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS o FROM orders GROUP BY 1) SELECT k, o[2] AS value FROM t WHERE len(o) > 1")
+def keyed_by_ordinal(spark, d):
+    packed = E.blobs(_table(spark, d, "orders"), F.col("o_custkey"), ["o_orderkey"], E.u_be(F.col("o_orderkey"), 8))
+    s = _over(spark, packed, "let Schema = [] struct { id: u64; @key: id; };")
+    return s.eval("(data <> Spec.Schema)[1].id", mode="DROPMALFORMED").df().filter("status is null").select("k", "value")
+
+
+@query("integer_native_varint_big", "SELECT l_orderkey AS k, CAST(sum(l_partkey) AS BIGINT) AS native, CAST(sum(l_partkey * l_linenumber) AS BIGINT) AS big FROM lineitem GROUP BY 1")
+def integer_native_varint_big(spark, d):
+    import sys
+
+    li, v = _table(spark, d, "lineitem"), F.col("l_partkey") * F.col("l_linenumber")
+    native = (E.u_le if sys.byteorder == "little" else E.u_be)(F.col("l_partkey"), 4)
+    seven = [F.shiftright(v, 7 * k).bitwiseAND(F.lit(127)) for k in (3, 2, 1, 0)]
+    big = F.concat(*(E.u_be(x.bitwiseOR(F.lit(128 if k else 0)), 1) for k, x in zip((3, 2, 1, 0), seven, strict=True)))
+    packed = E.blobs(li, F.col("l_orderkey"), ["l_linenumber", "l_partkey", "l_suppkey"], F.concat(native, big))
+    spec = "let Schema = [] struct { a: [4] byte <> integer { @signed: false; @endian: 'native'; }; b: varint { @endian: 'big'; }; };"
+    rows = _over(spark, packed, spec).eval("data <> Spec.Schema").rows()
+    return rows.groupBy("k").agg(F.sum("item.a").alias("native"), F.sum("item.b").alias("big"))
+
+
+@query("env_lookup", "SELECT r_regionkey AS k, r_regionkey * 7 AS value FROM region")
+def env_lookup(spark, d):
+    r = _table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.unhex(E.u_be(F.col("r_regionkey"), 1)).alias("content"))
+    s = _over(spark, r, "let Schema = struct { x: u8; };")
+    s.add_expr("factor", "3 + 4")
+    return s.eval("(data <> Spec.Schema).x * env('factor')").df().select("k", F.col("value").cast("long").alias("value"))
+
+
+@query("extern_function", "SELECT n_nationkey AS k, CAST(n_nationkey * 42 AS BIGINT) AS value FROM nation")
+def extern_function(spark, d):
+    n = _table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.unhex(E.u_be(F.col("n_nationkey"), 1)).alias("content"))
+    s = Session(spark)
+    s.register_function("answer", _answer)
+    s.add_spec("Spec", BASE + "extern answer;  let Schema = struct { x: u8; let ?times = x * answer; };")
+    s.add_data_source("data", n)
+    return s.eval("(data <> Spec.Schema).?times").df().select("k", "value")
+
+
+# ---------------------------------------------------------------- formats and codecs
+@query("snappy_copies", "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, md5(html) AS digest FROM pages")
+def snappy_copies(spark, d):
+    @F.pandas_udf("binary")
+    def packed(t: pd.Series) -> pd.Series:
+        import pyarrow as pa
+
+        return t.map(lambda x: pa.compress(x.encode(), codec="snappy", asbytes=True))
+
+    pages = _table(spark, d, "pages").select("page_id", packed("html").alias("content"))
+    v = _over(spark, pages, "let Schema = snappy;").eval("data <> Spec.Schema").df()
+    return v.select("page_id", F.length("value").cast("long").alias("n"), F.md5("value").alias("digest"))
+
+
+@query("gzip_files", "SELECT doc_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'doc' || doc_id AS name FROM documents")
+def gzip_files(spark, d):
+    @F.pandas_udf("binary")
+    def packed(name: pd.Series, t: pd.Series) -> pd.Series:
+        import gzip
+        import io
+
+        def one(n, x):
+            f = io.BytesIO()
+            with gzip.GzipFile(n, "wb", 6, f, 0) as g:
+                g.write(x.encode())
+            return f.getvalue()
+
+        return pd.Series([one(n, x) for n, x in zip(name, t, strict=True)], dtype=object)
+
+    docs = _table(spark, d, "documents").select("doc_id", packed(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), "text").alias("content"))
+    s = Session(spark)
+    s.add_spec("Gzip", schema_of(find_format(extension="gz"))[0])
+    s.add_data_source("data", docs)
+    v = s.eval("(data <> Gzip.File).members[0]").df().select("doc_id", "value.*")
+    return v.select("doc_id", F.md5("blocks").alias("digest"), F.col("trailer.isize").alias("size"), _text(F.col("name")).alias("name"))
+
+
+@query("tar_files", "SELECT source || '-' || doc_id // 500 AS archive, 'doc' || doc_id AS name, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
+def tar_files(spark, d):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import tarfile
+
+        f = io.BytesIO()
+        with tarfile.open(fileobj=f, mode="w", format=tarfile.USTAR_FORMAT) as t:
+            for i, x in zip(pdf["doc_id"], pdf["text"], strict=True):
+                info = tarfile.TarInfo(f"doc{i}")
+                info.size = len(x.encode())
+                t.addfile(info, io.BytesIO(x.encode()))
+            end = t.offset
+        return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "content": [f.getvalue()[:end]]})
+
+    archive = F.concat_ws("-", "source", F.expr("doc_id div 500")).alias("archive")
+    archives = _table(spark, d, "documents").select("doc_id", archive, "text").groupBy("archive").applyInPandas(pack, "archive string, content binary")
+    s = Session(spark)
+    s.add_spec("Tar", schema_of(find_format("a.tar"))[0])
+    s.add_data_source("data", archives)
+    rows = s.eval("(data <> Tar.File).files").rows()
+    return rows.select("archive", _text(F.col("item.name")).alias("name"), F.md5("item.contents").alias("digest"), F.col("item.size").alias("size"))

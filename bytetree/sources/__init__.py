@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,33 @@ def buffers(spark: SparkSession, data: dict[str, bytes]) -> DataFrame:
 
 
 def fixed_records(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(content): the records of flat files of fixed-width records, split by byte range, so one huge file is many tasks."""
+    """(content): the records of flat files of fixed-width records, split by byte range, so one huge file is many tasks.
+
+    A file must hold whole records.
+    """
     return spark.sparkContext.binaryRecords(path, width).map(lambda r: (bytearray(r),)).toDF("content binary")
 
 
+def work_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name for files that executors share: below spark.checkpoint.dir, or the warehouse where none is set.
+    It is deleted when the program ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work"
+    path = f"{base}/{kind}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def with_extension(df: DataFrame, column: str = "path") -> DataFrame:
     return df.withColumn("extension", F.regexp_extract(column, r"(\.[^./]+)$", 1))

@@ -383,3 +383,50 @@ def test_round_trip(rows):
     data = b"".join(bytes([len(t)]) + t + v.to_bytes(4, "big") for t, v in rows)
     read = case("let Schema = struct { r: [] struct { n: u8; t: [n] byte; v: u32; }; };", data)
     assert read("r") == [{"n": len(t), "t": t, "v": v} for t, v in rows]
+
+
+def test_items_behave_like_values():
+    from bytetree.item import IndexKey, Item, Spec, read
+
+    b = Board()
+    b.add_spec("F", "let U = integer { @signed: false; @endian: 'big'; };  let Rec = struct { k: byte <> string; n: byte <> U; @key: k; };  let File = struct { size: byte <> U; recs: [] Rec; };")
+    b.add_data_source("d", b"\x05a\x01b\x02a\x03")
+    top = read(b, "d <> F.File")
+    assert isinstance(top, Item) and list(top) == ["size", "recs"] and list(top.iter_keys()) == ["size", "recs"] and top["size"] == 5
+    assert top.size + 1 == 6 and 2 * top.size == 10 and -top.size == -5 and divmod(top.size, 2) == (2, 1) and top.size < 6 and hash(top.size) == hash(5) and int(top.size) == 5
+    recs = top.recs
+    assert len(recs) == 3 and recs[-1].n == 3 and recs["b"].n == 2 and recs[("a", 1)].n == 3 and [int(x.n) for x in recs[("a", "*")]] == [1, 3] and recs[("b",)].n == 2
+    assert [str(k) for k in recs.iter_keys()] == ['"a"', '"b"', '"a"{1}'] and list(recs.iter_keys())[2] == IndexKey(b"a", 1)
+    assert [x.value for x in recs[1:9]] == [{"k": b"b", "n": 2}, {"k": b"a", "n": 3}] and len(recs[2:1]) == 0 and [k for k, _ in recs.iter_items()][1] == "b"
+    with pytest.raises(ExprError):
+        recs[::2]
+    with pytest.raises(AttributeError):
+        top.nothing
+    assert recs[1].get_location() == (3, 2) and recs[1].get_size() == 2 and recs[1].get_offset() == 3 and recs.get_filter_type() == "array" and recs.eval_expr("len(recs)") == 3
+    assert bytes(recs[0].k) == b"a" and bytes(memoryview(recs[1])) == b"b\x02" and str(recs[0].k) == "a" and recs[0].k == "a" and bool(top.size) and recs[0] == {"k": b"a", "n": 1}
+    spec = Spec(b, "F")
+    assert list(spec) == ["U", "Rec", "File"] and spec.Rec.members() == ["k", "n"] and spec["File"].members() == ["size", "recs"]
+    with pytest.raises(KeyError):
+        spec["None"]
+
+
+def test_shell_verbs(tmp_path):
+    import io
+
+    from bytetree.__main__ import Shell
+
+    (tmp_path / "s").write_text("let Pair = struct { a: byte <> integer { @signed: false; }; b: byte; };")
+    (tmp_path / "d").write_bytes(b"\x07x")
+    out = io.StringIO()
+    sh = Shell(stdout=out)
+
+    def said(line):
+        out.seek(0), out.truncate()
+        sh.onecmd(line)
+        return out.getvalue().strip()
+
+    assert said(f"import S spec {tmp_path}/s") == "" and said(f"import d {tmp_path}/d") == "" and said("list") == "S\nd"
+    assert said("print (d <> S.Pair).a") == "7" and said("let twice = (d <> S.Pair).a * 2") == "" and said("twice") == "14"
+    assert said(f"bind p S.Pair {tmp_path}/d") == "" and said("list p") == "a\nb" and said("dump p.a + 1") == "8"
+    assert said("unset twice") == "" and "ExprError" in said("twice") and said(f"use {tmp_path}/s") == "" and said("(d <> Pair).a") == "7" and "ExprError" in (said("use") or said("(d <> Pair).a"))
+    assert said("set loglevel warning") == "" and "ValueError" in said("set loglevel loud") and said("clear d") == "" and said("clear") == "" and said("list") == "" and sh.onecmd("quit")
