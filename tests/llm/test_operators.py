@@ -250,25 +250,45 @@ def test_token_counts(spark, odd, none):
     T.write_tokens(odd, path, vocabulary, 50256)
     want = sorted(len(enc.encode_ordinary(r[1] or "")) for r in rows())
     assert enc.decode(enc.encode_ordinary("ab é\n\n x")) == "ab é\n\n x"
-    for block in (1 << 20, 64, 7):
-        got = T.count_tokens(spark, path, 50256, block_tokens=block).collect()
+    for size in ("128m", "9k", "700"):  # whole files, and ranges that documents cross
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = T.count_tokens(spark, path, 50256).collect()
         assert sorted(r.n_tokens for r in got) == want
         for f in {r.file for r in got}:
             own = sorted((r.doc, r.start, r.n_tokens) for r in got if r.file == f)
             assert [d for d, _, _ in own] == list(range(len(own))) and all(b[1] == a[1] + a[2] + 1 for a, b in zip(own, own[1:]))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     path = shared_path(spark, "tok")
     T.write_tokens(none, path, vocabulary, 50256)
     assert T.count_tokens(spark, path, 50256).count() == 0
-
-
-def test_token_blocks_stitch(spark, tmp_path):
-    ids = np.array([5, 9, 9, 1, 2, 3, 4, 5, 6, 9, 7], "<u2")  # 9 separates
-    (tmp_path / "part-00000-x.txt").write_bytes(ids.tobytes())
-    for block in (1, 2, 3, 5, 100):
-        got = sorted((r.doc, r.start, r.n_tokens) for r in T.count_tokens(spark, str(tmp_path), 9, block_tokens=block).collect())
-        assert got == [(0, 0, 1), (1, 2, 0), (2, 3, 6), (3, 10, 1)]
     with pytest.raises(ValueError):
-        list(T.scan_blocks(memoryview(b"abc"), 9))
+        T.write_tokens(none, path, vocabulary, 11)
+
+
+@pytest.mark.parametrize("width,eod", [(2, 50256), (2, 0), (2, 0x0505), (2, 5), (4, 50256), (4, 0), (4, 0x01010001), (4, 9 << 24)])
+def test_ranges_stitch(spark, tmp_path, width, eod):
+    """Files cut in many ranges, of ids made of the identifier's own bytes, against a plain walk over the ids."""
+    r = random.Random(eod + width)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    some = [eod, eod, eod >> 8, (eod << 8) % (1 << 8 * width), eod ^ 1, 0, 0x5050, 0xC4C4, (eod & 255) << 8 | eod >> 8 & 255]
+    files = {f"f{k}": [r.choice(some) if r.random() < 0.8 else r.randrange(1 << 8 * width) for _ in range(n)] for k, n in enumerate((0, 1, 2, 5, 300, 301))} | {"only": [eod] * 3, "last": [7, 7, eod], "open": [eod, 7]}
+    want = []
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, T.WIDTHS[width]).tobytes())
+        start = doc = 0
+        for i, x in enumerate([*ids, None]):
+            if x == eod or x is None and start < len(ids):
+                want.append((name, doc, start, i - start))
+                start, doc = i + 1, doc + 1
+    got = T.count_tokens(spark, str(tmp_path), eod, width)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    (tmp_path / "torn").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole ids"):
+        T.count_tokens(spark, str(tmp_path), eod, width).collect()
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.unset(k)
 
 
 # ---------------------------------------------------------------- 4
