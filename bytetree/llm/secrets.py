@@ -36,12 +36,13 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 def entropy_spans(text: str, base: list[tuple]) -> list[tuple[int, int, str, str]]:
     """Long mixed runs of digits, capitals and small letters outside the base spans: the candidates the method may add."""
-    out = []
+    out, k, reach = [], 0, 0
     for m in _ENTROPY.finditer(text):
+        while k < len(base) and base[k][0] < m.end():  # both come in order of their starts
+            reach, k = max(reach, base[k][1]), k + 1
         s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s) and len(set(s)) >= 12:
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in base):
-                out.append((m.start(), m.end(), "entropy", s))
+        if reach <= m.start() and any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s) and len(set(s)) >= 12:
+            out.append((m.start(), m.end(), "entropy", s))
     return out
 
 

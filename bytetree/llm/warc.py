@@ -37,11 +37,15 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def transaction(page_id: int | None, url: str | None, payload: bytes, salt: int, refers_to: int | None) -> list[bytes]:
-    """The records of one capture. A capture with refers_to is a revisit: its block has the HTTP head without the payload."""
+def _uri(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def transaction(page_id: int | None, url: str | None, payload: bytes, salt: int, refers_to: int | None, refers_url: str | None = None) -> list[bytes]:
+    """The records of one capture. A capture with refers_to is a revisit of the capture of refers_url: its block has the HTTP head without the payload."""
     digest = digest_of(payload)
     rid, ask, meta = (str(uuid.uuid5(uuid.NAMESPACE_URL, f"{k}|{page_id}|{digest}|{salt}")) for k in ("response", "request", "metadata"))
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    uri = _uri(url)
     at = [("WARC-Target-URI", uri)] if uri else []
     with_it = [("WARC-Concurrent-To", f"<urn:uuid:{rid}>")]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -51,7 +55,8 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, salt: int,
     if refers_to is None:
         capture = _record("response", rid, sent, http + payload)
     else:
-        capture = _record("revisit", rid, [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *sent], http)
+        of = [("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", DATE)] if refers_url else [("WARC-Refers-To-Date", DATE)]
+        capture = _record("revisit", rid, [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *of, *sent], http)
     return [
         _record("request", ask, [*with_it, *at, ("Content-Type", "application/http;msgtype=request")], f"GET /{rest} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()),
         capture,
@@ -63,7 +68,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """Write df to gzip-compressed archives, a member for each record, in the folder `path`.
 
     Of rows whose payloads are equal and hold at least `revisit_bytes` bytes, that with the largest id is a response and the
-    others are revisits; shorter ones are all responses. A null payload is an empty one. Rows that repeat the largest id are
+    others are revisits that name its address and date; shorter ones are all responses. A null payload is an empty one. Rows that repeat the largest id are
     all responses, and so are rows of a payload that has null ids only; a null id beside others is a revisit. A null url
     leaves out the target. An empty table writes no record.
 
@@ -73,18 +78,18 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text.cast("binary").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"))
-    sizes = rows.filter(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    repeats = cut(sizes.filter("n > 1").select("digest", "top"))
+    sizes = rows.filter(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("top"), F.max_by("url", "id").alias("top_url"))
+    repeats = cut(sizes.filter("n > 1").select("digest", "top", "top_url"))
     if repeats.count() <= BROADCAST_ROWS:
         repeats = F.broadcast(repeats)
     rows = rows.join(repeats, "digest", "left")
     later = F.when(F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")), F.col("top"))
-    rows = rows.select("id", "url", "payload", later.alias("refers_to"), F.monotonically_increasing_id().alias("salt"))
+    rows = rows.select("id", "url", "payload", later.alias("refers_to"), "top_url", F.monotonically_increasing_id().alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch, 2):
-                out = [b"".join(map(_gzip, transaction(i, u, p, s, r))) for i, u, p, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                out = [b"".join(map(_gzip, transaction(i, u, p, s, r, o))) for i, u, p, r, o, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["raw"])
 
     size = df.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0

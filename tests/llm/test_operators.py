@@ -24,24 +24,9 @@ from bytetree.llm import toxicity as C
 from bytetree.llm import warc as W
 from bytetree.llm.common import shared_path
 from bytetree.llm.graph import components
+from tests_llm_tools import DDL, brute_overlap, plain_jump, prose, rows
 
 SF = "/root/testdata/sf0.001"
-DDL = "doc_id long, text string, lang string, source string, n_chars long, id long, h long, fp long, size long, s string, `key` string, shard int, quality_score double, bench_words long, value string"
-rng = random.Random(5)
-WORDS = ["wo" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
-
-
-def prose(n, seed):
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) for _ in range(n))
-
-
-def rows():
-    long = prose(20_000, 1)
-    base = [(1, prose(80, 2), "en", "a"), (2, prose(80, 2), "en", "a"), (3, prose(80, 2) + " more", "en", None), (4, "", "en", "b"), (5, None, None, "b"), (6, " \n\t ", "fr", None), (7, long, "de", "a"), (7, long, "de", "a"), (None, prose(60, 3), "en", "c"), (None, None, None, None), (8, "é ü 漢字 " * 30, "fr", "a"), (9, "Word, word! WORD\x0bword\r\nword", "en", "b"), (10, "two words", "en", "b"), (11, "two words", "en", "b"), (12, "the same line\n" * 40, "en", "a")]
-    return [(i, t, la, so, 1, 5, 6, 7, 8, "x", "k", 9, 0.5, 3, "v") for i, t, la, so in base]
-
-
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(rows(), DDL).repartition(3).cache()
@@ -220,15 +205,6 @@ def test_signatures_tell_similarity():
 
 
 # ---------------------------------------------------------------- 2
-def plain_jump(key, n):
-    b, j = -1, 0
-    while j < n:
-        b = j
-        key = (key * 2862933555777941757 + 1) % (1 << 64)
-        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
-    return b
-
-
 def test_shards(spark, odd, none):
     keys = np.array([0, 1, 2, 10**12, (1 << 64) - 5], np.uint64)
     for n in (1, 2, 8, 1000):
@@ -317,6 +293,17 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in W.read_warc(spark, path + "x").filter("payload_bytes < 5").collect()} == {"response"}
 
 
+def test_warc_long_payloads_and_what_a_revisit_names(spark):
+    big = "é<p>" * 400_000
+    df = spark.createDataFrame([(1, "http://a/1", big), (2, "http://a/2", big), (3, "http://a/3", "x" * (3 << 20))], "page_id long, url string, html string")
+    path = shared_path(spark, "warc")
+    W.write_warc(df, path)
+    got = {int(r.metadata.fields["page-id"]): r.capture for r in W.assemble(W.read_warc(spark, path)).collect()}
+    assert bytes(got[2].payload) == big.encode() and got[1].record_type == "revisit" and got[1].payload_bytes == len(big.encode()) and len(got[3].payload) == 3 << 20
+    heads = [h for h, _ in W.records(b"".join(W.transaction(1, "http://a/1", b"p", 0, 2, "http://a/2")))]
+    assert heads[1]["warc-refers-to-target-uri"] == "http://a/2" and heads[1]["warc-refers-to-date"] == heads[1]["warc-date"]
+
+
 def test_warc_reader_takes_plain_and_refuses_broken():
     rec = W.transaction(1, "http://a/", b"body", 0, None)
     assert [h["warc-type"] for h, _ in W.records(b"".join(rec))] == ["request", "response", "metadata"]
@@ -327,20 +314,6 @@ def test_warc_reader_takes_plain_and_refuses_broken():
 
 
 # ---------------------------------------------------------------- 5
-def brute_overlap(text, items):
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    w, hit, owners = words(text), set(), set()
-    for item, t in items:
-        v = words(t)
-        k = min(8, len(v))
-        grams = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if k else set()
-        for i in range(len(w) - k + 1 if k else 0):
-            if tuple(w[i : i + k]) in grams:
-                hit |= set(range(i, i + k))
-                owners.add(str(item) if item is not None else "")
-    return len(w), len(hit), sorted(owners)
-
-
 @pytest.mark.parametrize("blocks", [1, 2, 7])
 def test_overlaps(spark, odd, none, blocks, monkeypatch):
     src = rows()
@@ -646,6 +619,77 @@ def test_secrets(spark, none):
     assert X.scan(df).count() == len(texts) and X.scan(none).count() == 0
 
 
+def plain_scan(text):
+    """Base spans by hand, a character at a time, from every start."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alnum = set(letters + letters.upper() + "0123456789")
+    lower = "".join(c.lower() if c in letters.upper() else c for c in text)
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, i):
+                j = i + len(word)
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "=") or j >= len(text):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                k = j
+                while k < len(text) and (text[k] in alnum or text[k] in "+/_.=-"):
+                    k += 1
+                if k > j:
+                    return k, k - j >= 12
+        return None
+
+    def run(start, chars, least):
+        def at(i):
+            if not text.startswith(start, i):
+                return None
+            k = i + len(start)
+            while k < len(text) and text[k] in chars:
+                k += 1
+            return (k, k - i >= least) if k > i + len(start) else None
+
+        return at
+
+    out = []
+    kinds = (("assign", assign), ("access", run("AKIA", set(letters.upper() + "0123456789"), 18)), ("hex", run("", set("0123456789abcdef"), 16)))
+    for rank, (kind, find) in enumerate(kinds):
+        i = 0
+        while i < len(text):
+            hit = find(i)
+            if hit is None:
+                i += 1
+                continue
+            if hit[1]:
+                out.append((i, rank, f"{kind}:{i}:{hit[0]}"))
+            i = hit[0]
+    return [x for _, _, x in sorted(out)]
+
+
+def test_op10_digest_against_a_scan_by_hand(spark, tmp_path):
+    from bytetree.llm.queries import op10_secrets
+
+    r = random.Random(6)
+    bits = ["password", "passwd", "Secret", "TOKEN", "api_key", "apiKEY", "=", ":", " ", "  ", '"', "'", "AKIA", "AKIAAKIA", "0123456789abcdef", "deadbeef", "ABCDEFGHIJKL", "x.y-z/w+q_=", "é", "漢", "\n", "short", "ſ", "\u212a"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 40))) for _ in range(400)] + [None, "", prose(20_000, 3) + " token=" + "a" * 70_000]
+    docs = [(i if i else None, t, "en", f"s{i % 5}") for i, t in enumerate(texts)] + [(7, texts[7], "en", "s2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_secrets(spark, str(tmp_path)).collect()
+    want = []
+    for i, t, _, _ in docs:
+        found = plain_scan(t or "")
+        want.append((i, *(sum(x.startswith(k) for x in found) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(found).encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got if r.doc_id is not None) == sorted(w for w in want if w[0] is not None)
+    assert [r.base_sha256 for r in got if r.doc_id is None] == [w[4] for w in want if w[0] is None]
+    by = {r.doc_id: r.spans.split(",") if r.spans else [] for r in got}
+    assert all(set(plain_scan(t or "")) <= set(by[i]) for i, t, _, _ in docs) and sum(w[1] for w in want) > 50 and sum(w[3] for w in want) > 50
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 50)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(7, 7), (None, 3)]

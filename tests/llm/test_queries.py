@@ -21,15 +21,3 @@ def test_query(spark, name):
         for t in ("documents", "benchmark", "pages"):
             con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
         assert cells(map(tuple, rows)) == cells(con.sql(oracle_sql()[name]).select(*cols).fetchall())
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as P
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = docs.columns
-    for name, stage in P.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == names and 0 < out.count() <= 3 * docs.count(), name
-        docs = out.cache()
-    assert P.run(spark, SF).count() == docs.count()
