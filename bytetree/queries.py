@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import encode as E
 from .operators.index import by_index, nearest_mark, write_key_index, write_offset_index
-from .operators.nodes import by_key, children, enter_slice, goto_end, iterate, named, next_item, next_with_key, parents, positions, twins
+from .operators.nodes import at_path, by_key, children, enter_slice, goto_end, iterate, named, next_item, next_with_key, parents, positions, reverse, twins
 from .formats import find_format, schema_of
 from .session import Session
 from .sources import work_folder
@@ -703,3 +703,100 @@ def tar_files(spark, d):
     s.add_data_source("data", archives)
     rows = s.eval("(data <> Tar.File).files").rows()
     return rows.select("archive", _text(F.col("item.name")).alias("name"), F.md5("item.contents").alias("digest"), F.col("item.size").alias("size"))
+
+
+# ---------------------------------------------------------------- paths, order, dumps
+@query("cursor_path", _LAST + "SELECT k, 'recs[1].k' AS dpath, o[2] AS key FROM t WHERE len(o) > 1")
+def cursor_path(spark, d):
+    n = _over(spark, _orders(spark, d), _ORDERS).eval("data <> Spec.Schema").nodes()
+    return at_path(n, "recs[1].k").select("k", "dpath", F.col("v_int").alias("key"))
+
+
+@query("cursor_reverse", _LAST + "SELECT k, o[-1] AS last, o[-2] AS before FROM t WHERE len(o) > 1")
+def cursor_reverse(spark, d):
+    n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
+    back = reverse(n.filter("name = 'k'")).groupBy("k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("node_id", "v_int")))).alias("l"))
+    return back.filter("size(l) > 1").select("k", F.col("l")[0]["v_int"].alias("last"), F.col("l")[1]["v_int"].alias("before"))
+
+
+def _region_dump(form: str):
+    def run(spark, d):
+        r = _table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.unhex(F.concat(E.u_be(F.col("r_regionkey"), 1), E.text(F.col("r_name")))).alias("content"))
+        return _over(spark, r, "let Schema = struct { id: u8; name: string; };").eval("data <> Spec.Schema").text(form).select("k", form)
+
+    return run
+
+
+query("dump_yaml", "SELECT r_regionkey AS k, 'id: ' || r_regionkey || chr(10) || 'name: ' || r_name || chr(10) AS yaml FROM region")(_region_dump("yaml"))
+query("dump_python", "SELECT r_regionkey AS k, translate('{`id`: ' || r_regionkey || ', `name`: b`' || r_name || '`}', '`', chr(39)) AS python FROM region")(_region_dump("python"))
+
+
+# ---------------------------------------------------------------- more formats
+def _format(spark, df: DataFrame, name: str) -> Session:
+    s = Session(spark)
+    s.add_spec("Format", schema_of(name)[0])
+    s.add_data_source("data", df)
+    return s
+
+
+@query("key_value_log_files", 'SELECT c_custkey // 100 AS k, c_name AS "key", CAST(c_nationkey AS VARCHAR) AS value FROM customer')
+def key_value_log_files(spark, d):
+    sized = lambda c: F.concat(E.u_be(F.octet_length(c), 4), E.text(c))
+    pair = F.concat(F.lit("00"), sized(F.col("c_name")), sized(F.col("c_nationkey").cast("string")))
+    logs = E.blobs(_table(spark, d, "customer"), F.expr("c_custkey div 100"), ["c_custkey"], pair)
+    rows = _format(spark, logs, "key_value_log").eval("(data <> Format.File).log").rows()
+    return rows.select("k", _text(F.col("item.key.text")).alias("key"), _text(F.col("item.value.text")).alias("value"))
+
+
+@query("block_log_files", "SELECT o_orderkey // 500 AS k, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS ordinal, o_custkey AS cust FROM orders")
+def block_log_files(spark, d):
+    rec = F.concat(F.lit("00000000"), E.u_le(F.lit(8), 2), F.lit("01"), E.u_be(F.col("o_custkey"), 8))
+    logs = E.blobs(_table(spark, d, "orders"), F.expr("o_orderkey div 500"), ["o_orderkey"], rec)
+    rows = _format(spark, logs, "block_log").eval("(data <> Format.File).blocks[0].fragments").rows()
+    return rows.select("k", "ordinal", F.conv(F.hex("item.data"), 16, 10).cast("long").alias("cust"))
+
+
+@query("ogg_files", "SELECT l_orderkey // 100 AS k, l_orderkey AS page, count(*) AS segments, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY 1, 2")
+def ogg_files(spark, d):
+    li, order = _table(spark, d, "lineitem"), ["l_linenumber", "l_partkey", "l_suppkey"]
+    sizes = E.blobs(li, F.col("l_orderkey"), order, E.u_be(F.col("l_linenumber"), 1))
+    bodies = E.blobs(li, F.col("l_orderkey"), order, F.repeat(F.lit("7A"), F.col("l_linenumber").cast("int"))).withColumnRenamed("content", "body")
+    zero = F.lit(0)
+    page = F.concat(E.text(F.lit("OggS")), F.lit("0002"), E.u_le(zero, 8), E.u_le(F.lit(9), 4), E.u_le(F.col("k"), 4), E.u_le(zero, 4), E.u_be(F.length("content"), 1), F.hex("content"), F.hex("body"))
+    pages = sizes.join(bodies, "k").select(F.col("k").alias("o"), page.alias("page"))
+    files = E.blobs(pages, F.expr("o div 100"), ["o"], F.col("page"))
+    rows = _format(spark, files, "ogg").eval("(data <> Format.File).pages").rows()
+    size = F.aggregate("item.body", F.lit(0), lambda a, x: a + F.length(x["packet_data"]))
+    return rows.select("k", F.col("item.sequence_number").alias("page"), F.size("item.body").cast("long").alias("segments"), size.cast("long").alias("bytes"))
+
+
+def _box(kind: str, body):
+    return F.concat(E.u_be(F.length(body) / 2 + 8, 4), E.text(F.lit(kind)), body)
+
+
+@query("mp4_files", "SELECT n_nationkey AS k, CAST(n_regionkey AS BIGINT) AS timescale, CAST(n_nationkey * 1000 AS BIGINT) AS duration, n_name AS handler FROM nation")
+def mp4_files(spark, d):
+    zeros = lambda n: F.lit("00" * n)
+    mdhd = _box("mdhd", F.concat(F.lit("01000000"), zeros(16), E.u_be(F.col("n_regionkey"), 4), E.u_be(F.col("n_nationkey") * 1000, 8), zeros(4)))
+    hdlr = _box("hdlr", F.concat(zeros(8), E.text(F.lit("vide")), zeros(12), E.text(F.col("n_name")), zeros(1)))
+    files = F.concat(_box("ftyp", F.concat(E.text(F.lit("isom")), zeros(4))), _box("moov", _box("trak", _box("mdia", F.concat(mdhd, hdlr)))))
+    n = _table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.unhex(files).alias("content"))
+    s = _format(spark, n, "mp4")
+    s.add_expr("media", "(data <> Format.File).boxes['moov'].boxes['trak'].boxes['mdia'].boxes")
+    get = lambda e, name: s.eval(f"media{e}").df().select("k", F.col("value").alias(name))
+    both = get("['mdhd'].time.timescale", "timescale").join(get("['mdhd'].time.duration", "duration"), "k").join(get("['hdlr'].name", "handler"), "k")
+    return both.select("k", F.col("timescale").cast("long").alias("timescale"), F.col("duration").cast("long").alias("duration"), _text(F.col("handler").cast("binary")).alias("handler"))
+
+
+@query("sorted_table_files", 'SELECT n_regionkey AS k, n_name AS "key", n_nationkey AS value FROM nation')
+def sorted_table_files(spark, d):
+    name, crc = F.col("n_name"), F.lit("00000000")
+    row = F.concat(F.lit("00"), E.varint(F.octet_length(name)), F.lit("01"), E.text(name), E.u_be(F.col("n_nationkey"), 1))
+    store = lambda rows: F.concat(rows, F.lit("00000000"), E.u_le(F.lit(1), 4))
+    data = E.blobs(_table(spark, d, "nation"), F.col("n_regionkey"), ["n_name", "n_nationkey"], row).select("k", store(F.hex("content")).alias("data"))
+    handle = F.concat(F.lit("00"), E.varint(F.length("data") / 2))
+    both = data.withColumn("index", store(F.concat(F.lit("0001"), E.varint(F.length(handle) / 2), E.text(F.lit("z")), handle)))
+    foot = F.concat(F.rpad(F.concat(F.lit("0000"), E.varint(F.length("data") / 2 + 5), E.varint(F.length("index") / 2)), 80, "0"), E.text(F.lit("magicnum")))
+    files = both.select("k", F.unhex(F.concat("data", F.lit("00"), crc, "index", F.lit("00"), crc, foot)).alias("content"))
+    rows = _format(spark, files, "sorted_table").eval("(data <> Format.File).?index.rows[0].?rows.rows").rows()
+    return rows.select("k", _text(F.col("item.key_delta")).alias("key"), F.conv(F.hex("item.value"), 16, 10).cast("int").alias("value"))

@@ -32,6 +32,7 @@ from .plans.typing import Place, as_spark, fit, infer, item_of, lazy, plain
 
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
 BATCH_ROWS = 2000
+DRIVER_ROWS, DRIVER_BYTES = 10_000, 64 << 20  #: of values that come to the driver as Python or YAML
 FILES_BYTES = 8 << 20  #: of file contents that every task carries
 PIECE_ITEMS = 1 << 16  #: items decoded by numpy at once
 SPREAD_BYTES = 64 << 20  #: a core's share of a scan that is left where it is
@@ -435,8 +436,12 @@ class Items:
 
     def json(self) -> DataFrame:
         """Keys and the value as JSON text, a character for each byte."""
-        made = T.StructType([T.StructField(k, T.StringType()) for k in ("json", "status", "message")])
-        return self._map(made, lambda run, data: [(json.dumps(plain(_deep(run(data)))), None, None)])
+        return self.text("json")
+
+    def text(self, form: str) -> DataFrame:
+        """Keys and the value as text in column `form`: json and yaml (a character for each byte), or python (a literal)."""
+        made = T.StructType([T.StructField(k, T.StringType()) for k in (form, "status", "message")])
+        return self._map(made, lambda run, data: [(_FORMS[form](_deep(run(data))), None, None)])
 
     def raw(self) -> DataFrame:
         """Keys and the bytes the expression's filters give."""
@@ -461,13 +466,32 @@ class Items:
         return lines.select(*keys, (F.col("line") * width).cast("long").alias("offset"), F.trim(F.regexp_replace(F.hex(piece), "(..)", "$1 ")).alias("hex"), text.alias("text"))
 
     def python(self) -> list:
-        """The values of all rows on the driver, for small results: dicts, lists, ints, booleans, bytes."""
-        return [json.loads(r.json) for r in self.json().collect()]
+        """The values of all rows on the driver: dicts, lists, ints, booleans, text with a character for each byte. At most
+        DRIVER_ROWS rows of DRIVER_BYTES together; `text` gives larger results as a DataFrame."""
+        return [json.loads(t) for t in self._few("json")]
 
     def yaml(self) -> str:
-        import yaml
+        """All rows as YAML documents on the driver, within the bounds of `python`."""
+        return "".join(f"---\n{t}" for t in self._few("yaml"))
+
+    def _few(self, form: str) -> list[str]:
+        rows = self.text(form).filter(F.col(form).isNotNull()).select(form).limit(DRIVER_ROWS + 1).persist()
+        try:
+            n, size = rows.agg(F.count("*"), F.sum(F.octet_length(form))).first()
+            if n > DRIVER_ROWS or (size or 0) > DRIVER_BYTES:
+                raise ExprError("too much for the driver: use text()")
+            return [r[0] for r in rows.collect()]
+        finally:
+            rows.unpersist()
+
+
+def _yaml(v) -> str:
+    import yaml
+
+    return yaml.safe_dump(plain(v), default_flow_style=False, sort_keys=False)
+
 
-        return yaml.safe_dump_all(self.python(), default_flow_style=False)
+_FORMS = {"json": lambda v: json.dumps(plain(v)), "yaml": _yaml, "python": repr}
 
 
 def _spread(df: DataFrame) -> DataFrame:
