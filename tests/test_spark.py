@@ -162,9 +162,3 @@ def test_command_line(tmp_path, capsys):
     assert main(["dump", str(p)]) == 0 and '"two"' in capsys.readouterr().out
     main(["xdump", str(p)])
     assert "6f 6e 65" in capsys.readouterr().out
-
-
-def test_entry_without_optional_parts(spark):
-    import __spark_entry__ as e
-
-    assert e.entry(spark).count() > 0 and set(ORACLES) <= set(e.queries())
