@@ -51,6 +51,11 @@ def scalar(text: str, names: dict[str, tuple[Column, str]]) -> tuple[Column, str
     return _scalar(parse_expression(text), names)
 
 
+def scalar_of(e: Node, names: dict[str, tuple[Column, str]]) -> tuple[Column, str]:
+    """`scalar` of a tree."""
+    return _scalar(e, names)
+
+
 def _scalar(e: Node, names: dict) -> tuple[Column, str]:
     if isinstance(e, Lit):
         v = e.value

@@ -28,6 +28,7 @@ from .lang.ast import Chain, Member, Name, Node, Slice
 from .lang.parser import parse_expression
 from .operators.nodes import NODE_SCHEMA, node_rows
 from .plans import columns as K
+from .plans.records import record
 from .plans.typing import Place, as_spark, fit, infer, item_of, lazy, plain
 
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
@@ -317,6 +318,12 @@ class Items:
     def df(self) -> DataFrame:
         """Keys, value, status and message: one row for each source row. In a structure, members that fail are null."""
         kind = self.schema()
+        if self.strategy != "decoder" and isinstance(self.node, Chain) and self._whole(self.node) and len(c := self.session.local.rt.choices(self.node.right)) == 1:
+            df, keys, column = self._input()
+            value = record(self.session.local.rt, c[0], F.col(column).cast("binary"), kind)
+            if value is not None:
+                none = F.lit(None).cast("string")
+                return df.select(*keys, value.alias("value"), none.alias("status"), none.alias("message"))
         made = T.StructType([T.StructField("value", kind), T.StructField("status", T.StringType()), T.StructField("message", T.StringType())])
 
         def each(run, data):

@@ -15,6 +15,13 @@ let Padded = struct { recs: [] struct { k: byte <> U; @span: 4; }; };
 let Counted = struct { m: byte; n: byte <> L; recs: [n] Two; rest: [] byte; };  let Two = [2] byte <> U;
 let Framed = struct { head: [3] byte; recs: [] Pair; tail: [2] byte; };
 let Ints = struct { v: [] varint; };
+let Kinds = struct {
+    kind: byte <> U; n: byte <> U;
+    if (kind == 0) { user: [4] byte <> U; } else if (kind == 1 && n > 2) { user: [2] byte <> U; extra: [2] byte <> L; } else { name: [4] byte <> string { @boundary: '.'; }; [1] byte; }
+    struct { in: byte <> U; deep: struct { a: byte; b: [2] byte <> L; }; };
+    tail: byte <> U;
+};
+let Chained = struct { a: byte <> U; if (a > 1) { b: byte <> U; } if (b > 1) { c: byte <> U; } };
 """
 
 
@@ -72,3 +79,12 @@ def test_nodes_are_those_of_the_decoder(session, expr):
     assert not python_in(got) and python_in(session.eval(expr).nodes(1))
     cols = [c for c in got.columns if c != "message"]
     assert plain(got.collect(), cols) == plain(session.eval(expr, "decoder").nodes().collect(), cols)
+
+
+@pytest.mark.parametrize("name,builtin", [("Kinds", True), ("Chained", False)])
+def test_conditional_structures_are_those_of_the_decoder(session, name, builtin):
+    got = session.eval(f"d <> X.{name}").df()
+    assert python_in(got) != builtin
+    want = session.eval(f"d <> X.{name}", "decoder").df()
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert plain(got.collect(), ["k", "value", "status"]) == plain(want.collect(), ["k", "value", "status"])
