@@ -28,15 +28,29 @@ def fixed_records(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.sparkContext.binaryRecords(path, width).map(lambda r: (bytearray(r),)).toDF("content binary")
 
 
+def work_base(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; where none is set, one in the warehouse, which is shared too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work"
+
+
 def work_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name for files that executors share: below spark.checkpoint.dir, or the warehouse where none is set.
-    It is deleted when the program ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work"
-    path = f"{base}/{kind}-{uuid.uuid4().hex}"
+    """A new folder name for files that executors share. `remove` deletes the folder, and so does the end of the program."""
+    path = f"{work_base(spark)}/{kind}-{uuid.uuid4().hex}"
+    keep_until_end(spark, path)
+    return path
+
+
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the program ends."""
     if not _made:
         atexit.register(_sweep)
     _made.append((spark, path))
-    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is. DataFrames that read it are no longer usable."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _made: list[tuple[SparkSession, str]] = []
@@ -44,9 +58,8 @@ _made: list[tuple[SparkSession, str]] = []
 
 def _sweep() -> None:
     for spark, path in _made:
-        if spark.sparkContext._jsc is not None:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if spark.sparkContext._jsc is not None:  # the session may have ended first
+            remove(spark, path)
 
 
 def with_extension(df: DataFrame, column: str = "path") -> DataFrame:
