@@ -409,9 +409,9 @@ def signature(h: np.ndarray) -> np.ndarray:
 class _Sets:
     """Signatures and sizes of shingle sets, for estimates of their Jaccard similarity."""
 
-    def __init__(self, sig, n):
-        self.sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, BINS)
-        self.full, self.n = np.packbits(self.sig > 0, axis=1).view(np.uint64), np.asarray(n, np.int64)
+    def __init__(self, sig: np.ndarray, n):
+        self.sig, self.n = sig, np.asarray(n, np.int64)
+        self.full = np.packbits(sig > 0, axis=1).view(np.uint64)
 
     def only(self, rows: np.ndarray) -> _Sets:
         out = object.__new__(_Sets)
@@ -468,26 +468,36 @@ def _sketches(df: DataFrame, words: int) -> DataFrame:
 def _search(rows: DataFrame, similarity: float) -> DataFrame:
     """Rows (file, k, n, sig, role) -> links (u, v). role 2: compared with all of its file; else 1, queries, with 0, members."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        k, role = g["k"].to_numpy(), g["role"].to_numpy()
+    def one(file: np.ndarray, k: np.ndarray, n: np.ndarray, role: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         whole = role[0] == 2
-        root = link_file(_Sets(g["sig"], g["n"]), similarity, None if whole else np.flatnonzero(role == 0), None if whole else np.flatnonzero(role == 1))
+        root = link_file(_Sets(sig, n), similarity, None if whole else np.flatnonzero(role == 0), None if whole else np.flatnonzero(role == 1))
         at = np.flatnonzero(k != k[root])
-        return pd.DataFrame({"u": k[at], "v": k[root[at]]})
+        return pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(k[root[at]])], ["u", "v"])
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            if not len(pdf):
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # pieces of one file
+        for b in batches:
+            if not len(b):
                 continue
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf["file"].iloc[-1]
-            done, held = pdf[pdf["file"] != last], pdf[pdf["file"] == last]
-            yield from (one(g) for _, g in done.groupby("file", sort=False))
-        if held is not None:
-            yield one(held)
+            cols = [c.to_numpy() for c in b.columns[:4]] + [_signatures(b.column(4))]
+            file = cols[0]
+            starts = np.flatnonzero(np.r_[True, file[1:] != file[:-1]])
+            for i, (a, z) in enumerate(zip(starts, [*starts[1:], len(file)], strict=True)):
+                if held and (i or held[0][0][0] != file[0]):
+                    yield one(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                held.append(tuple(c[a:z].copy() for c in cols))
+        if held:
+            yield one(*map(np.concatenate, zip(*held, strict=True)))
+
+    return rows.select("file", "k", "n", "role", "sig").repartition("file").sortWithinPartitions("file").mapInArrow(files, "u long, v long")
+
 
-    return rows.repartition("file").sortWithinPartitions("file").mapInPandas(files, "u long, v long")
+def _signatures(column: pa.Array) -> np.ndarray:
+    """A column of signatures as rows of bytes, without a copy."""
+    column = column.cast(pa.binary())
+    first = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * BINS, int(first)).reshape(-1, BINS)
 
 
 def _large_files(filed: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
@@ -502,16 +512,17 @@ def _large_files(filed: DataFrame, sizes: DataFrame, sets: DataFrame, similarity
         return None
     pivots = F.broadcast(pivots) if count <= BROADCAST_PIVOTS else pivots
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), PIECE):
-                b = whole.iloc[a : a + PIECE]
-                p = _Sets(b["psig"], b["pn"])
-                yield b[["anchor", "size", "k", "pk"]].assign(near=_Sets(b["sig"], b["n"]).near(p.sig, p.full, p.n, similarity))
+                b = whole.slice(a, PIECE)
+                mine, pivot = (_Sets(_signatures(b.column(f"{x}sig")), b.column(f"{x}n").to_numpy()) for x in ("", "p"))
+                near = mine.near(pivot.sig, pivot.full, pivot.n, similarity)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("anchor", "size", "k", "pk")), pa.array(near)], ["anchor", "size", "k", "pk", "near"])
 
     met = filed.join(pivots.select("anchor"), "anchor", "left_semi")
     judged = met.join(sets.select("k", "n", "sig"), "k").join(pivots, "anchor").select("anchor", "size", "k", "n", "sig", "pk", "pn", "psig")
-    judged = cut(judged.mapInPandas(compare, "anchor long, size long, k long, pk long, near boolean"))
+    judged = cut(judged.mapInArrow(compare, "anchor long, size long, k long, pk long, near boolean"))
     links = judged.filter(F.col("near") & (F.col("k") != F.col("pk"))).select(F.col("k").alias("u"), F.col("pk").alias("v"))
 
     asked = judged.filter(~F.col("near"))

@@ -200,7 +200,7 @@ def test_signatures_tell_similarity():
         h = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 2 * n, dtype=np.uint64)
         for shift, close in ((0, True), (n // 20, True), (n // 5, False), (n, False)):
             a, b = np.unique(h[:n]), np.unique(h[shift : n + shift])
-            sets = S._Sets([S.signature(a).tobytes(), S.signature(b).tobytes()], [len(a), len(b)])
+            sets = S._Sets(np.stack([S.signature(a), S.signature(b)]), [len(a), len(b)])
             assert sets.near(sets.sig[0], sets.full[0], sets.n[0], 0.8).tolist() == [True, close]
 
 
@@ -440,8 +440,8 @@ def test_toxicity_learns_and_generalises(spark, odd, none):
             w.insert(r.randrange(60), r.choice(cues) + r.choice(["", "", "ish", "est"]))
         texts.append(" ".join(w)), y.append(int(bad))
     y = np.array(y)
-    split = C.Words()
-    docs, langs = [split(t) for t in texts], list(map(C.Words.language, texts))
+    docs = C.pack(texts)
+    langs = list(map(C.language, docs))
     net = C.train(docs[:400], y[:400])
     C.calibrate(net, docs[400:500], langs[400:500], y[400:500])
     guess = C.Scorer(net).logits(docs[500:], langs[500:]) >= 0
@@ -450,8 +450,8 @@ def test_toxicity_learns_and_generalises(spark, odd, none):
     assert len(scores) == len(rows()) and all(0 <= x.score <= 1 for x in scores) and none.select(C.toxicity(none, net)).count() == 0
     for only in (0, 1):
         one = C.train(docs[:20], np.full(20, only))
-        assert ((C.Scorer(one).logits([split(""), split("x")], [C.LANGS, 0]) > 0) == bool(only)).all()
-    assert C.Words.language("the cat of the house") == 0 and C.Words.language("der hund und die katze") == 2 and C.Words.language("") == C.LANGS
+        assert ((C.Scorer(one).logits(C.pack(["", "x"]), [C.LANGS, 0]) > 0) == bool(only)).all()
+    assert list(map(C.language, C.pack(["the cat of the house", "der hund und die katze", "", "."]))) == [0, 2, C.LANGS, C.LANGS]
 
 
 def test_toxicity_never_sees_held_out_labels(spark, odd, none, monkeypatch):
@@ -483,13 +483,36 @@ def test_op7_digest_follows_the_contract(spark):
     assert all(r.held_out == (z.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in got)
 
 
-def test_pooling_equals_brute_force():
+def test_word_hashes(monkeypatch):
+    from bytetree.llm.common import word_hashes
+
+    texts = [t.encode() for t in ["", "one Two", "two", " \n", "é漢 one", "x" * 5000, "x" * 4999 + "y", prose(300, 1), ""]]
+    got = {}
+    for limit in (1 << 19, 10):
+        monkeypatch.setattr("bytetree.llm.common.HASH_BYTES", limit)
+        got[limit] = [(h, p, n) for _, h, p, n in word_hashes(texts, Q._LOWER, 3)]
+    one, many = ([np.concatenate(x) for x in zip(*got[k], strict=True)] for k in got)
+    assert all(np.array_equal(a, b) for a, b in zip(one, many, strict=True)) and len(got[10]) > 5
+    words = [w for t in texts for w in t.decode().lower().split()]
+    assert one[2].tolist() == [len(t.split()) for t in texts] and len(one[0]) == len(words)
+    by, pre = {}, {}
+    for w, h, p in zip(words, one[0].tolist(), one[1].tolist(), strict=True):
+        assert by.setdefault(w, h) == h and pre.setdefault(w.encode()[:3], p) == p
+    assert len(set(by.values())) == len(by) and len(set(pre.values())) == len(pre)
+    assert [n.tolist() for _, n in Q.terms_of(["", "a b", "b"])] == [[0, 4, 2]]
+
+
+def test_pooling_equals_brute_force(monkeypatch):
     r = np.random.default_rng(2)
     table = r.normal(size=(50, sum(C.WIDTHS) * C.FILTERS)).astype(np.float32)
     lens = [3, 0, 1, 7, 2]
     parts = r.integers(0, 50, (13, C.PARTS))
     got, where = C._pool(table, parts, lens)
     assert np.allclose(got, C._pool_max(table, parts, lens), atol=1e-5)
+    codes = r.integers(0, 50, 40, dtype=np.uint64) | r.integers(0, 50, 40, dtype=np.uint64) << np.uint64(16)
+    for step in (1, 2, 7, 40, 60):
+        monkeypatch.setattr(C, "STRETCH", step)
+        assert np.allclose(C._pool_long(table, codes), C._pool_max(table, C._parts(codes), [40])[0], atol=1e-5)
     a, v = 0, table[parts].sum(1)
     for d, n in enumerate(lens):
         c = 0
