@@ -2,55 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import keep_until_end, work_base, work_folder
+
 #: Sub-batches handed to numpy hold about this many bytes of text (one longer text is a sub-batch of its own).
 SLICE_BYTES = 2 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where none is set, one in the warehouse, which is shared too."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work")
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage there."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_base(spark))
+        keep_until_end(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared checkpoint folder. `remove` deletes the folder, and the end of the program does."""
-    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it is. DataFrames that read it are no longer usable."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
+shared_path = work_folder  #: a new folder below the same place
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -61,9 +35,70 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+HASH_BYTES = 1 << 19  #: of text whose words are hashed at once (one longer text is hashed alone)
+_POWERS = np.multiply.accumulate(np.full(1 << 10, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(texts: list[bytes], classes: bytes, prefix: int = 0) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of all words, by runs of texts: (which texts, 64-bit hash of each word, of its first `prefix` bytes, words of each text).
+
+    classes: what each byte becomes; a space separates words. All words of a run are hashed together, as sums of their bytes
+    times powers of a constant.
+    """
+    a = 0
+    while a < len(texts):
+        b, held = a, 0
+        while b < len(texts) and (b == a or held + len(texts[b]) < HASH_BYTES):
+            held += len(texts[b]) + 1
+            b += 1
+        if held > HASH_BYTES:
+            parts = [_hashed(x, prefix) for x in _pieces(texts[a].translate(classes))]
+            whole, part = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+            yield slice(a, b), whole, part, np.array([len(whole)])
+        else:
+            whole, part, starts = _hashed(b" ".join(texts[a:b]).translate(classes), prefix)
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts[a:b])])
+            yield slice(a, b), whole, part, np.diff(np.searchsorted(starts, begin))
+        a = b
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text, cut between words."""
+    a = 0
+    while len(text) - a > HASH_BYTES:
+        z = text.rfind(b" ", a + 1, a + HASH_BYTES)
+        z = z if z > 0 else text.find(b" ", a + HASH_BYTES)
+        if z < 0:
+            break
+        yield text[a:z]
+        a = z
+    yield text[a:]
+
+
+def _hashed(text: bytes, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its hash, its prefix's hash (none without a prefix), where it begins."""
+    buf = np.frombuffer(b" " + text + b" ", np.uint8)
+    word = buf != 32
+    change = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts, ends = change[::2], change[1::2]
+    none = np.empty(0, np.uint64)
+    if not len(starts):
+        return none, none, starts
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    cells = (buf[word].astype(np.uint64) + np.uint64(1)) * _POWERS[at & 1023]
+    part = _mixed(np.add.reduceat(np.where(at < prefix, cells, np.uint64(0)), first)) if prefix else none
+    return _mixed(np.add.reduceat(cells, first)), part, starts - 1
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch where its text column has gathered `limit` bytes."""
-    import numpy as np
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

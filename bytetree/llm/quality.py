@@ -8,7 +8,6 @@ document never counts for itself.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, by_text, cut, text_hash, text_slices
+from .common import BROADCAST_KEYS, by_text, cut, text_hash, text_slices, word_hashes
 
 SAMPLE_ROWS = 12_000  #: labelled rows, at most, that the document classifier is fitted on
 SAMPLE_TERMS = 1 << 24  #: words and word pairs, at most, of these rows: 4 bytes each on the driver
@@ -47,40 +46,30 @@ def features_of(text: str) -> np.ndarray:
     out[5] = len(set(low)) / len(low) ** 0.8
     out[6] = sum(map(eq, low, low[1:])) / len(w)
     out[7] = (len(lines) - len(set(lines))) / len(lines)
-    out[8] = sum(n > 30 for n in map(len, w)) / len(w)
+    out[8] = sum(map(LONG.__lt__, map(len, w))) / len(w)
     out[9] = np.log(len(w)) / 10
     return out
 
 
+LONG = 30  #: characters that a word may have before it counts as long
 _SYMBOLS, _MARKS = b"#*$%&|<>{}[]\\^~=_@+", b"!?.,;:-\"'()"
 
 
-class Terms:
-    """Buckets of a text's words and pairs of neighbouring words, case ignored, with a bounded memo."""
-
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        memo, out = self.memo, []
-        if len(memo) > 200_000:
-            memo.clear()
-        for w in text.lower().split():
-            k = memo.get(w)
-            if k is None:
-                k = memo[w] = zlib.crc32(w.encode())
-            out.append(k)
-        code = np.array(out, np.uint32)
-        pairs = (code[:-1] * np.uint32(2654435761)) ^ (code[1:] * np.uint32(40503) + np.uint32(1))
-        return np.concatenate([code, pairs]) >> np.uint32(16)
-
-
-def odds_table(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of each bucket, by how many texts of either class hold it; rare buckets count less."""
-    seen = np.zeros((2, BUCKETS))
-    for t, label in zip(terms, y, strict=True):
-        seen[int(label)] += np.bincount(np.unique(t), minlength=BUCKETS)
-    n = np.array([(y == 0).sum(), (y == 1).sum()])
+_LOWER = bytes(32 if c <= 32 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def terms_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, number of each text's buckets) by runs of texts: of all words, A-Z in lower case, and of the pairs of neighbours,
+    text by text; a text of n words has 2n buckets, the last a pair with nothing."""
+    for _, h, _, n in word_hashes([t.encode() for t in texts], _LOWER):
+        after = np.r_[h[1:], np.uint64(0)] if len(h) else h
+        after[(np.cumsum(n) - 1)[n > 0]] = 0
+        pairs = (h * np.uint64(0x9E3779B97F4A7C15) ^ after) * np.uint64(0x94D049BB133111EB)
+        yield (np.stack([h, pairs], 1).ravel() >> np.uint64(48)).astype(np.uint16), 2 * n
+
+
+def odds_table(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of each bucket: seen (2, BUCKETS) of the n (2) texts of either class hold it; rare buckets count less."""
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     return (np.clip(odds, -4, 4) * (seen.sum(0) / (seen.sum(0) + 3))).astype(np.float32)
 
@@ -99,16 +88,23 @@ class Model:
         fold = np.arange(len(y)) % FOLDS
         x = np.zeros((len(y), len(FEATURES) + 1))
         x[:, :-1] = style
+        seen, n = np.zeros((FOLDS, 2, BUCKETS), np.int32), np.zeros((FOLDS, 2), np.int64)
+        for t, f, label in zip(terms, fold, y.astype(int), strict=True):
+            seen[f, label, np.unique(t)] += 1
+            n[f, label] += 1
         for k in range(FOLDS):
-            rest = [t for t, f in zip(terms, fold, strict=True) if f != k]
-            table = odds_table(rest, y[fold != k])
+            table = odds_table(seen.sum(0) - seen[k], n.sum(0) - n[k])
             for i in np.flatnonzero(fold == k):
                 x[i, -1] = _mean(table, terms[i])
         self.weights, self.bias = fit(x, y)
-        self.table = odds_table(terms, y)
+        self.table = odds_table(seen.sum(0), n.sum(0))
 
-    def logit(self, style: np.ndarray, terms: np.ndarray) -> float:
-        return float(self.weights[:-1] @ style + self.weights[-1] * _mean(self.table, terms) + self.bias)
+    def logits(self, texts: list[str]) -> np.ndarray:
+        means = [np.empty(0)]
+        for t, n in terms_of(texts):
+            means.append(np.bincount(np.repeat(np.arange(len(n)), n), self.table[t], len(n)) / np.maximum(n, 1))
+        style = np.array([features_of(t) for t in texts]).reshape(-1, len(FEATURES))
+        return style @ self.weights[:-1] + self.weights[-1] * np.concatenate(means) + self.bias
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -150,19 +146,19 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     sample = sample.groupBy("lid").agg(F.min("t").alias("t"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
         for batch in batches:
             for b in text_slices(batch, 1):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 style = pa.array([features_of(t) for t in texts], pa.list_(pa.float64()))
-                found = pa.array([terms(t).astype(np.uint16).tobytes() for t in texts], pa.binary())
+                found = pa.array([x.tobytes() for t, n in terms_of(texts) for x in np.split(t, np.cumsum(n)[:-1])], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), style, found], ["lid", "label", "style", "terms"])
 
     made = cut(sample.mapInArrow(run, "lid long, label int, style array<double>, terms binary"))
     upto = F.sum(F.length("terms") / 2).over(Window.orderBy(F.xxhash64("lid"), "lid"))  # over the bounded sample
     got = made.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_TERMS).drop("upto").toArrow().sort_by("lid")
-    style = np.array(got["style"].to_pylist(), float).reshape(-1, len(FEATURES))
-    return Model(style, [np.frombuffer(t, np.uint16) for t in got["terms"].to_pylist()], got["label"].to_numpy().astype(float))
+    style = got["style"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    terms = [np.frombuffer(t.as_buffer(), np.uint16) for t in got["terms"]]  # views of the Arrow table
+    return Model(style, terms, got["label"].to_numpy().astype(float))
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -187,12 +183,11 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     src = df.select(F.col(id_col).cast("long").alias("id"), key.alias("h"), host.alias("host"), path.alias("path"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, model = Terms(), shipped.value
+        model = shipped.value
         for batch in batches:
             for b in text_slices(batch, 4):
-                texts = [t or "" for t in b.column(4).to_pylist()]
-                found = [model.logit(features_of(t), terms(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.float64())], ["id", "h", "host", "path", "e"])
+                found = model.logits([t or "" for t in b.column(4).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found)], ["id", "h", "host", "path", "e"])
 
     rows = cut(src.mapInArrow(run, "id long, h long, host string, path string, e double"))
     known = labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("label")).filter("lid is not null and label in (0, 1)")
