@@ -185,11 +185,13 @@ def _marked(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     n, parts = _blocks(benchmark, item_col, bench_col)
     hits = None
     for number, part in enumerate(parts, 1):
-        marker = lambda at, own, part=part: _marker(spark.sparkContext.broadcast(Index(part)), at, own)
+        index = spark.sparkContext.broadcast(Index(part))
+        del part
         if number == n:
             break
         found = df.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"), *_empty(["words", "spans", "items", "whole"]))
-        found = cut(found.mapInArrow(marker(2, 3), found.schema).filter("size(items) > 0").select("id", "h", "spans", "items", "whole"))
+        found = cut(found.mapInArrow(_marker(index, 2, 3), found.schema).filter("size(items) > 0").select("id", "h", "spans", "items", "whole"))
+        index.destroy()  # the finds are written
         hits = found if hits is None else hits.union(found)
     if hits is None:
         out = df.select("*", *_empty(names))
@@ -199,7 +201,7 @@ def _marked(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         met = by_text(df, cut(each), id_col, text_col, "left")
         got = dict(zip(("spans", "items", "whole"), met.columns[-3:], strict=True))
         out = met.select(*df.columns, F.lit(None).cast("bigint").alias(names[0]), *(F.col(got[k]).alias(x) for k, x in zip(got, names[1:], strict=True)))
-    return out.mapInArrow(marker(df.columns.index(text_col), len(df.columns)), out.schema)
+    return out.mapInArrow(_marker(index, df.columns.index(text_col), len(df.columns)), out.schema)
 
 
 def _empty(names: list[str]) -> list:
