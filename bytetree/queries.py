@@ -121,14 +121,23 @@ def decode_group(spark, d):
     return rows.groupBy(_text(F.col("item.p")).alias("p")).agg(F.count("*").alias("n"), F.sum("item.k").alias("s"))
 
 
-@query("struct_layout_offsets", "SELECT o_orderkey // 500 AS k, i AS ordinal, CAST(32 * i + f.off AS BIGINT) AS \"offset\", CAST(f.size AS BIGINT) AS size, f.name FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS i FROM orders), (VALUES ('k', 0, 8), ('c', 8, 4), ('p', 12, 16), ('d', 28, 4)) f(name, off, size)")
+@query(
+    "struct_layout_offsets",
+    'SELECT o_orderkey // 500 AS k, i AS ordinal, CAST(32 * i + f.off AS BIGINT) AS "offset", CAST(f.size AS BIGINT) AS size, f.name '
+    "FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS i FROM orders), (VALUES "
+    "('k', 0, 8), ('c', 8, 4), ('p', 12, 16), ('d', 28, 4)) f(name, off, size)",
+)
 def struct_layout_offsets(spark, d):
     n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
     recs = n.filter("depth = 1").select("k", F.col("node_id").alias("parent_id"), "ordinal")
     return n.filter("depth = 2").drop("ordinal").join(recs, ["k", "parent_id"]).select("k", "ordinal", "offset", "size", "name")
 
 
-@query("node_table_stats", "SELECT k, depth, CAST(n * m AS BIGINT) AS nodes, CAST(CASE WHEN depth = 2 THEN 4 ELSE NULL END AS BIGINT) AS members FROM (SELECT o_orderkey // 500 AS k, count(*) AS n FROM orders GROUP BY 1), (VALUES (2, 1), (3, 4)) f(depth, m)")
+@query(
+    "node_table_stats",
+    "SELECT k, depth, CAST(n * m AS BIGINT) AS nodes, CAST(CASE WHEN depth = 2 THEN 4 ELSE NULL END AS BIGINT) AS members FROM (SELECT "
+    "o_orderkey // 500 AS k, count(*) AS n FROM orders GROUP BY 1), (VALUES (2, 1), (3, 4)) f(depth, m)",
+)
 def node_table_stats(spark, d):
     n = _over(spark, _orders(spark, d), _ORDERS).eval("data <> Spec.Schema").nodes()
     return n.filter("depth >= 2").groupBy("k", "depth").agg(F.count("*").alias("nodes"), F.max(F.when(F.col("depth") == 2, F.col("n_items"))).alias("members"))
@@ -167,9 +176,20 @@ _value("array_subscript", "(data <> Spec.Schema).items[1].p", _LISTS + "SELECT k
 _value("array_negative", "(data <> Spec.Schema).items[-1].p", _LISTS + "SELECT k, p[-1] AS value, CAST(NULL AS VARCHAR) AS status FROM t")
 _value("array_len", "len((data <> Spec.Schema).items)", _LISTS + "SELECT k, len(p) AS value, CAST(NULL AS VARCHAR) AS status FROM t")
 _value("array_size", "sizeof (data <> Spec.Schema).items + sizeof(Spec.Item)", _LISTS + "SELECT k, 5 * len(p) + 5 AS value, CAST(NULL AS VARCHAR) AS status FROM t")
-_value("array_index", "index((data <> Spec.Schema).items, (data <> Spec.Schema).items[-1])", _LISTS + "SELECT k, len(p) - 1 AS value, CAST(NULL AS VARCHAR) AS status FROM t")
+_value(
+    "array_index",
+    "index((data <> Spec.Schema).items, (data <> Spec.Schema).items[-1])",
+    _LISTS +
+    "SELECT k, len(p) - 1 AS value, CAST(NULL AS VARCHAR) AS status FROM t",
+)
 _value("address_of", "&(data <> Spec.Schema).items[-1].p", _LISTS + "SELECT k, 5 * len(p) - 4 AS value, CAST(NULL AS VARCHAR) AS status FROM t")
-_value("last_inclusive", "len((data <> Spec.Until).items) * 100 + len((data <> Spec.Until).rest)", _LISTS + ", u AS (SELECT *, coalesce(list_position(n, 3), len(n)) AS m FROM t) SELECT k, 100 * m + 5 * (len(n) - m) AS value, CAST(NULL AS VARCHAR) AS status FROM u")
+_value(
+    "last_inclusive",
+    "len((data <> Spec.Until).items) * 100 + len((data <> Spec.Until).rest)",
+    _LISTS +
+    ", u AS (SELECT *, coalesce(list_position(n, 3), len(n)) AS m FROM t) SELECT k, 100 * m + 5 * (len(n) - m) AS value, CAST(NULL AS "
+    "VARCHAR) AS status FROM u",
+)
 
 
 def _sliced(name: str, expr: str, sql: str):
@@ -193,14 +213,22 @@ def counted_array(spark, d):
     return _over(spark, framed, "let Schema = struct { n: u16; keys: [n] u64; tail: [] byte; };").eval("(data <> Spec.Schema).keys").rows().select("k", "ordinal", "item")
 
 
-@query("varint_roundtrip", "SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ordinal, l_partkey * l_linenumber AS value FROM lineitem")
+@query(
+    "varint_roundtrip",
+    "SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ordinal, "
+    "l_partkey * l_linenumber AS value FROM lineitem",
+)
 def varint_roundtrip(spark, d):
     li = _table(spark, d, "lineitem")
     packed = E.blobs(li, F.col("l_orderkey"), ["l_linenumber", "l_partkey", "l_suppkey"], E.varint(F.col("l_partkey") * F.col("l_linenumber")))
     return _over(spark, packed, "let Schema = [] varint;").eval("data <> Spec.Schema").rows().select("k", "ordinal", F.col("item").alias("value"))
 
 
-@query("slack_greedy_mix", "SELECT c_custkey AS k, c_custkey % 997 // 100 AS huge, c_custkey % 997 % 100 // 30 AS big, c_custkey % 997 % 100 % 30 // 10 AS small, c_custkey % 997 % 100 % 30 % 10 AS rest FROM customer")
+@query(
+    "slack_greedy_mix",
+    "SELECT c_custkey AS k, c_custkey % 997 // 100 AS huge, c_custkey % 997 % 100 // 30 AS big, c_custkey % 997 % 100 % 30 // 10 AS "
+    "small, c_custkey % 997 % 100 % 30 % 10 AS rest FROM customer",
+)
 def slack_greedy_mix(spark, d):
     c = _table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.expr("cast(repeat('x', cast(c_custkey % 997 as int)) as binary)").alias("content"))
     spec = "let A = struct { [100] byte; };  let B = struct { [30] byte; };  let C = struct { [10] byte; };  let Schema = struct { huge: [] A; big: [] B; small: [] C; rest: [] byte; let ?all = len(huge) * 1000 * 1000 + len(big) * 10000 + len(small) * 100 + len(rest); };"
@@ -210,7 +238,11 @@ def slack_greedy_mix(spark, d):
 
 
 # ---------------------------------------------------------------- texts
-@query("string_boundary_split", "SELECT doc_id, i - 1 AS ordinal, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, CASE WHEN l[-1] = '' THEN len(l) ELSE len(l) + 1 END)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''))")
+@query(
+    "string_boundary_split",
+    "SELECT doc_id, i - 1 AS ordinal, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, CASE WHEN l[-1] = '' THEN len(l) ELSE len(l) "
+    "+ 1 END)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''))",
+)
 def string_boundary_split(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     return _over(spark, docs, "let Schema = [] Line;", "text").eval("data <> Spec.Schema").rows().select("doc_id", "ordinal", _text(F.col("item")).alias("line"))
@@ -283,19 +315,44 @@ def _keyed(name: str, expr: str, sql: str):
     return run
 
 
-_keyed("keyed_lookup", "&(data <> Spec.Schema)['the']", "SELECT doc_id, CAST(octet_length(encode(array_to_string(list_slice(l, 1, list_position(l, 'the') - 1), ' '))) + CASE WHEN list_position(l, 'the') > 1 THEN 1 ELSE 0 END AS BIGINT) AS value FROM w WHERE list_contains(l, 'the')")
-_keyed("keyed_twin", "index(data <> Spec.Schema, (data <> Spec.Schema)['the'{2}])", "SELECT doc_id, ordinal AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x WHERE word = 'the') WHERE twin = 2")
-_keyed("keyed_slice", "index(data <> Spec.Schema, (data <> Spec.Schema)[3..]['the'{1}])", "SELECT doc_id, ordinal AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x WHERE word = 'the' AND ordinal >= 3) WHERE twin = 1")
+_keyed(
+    "keyed_lookup",
+    "&(data <> Spec.Schema)['the']",
+    "SELECT doc_id, CAST(octet_length(encode(array_to_string(list_slice(l, 1, list_position(l, 'the') - 1), ' '))) + CASE WHEN "
+    "list_position(l, 'the') > 1 THEN 1 ELSE 0 END AS BIGINT) AS value FROM w WHERE list_contains(l, 'the')",
+)
+_keyed(
+    "keyed_twin",
+    "index(data <> Spec.Schema, (data <> Spec.Schema)['the'{2}])",
+    "SELECT doc_id, ordinal AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x WHERE "
+    "word = 'the') WHERE twin = 2",
+)
+_keyed(
+    "keyed_slice",
+    "index(data <> Spec.Schema, (data <> Spec.Schema)[3..]['the'{1}])",
+    "SELECT doc_id, ordinal AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x WHERE "
+    "word = 'the' AND ordinal >= 3) WHERE twin = 1",
+)
 
 
-@query("keyed_all_twins", _WORDLIST + "SELECT doc_id, ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS INT) AS twin FROM x WHERE word = 'and'")
+@query(
+    "keyed_all_twins",
+    _WORDLIST +
+    "SELECT doc_id, ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS INT) AS twin FROM x WHERE word = "
+    "'and'",
+)
 def keyed_all_twins(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     n = _over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1)
     return by_key(n.filter("depth = 1"), b"and", None).select("doc_id", "ordinal", "twin")
 
 
-@query("twins_by_window", _WORDLIST + "SELECT doc_id, max(twin) AS most FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, word ORDER BY ordinal) - 1 AS twin FROM x) GROUP BY 1")
+@query(
+    "twins_by_window",
+    _WORDLIST +
+    "SELECT doc_id, max(twin) AS most FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, word ORDER BY ordinal) - 1 AS twin "
+    "FROM x) GROUP BY 1",
+)
 def twins_by_window(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     rows = _over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").rows().select("doc_id", "ordinal", F.col("item.word").alias("word"))
@@ -325,7 +382,12 @@ def _events(spark, d) -> DataFrame:
     return _table(spark, d, "events").select("event_id", F.unhex(F.concat(E.u_be(kind, 1), body, E.u_be(kind + 5, 1))).alias("content"))
 
 
-@query("conditional_fields", "SELECT event_id, event_id % 3 + 1 AS kind, CASE event_id % 3 WHEN 0 THEN user_id WHEN 1 THEN user_id % 65536 END AS \"user\", CASE event_id % 3 WHEN 1 THEN (user_id + 1) % 65536 END AS extra, CASE event_id % 3 WHEN 2 THEN substr(event_type, 1, 4) END AS name, event_id % 3 + 6 AS tail FROM events")
+@query(
+    "conditional_fields",
+    'SELECT event_id, event_id % 3 + 1 AS kind, CASE event_id % 3 WHEN 0 THEN user_id WHEN 1 THEN user_id % 65536 END AS "user", CASE '
+    "event_id % 3 WHEN 1 THEN (user_id + 1) % 65536 END AS extra, CASE event_id % 3 WHEN 2 THEN substr(event_type, 1, 4) END AS name, "
+    "event_id % 3 + 6 AS tail FROM events",
+)
 def conditional_fields(spark, d):
     v = _over(spark, _events(spark, d), _EVENTS).eval("data <> Spec.Schema").df()
     return v.select("event_id", "value.kind", "value.user", "value.extra", _text(F.col("value.name")).alias("name"), "value.tail")
@@ -345,9 +407,21 @@ def _spans(name: str, spec: str, sql: str):
     return run
 
 
-_spans("span_padding", "let Schema = struct { a: struct { n: u8; x: [n] byte; @span: 8; }; b: [] byte; let ?out = sizeof a * 100 + len(b); };", "SELECT c_custkey AS k, CAST(812 AS BIGINT) AS value FROM customer")
-_spans("minspan_stop", "let Schema = struct { a: [] struct { x: [3] byte; @minspan: 7; }; rest: [] byte; let ?out = len(a) * 100 + len(rest); };", "SELECT c_custkey AS k, CAST(206 AS BIGINT) AS value FROM customer")
-_spans("maxspan_cap", "let Schema = struct { a: struct { n: u8; x: [] byte; @maxspan: 4 + n; }; rest: [] byte; let ?out = sizeof a * 100 + len(rest); };", "SELECT c_custkey AS k, (4 + c_custkey % 5) * 100 + 16 - c_custkey % 5 AS value FROM customer")
+_spans(
+    "span_padding",
+    "let Schema = struct { a: struct { n: u8; x: [n] byte; @span: 8; }; b: [] byte; let ?out = sizeof a * 100 + len(b); };",
+    "SELECT c_custkey AS k, CAST(812 AS BIGINT) AS value FROM customer",
+)
+_spans(
+    "minspan_stop",
+    "let Schema = struct { a: [] struct { x: [3] byte; @minspan: 7; }; rest: [] byte; let ?out = len(a) * 100 + len(rest); };",
+    "SELECT c_custkey AS k, CAST(206 AS BIGINT) AS value FROM customer",
+)
+_spans(
+    "maxspan_cap",
+    "let Schema = struct { a: struct { n: u8; x: [] byte; @maxspan: 4 + n; }; rest: [] byte; let ?out = sizeof a * 100 + len(rest); };",
+    "SELECT c_custkey AS k, (4 + c_custkey % 5) * 100 + 16 - c_custkey % 5 AS value FROM customer",
+)
 
 
 @query("anonymous_and_hidden", "SELECT c_custkey AS k, c_custkey AS a, c_nationkey AS b, c_custkey * 2 AS c, CAST(4 AS BIGINT) AS n FROM customer")
@@ -426,7 +500,11 @@ def udf_filter(spark, d):
     return s.eval("data <> shout").raw().select("doc_id", F.md5("raw").alias("value"))
 
 
-@query("error_status", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'data_error' WHEN 1 THEN 'no_item' WHEN 2 THEN 'out_of_bounds' END AS status, CASE event_id % 4 WHEN 3 THEN user_id END AS value FROM events")
+@query(
+    "error_status",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'data_error' WHEN 1 THEN 'no_item' WHEN 2 THEN 'out_of_bounds' END AS status, CASE "
+    "event_id % 4 WHEN 3 THEN user_id END AS value FROM events",
+)
 def error_status(spark, d):
     k = F.expr("event_id % 4")
     body = F.when(k == 0, F.lit("0178")).when(k == 1, F.lit("00")).when(k == 2, F.lit("FF31")).otherwise(F.concat(F.hex(F.char(F.length(F.col("user_id").cast("string")).cast("long"))), E.text(F.col("user_id").cast("string"))))
@@ -441,7 +519,12 @@ def dump_json(spark, d):
     return _over(spark, r, "let Schema = struct { id: u8; name: string; };").eval("data <> Spec.Schema").json().select("k", "json")
 
 
-@query("hex_dump", "SELECT r_regionkey AS k, CAST(16 * i AS BIGINT) AS \"offset\", trim(regexp_replace(hex(encode(substr(r_name, CAST(16 * i + 1 AS BIGINT), 16))), '(..)', '\\1 ', 'g')) AS hex, substr(r_name, CAST(16 * i + 1 AS BIGINT), 16) AS text FROM (SELECT *, unnest(range(0, (length(r_name) + 15) // 16)) AS i FROM region)")
+@query(
+    "hex_dump",
+    'SELECT r_regionkey AS k, CAST(16 * i AS BIGINT) AS "offset", trim(regexp_replace(hex(encode(substr(r_name, CAST(16 * i + 1 AS '
+    "BIGINT), 16))), '(..)', '\\1 ', 'g')) AS hex, substr(r_name, CAST(16 * i + 1 AS BIGINT), 16) AS text FROM (SELECT *, "
+    "unnest(range(0, (length(r_name) + 15) // 16)) AS i FROM region)",
+)
 def hex_dump(spark, d):
     r = _table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.encode("r_name", "UTF-8").alias("content"))
     return _over(spark, r, "let Schema = bytes;").eval("data <> Spec.Schema").hexdump().select("k", "offset", "hex", "text")
@@ -482,7 +565,11 @@ def cursor_end(spark, d):
     return goto_end(n.filter("depth = 0"), ["k"]).select("k", "ordinal", "offset")
 
 
-@query("cursor_position", "WITH t AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, CAST(15 AS BIGINT) AS \"offset\", n = 3 AS at_end FROM t WHERE n >= 3")
+@query(
+    "cursor_position",
+    'WITH t AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, CAST(15 AS BIGINT) AS "offset", n = 3 AS '
+    "at_end FROM t WHERE n >= 3",
+)
 def cursor_position(spark, d):
     n = _over(spark, _lines(spark, d), _ITEMS).eval("(data <> Spec.Schema).items").nodes()
     return positions(n, n.filter("depth = 0"), 3, ["k"]).select("k", "offset", "at_end")
@@ -496,14 +583,23 @@ def cursor_slice(spark, d):
     return inner.select("k", F.col("node_id").alias("parent_id"), "ordinal").join(below, ["k", "parent_id"]).select("k", "ordinal", "p")
 
 
-@query("cursor_items", "SELECT o_orderkey // 500 AS k, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS cust, min(o_orderpriority) AS low FROM orders GROUP BY 1")
+@query(
+    "cursor_items",
+    "SELECT o_orderkey // 500 AS k, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS cust, min(o_orderpriority) AS low "
+    "FROM orders GROUP BY 1",
+)
 def cursor_items(spark, d):
     n = _over(spark, _orders(spark, d), _ORDERS).eval("(data <> Spec.Schema).recs").nodes()
     each = iterate(n, n.filter("depth = 1"), ["k"], "items")
     return each.groupBy("k").agg(F.count_if(F.col("key") == "k").alias("n"), F.sum(F.when(F.col("key") == "c", F.col("value").cast("long"))).alias("cust"), F.min(F.when(F.col("key") == "p", F.col("value"))).alias("low"))
 
 
-@query("next_with_key", _WORDLIST + "SELECT doc_id, ordinal FROM (SELECT doc_id, ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x WHERE word = 'the') WHERE twin = 1")
+@query(
+    "next_with_key",
+    _WORDLIST +
+    "SELECT doc_id, ordinal FROM (SELECT doc_id, ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS twin FROM x "
+    "WHERE word = 'the') WHERE twin = 1",
+)
 def next_with_key_(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     n = _over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1)
@@ -518,7 +614,12 @@ def key_index(spark, d):
     return by_index(spark, path, b"of", None).select("doc_id", "ordinal", "twin")
 
 
-@query("offset_index", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents WHERE text <> ''), x AS (SELECT doc_id, l, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n FROM w) SELECT doc_id, CAST(octet_length(encode(array_to_string(list_slice(l, 1, 64), ' '))) + 1 AS BIGINT) AS \"offset\", 6 AS ahead FROM x WHERE n > 64")
+@query(
+    "offset_index",
+    "WITH w AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents WHERE text <> ''), x AS (SELECT doc_id, l, len(l) - CASE "
+    "WHEN l[-1] = '' THEN 1 ELSE 0 END AS n FROM w) SELECT doc_id, CAST(octet_length(encode(array_to_string(list_slice(l, 1, 64), ' "
+    "'))) + 1 AS BIGINT) AS \"offset\", 6 AS ahead FROM x WHERE n > 64",
+)
 def offset_index(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     path = work_folder(spark, "offset-index")
@@ -550,7 +651,13 @@ def file_paths_join(spark, d):
 
 
 # ---------------------------------------------------------------- more structures
-_value("last_capped", "len((data <> Spec.Capped).items)", _LISTS + ", u AS (SELECT *, list_position(n, 3) AS m FROM t) SELECT k, CASE WHEN m <= 5 THEN m WHEN len(n) >= 5 THEN 5 END AS value, CASE WHEN m <= 5 OR len(n) >= 5 THEN NULL ELSE 'out_of_bounds' END AS status FROM u")
+_value(
+    "last_capped",
+    "len((data <> Spec.Capped).items)",
+    _LISTS +
+    ", u AS (SELECT *, list_position(n, 3) AS m FROM t) SELECT k, CASE WHEN m <= 5 THEN m WHEN len(n) >= 5 THEN 5 END AS value, CASE "
+    "WHEN m <= 5 OR len(n) >= 5 THEN NULL ELSE 'out_of_bounds' END AS status FROM u",
+)
 
 
 @query("conditional_attributes", "SELECT c_custkey AS k, CAST(CASE WHEN c_custkey % 5 > 2 THEN 804 ELSE 1002 END AS BIGINT) AS value FROM customer")
@@ -569,7 +676,11 @@ def nested_conditions(spark, d):
     return _over(spark, e, spec).eval("data <> Spec.Schema").df().select("event_id", F.col("value.user").alias("value"))
 
 
-@query("self_index", "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)")
+@query(
+    "self_index",
+    "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, "
+    "l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)",
+)
 def self_index(spark, d):
     li = _table(spark, d, "lineitem")
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
@@ -587,7 +698,11 @@ def span_records(spark, d):
     return _over(spark, c, "let Rec = struct { id: u32; @span: 8; };  let Schema = [] Rec;").eval("data <> Spec.Schema").rows().select("k", "ordinal", F.col("item.id").alias("id"))
 
 
-@query("counted_variable", "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)")
+@query(
+    "counted_variable",
+    "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, "
+    "l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)",
+)
 def counted_variable(spark, d):
     li = _table(spark, d, "lineitem")
     rec = F.concat(E.u_be(F.col("l_linenumber"), 1), F.repeat(F.lit("7A"), F.col("l_linenumber").cast("int")))
@@ -605,14 +720,22 @@ def fixed_count(spark, d):
     return _over(spark, blobs, "let Schema = [3] u16;").eval("data <> Spec.Schema").rows().select("k", "ordinal", "item")
 
 
-@query("keyed_by_ordinal", "WITH t AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS o FROM orders GROUP BY 1) SELECT k, o[2] AS value FROM t WHERE len(o) > 1")
+@query(
+    "keyed_by_ordinal",
+    "WITH t AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS o FROM orders GROUP BY 1) SELECT k, o[2] AS value FROM t "
+    "WHERE len(o) > 1",
+)
 def keyed_by_ordinal(spark, d):
     packed = E.blobs(_table(spark, d, "orders"), F.col("o_custkey"), ["o_orderkey"], E.u_be(F.col("o_orderkey"), 8))
     s = _over(spark, packed, "let Schema = [] struct { id: u64; @key: id; };")
     return s.eval("(data <> Spec.Schema)[1].id", mode="DROPMALFORMED").df().filter("status is null").select("k", "value")
 
 
-@query("integer_native_varint_big", "SELECT l_orderkey AS k, CAST(sum(l_partkey) AS BIGINT) AS native, CAST(sum(l_partkey * l_linenumber) AS BIGINT) AS big FROM lineitem GROUP BY 1")
+@query(
+    "integer_native_varint_big",
+    "SELECT l_orderkey AS k, CAST(sum(l_partkey) AS BIGINT) AS native, CAST(sum(l_partkey * l_linenumber) AS BIGINT) AS big FROM "
+    "lineitem GROUP BY 1",
+)
 def integer_native_varint_big(spark, d):
     import sys
 
@@ -681,7 +804,11 @@ def gzip_files(spark, d):
     return v.select("doc_id", F.md5("blocks").alias("digest"), F.col("trailer.isize").alias("size"), _text(F.col("name")).alias("name"))
 
 
-@query("tar_files", "SELECT source || '-' || doc_id // 500 AS archive, 'doc' || doc_id AS name, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
+@query(
+    "tar_files",
+    "SELECT source || '-' || doc_id // 500 AS archive, 'doc' || doc_id AS name, md5(text) AS digest, CAST(octet_length(encode(text)) AS "
+    "BIGINT) AS size FROM documents",
+)
 def tar_files(spark, d):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         import io
@@ -748,7 +875,11 @@ def key_value_log_files(spark, d):
     return rows.select("k", _text(F.col("item.key.text")).alias("key"), _text(F.col("item.value.text")).alias("value"))
 
 
-@query("block_log_files", "SELECT o_orderkey // 500 AS k, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS ordinal, o_custkey AS cust FROM orders")
+@query(
+    "block_log_files",
+    "SELECT o_orderkey // 500 AS k, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS ordinal, o_custkey AS "
+    "cust FROM orders",
+)
 def block_log_files(spark, d):
     rec = F.concat(F.lit("00000000"), E.u_le(F.lit(8), 2), F.lit("01"), E.u_be(F.col("o_custkey"), 8))
     logs = E.blobs(_table(spark, d, "orders"), F.expr("o_orderkey div 500"), ["o_orderkey"], rec)
