@@ -655,8 +655,8 @@ _value(
     "last_capped",
     "len((data <> Spec.Capped).items)",
     _LISTS +
-    ", u AS (SELECT *, list_position(n, 3) AS m FROM t) SELECT k, CASE WHEN m <= 5 THEN m WHEN len(n) >= 5 THEN 5 END AS value, CASE "
-    "WHEN m <= 5 OR len(n) >= 5 THEN NULL ELSE 'out_of_bounds' END AS status FROM u",
+    ", u AS (SELECT *, list_position(n, 3) AS m FROM t) SELECT k, "
+    "CAST(CASE WHEN m <= 5 THEN m WHEN len(n) >= 5 THEN 5 END AS BIGINT) AS value, CASE WHEN m <= 5 OR len(n) >= 5 THEN NULL ELSE 'out_of_bounds' END AS status FROM u",
 )
 
 
@@ -678,7 +678,7 @@ def nested_conditions(spark, d):
 
 @query(
     "self_index",
-    "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, "
+    "SELECT k, i AS ordinal, CAST(n[i + 1] AS BIGINT) AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, "
     "l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)",
 )
 def self_index(spark, d):
@@ -700,7 +700,7 @@ def span_records(spark, d):
 
 @query(
     "counted_variable",
-    "SELECT k, i AS ordinal, n[i + 1] AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, "
+    "SELECT k, i AS ordinal, CAST(n[i + 1] AS BIGINT) AS size FROM (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, "
     "l_suppkey) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, len(n))) AS i)",
 )
 def counted_variable(spark, d):
@@ -749,7 +749,7 @@ def integer_native_varint_big(spark, d):
     return rows.groupBy("k").agg(F.sum("item.a").alias("native"), F.sum("item.b").alias("big"))
 
 
-@query("env_lookup", "SELECT r_regionkey AS k, r_regionkey * 7 AS value FROM region")
+@query("env_lookup", "SELECT r_regionkey AS k, CAST(r_regionkey * 7 AS BIGINT) AS value FROM region")
 def env_lookup(spark, d):
     r = _table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.unhex(E.u_be(F.col("r_regionkey"), 1)).alias("content"))
     s = _over(spark, r, "let Schema = struct { x: u8; };")
