@@ -473,6 +473,48 @@ def test_toxicity_never_sees_held_out_labels(spark, odd, none, monkeypatch):
         assert len(taught[0]) <= (2 if table is odd else 0)
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """Cues that only rows beyond the driver's part hold are learned, and thresholds are those of all calibration rows."""
+    monkeypatch.setattr(C, "TRAINING_WORDS", 3000)
+    monkeypatch.setattr(C, "PIECE_BYTES", 60_000)
+    key = spark.range(600).select("id", F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit((1 << 30) - 1)).alias("h")).orderBy("h").collect()
+    late = {r.id for r in key[200:]}
+    texts = [prose(60, 5000 + i) + (" scumbag" if i % 5 == 0 and i in late else " vile" if i % 5 == 0 else "") for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    started, every = [], []
+    plain_train, plain = C.train, C._calibrate_all
+    monkeypatch.setattr(C, "train", lambda t, y: started.append(len(t)) or plain_train(t, y))
+    monkeypatch.setattr(C, "_calibrate_all", lambda rows, net: every.append(rows.count()) or plain(rows, net))
+    net, again = C.fit_toxicity(docs, labels), C.fit_toxicity(docs.repartition(5), labels)
+    assert 0 < started[0] < 60 and np.array_equal(net.emb, again.emb) and np.array_equal(net.shift, again.shift)
+    fresh = C.pack([prose(60, 9000 + i) + (" scumbag" if i % 2 else "") for i in range(200)])
+    guess = C.Scorer(net).logits(fresh, list(map(C.language, fresh))) >= 0
+    assert (guess == np.arange(200) % 2).mean() > 0.97
+    held = [i for i in range(600) if zlib.crc32(b"c%d" % i) % C.FOLDS == 0]
+    assert every[0] == len(held)
+    words = C.pack([texts[i] for i in held])
+    shift = net.shift.copy()
+    net.shift[:] = 0
+    C.calibrate(net, words, list(map(C.language, words)), np.array([i % 5 == 0 for i in held], int))
+    assert np.allclose(net.shift, shift, atol=1 / C.LOGIT_BINS)
+
+
+def test_one_long_text_among_training_rows(monkeypatch):
+    """A batch is a lone text where that is long, and its pooling by stretches gives the places too."""
+    r = np.random.default_rng(4)
+    table = r.normal(size=(50, sum(C.WIDTHS) * C.FILTERS))
+    parts = r.integers(0, 50, (40, C.PARTS))
+    want, places = C._pool(table, parts, [40])
+    for step in (1, 3, 39, 40, 60):
+        monkeypatch.setattr(C, "STRETCH", step)
+        got, where = C._pool_whole(table, parts)
+        assert np.allclose(got, want, atol=1e-5) and np.array_equal(where, places)
+    monkeypatch.setattr(C, "STRETCH", 10)
+    docs = [parts[:n] for n in (4, 12, 5, 3, 0, 11)]
+    assert [b.tolist() for b in C._batches(np.arange(6), docs)] == [[0], [1], [2, 3, 4], [5]]
+
+
 def test_op7_digest_follows_the_contract(spark):
     import zlib as z
 
