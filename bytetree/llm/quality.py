@@ -13,13 +13,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, by_text, cut, text_hash, text_slices, word_hashes
 
 SAMPLE_ROWS = 12_000  #: labelled rows, at most, that the document classifier is fitted on
-SAMPLE_TERMS = 1 << 24  #: words and word pairs, at most, of these rows: 4 bytes each on the driver
 BROADCAST_SITES = 100_000  #: a site table of up to this many rows is broadcast, a larger one is joined by a shuffle
 PRIOR_STRENGTH = (1.0, 1e4)  #: bounds of a level's strength, in documents
 SHIFT = 2.0  #: a site moves a document's log-odds by this much at most, so clear texts decide for themselves
@@ -79,25 +78,11 @@ def _mean(table: np.ndarray, terms: np.ndarray) -> float:
 
 
 class Model:
-    """Log-odds for good quality of a text, at even prior odds."""
-
-    def __init__(self, style: np.ndarray, terms: list[np.ndarray], y: np.ndarray):
-        self.table, self.weights, self.bias = np.zeros(BUCKETS, np.float32), np.zeros(len(FEATURES) + 1), 0.0
-        if not len(y) or y.min() == y.max():
-            return
-        fold = np.arange(len(y)) % FOLDS
-        x = np.zeros((len(y), len(FEATURES) + 1))
-        x[:, :-1] = style
-        seen, n = np.zeros((FOLDS, 2, BUCKETS), np.int32), np.zeros((FOLDS, 2), np.int64)
-        for t, f, label in zip(terms, fold, y.astype(int), strict=True):
-            seen[f, label, np.unique(t)] += 1
-            n[f, label] += 1
-        for k in range(FOLDS):
-            table = odds_table(seen.sum(0) - seen[k], n.sum(0) - n[k])
-            for i in np.flatnonzero(fold == k):
-                x[i, -1] = _mean(table, terms[i])
-        self.weights, self.bias = fit(x, y)
-        self.table = odds_table(seen.sum(0), n.sum(0))
+    """Log-odds for good quality of a text, at even prior odds. table: of the buckets; weights: of the style, then of the table's mean."""
+
+    def __init__(self, table: np.ndarray | None = None, weights: np.ndarray | None = None, bias: float = 0.0):
+        self.table = np.zeros(BUCKETS, np.float32) if table is None else table
+        self.weights, self.bias = np.zeros(len(FEATURES) + 1) if weights is None else weights, bias
 
     def logits(self, texts: list[str]) -> np.ndarray:
         means = [np.empty(0)]
@@ -137,9 +122,10 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int =
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of at most SAMPLE_ROWS labelled rows with SAMPLE_TERMS terms together, in the order of a hash of the id.
+    """A model of at most SAMPLE_ROWS labelled rows, in the order of a hash of the id. Of a repeated id the smallest text counts.
 
-    Texts become numbers where they lie; only these come to the driver. Of a repeated id the smallest text counts.
+    Texts become numbers where they lie, and their buckets are counted and looked up there: the driver receives the counts of the
+    folds and len(FEATURES) + 1 numbers a row, however long the texts are.
     """
     ids = F.broadcast(labelled_sample(labels, id_col, label_col))
     sample = df.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("string").alias("t")).join(ids, "lid")
@@ -154,11 +140,42 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), style, found], ["lid", "label", "style", "terms"])
 
     made = cut(sample.mapInArrow(run, "lid long, label int, style array<double>, terms binary"))
-    upto = F.sum(F.length("terms") / 2).over(Window.orderBy(F.xxhash64("lid"), "lid"))  # over the bounded sample
-    got = made.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_TERMS).drop("upto").toArrow().sort_by("lid")
+    got = made.select("lid", "label").toArrow().sort_by("lid")
+    lids, y = got["lid"].to_numpy(), got["label"].to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return Model()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, FOLDS * BUCKETS), np.int32)
+        for b in batches:
+            for lid, label, t in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), strict=True):
+                seen[label, _fold(lids, lid) * BUCKETS + np.unique(np.frombuffer(t.as_buffer(), np.uint16)).astype(np.int64)] += 1
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])], ["cell", "bad", "good"])
+
+    cells = made.select("lid", "label", "terms").mapInArrow(count, "cell int, bad int, good int").groupBy("cell")
+    cells = cells.agg(F.sum("bad").cast("int").alias("bad"), F.sum("good").cast("int").alias("good")).toArrow()
+    seen = np.zeros((2, FOLDS * BUCKETS), np.int32)
+    seen[:, cells["cell"].to_numpy()] = cells["bad"].to_numpy(), cells["good"].to_numpy()
+    seen = seen.reshape(2, FOLDS, BUCKETS)
+    n = np.stack([np.bincount(np.arange(len(y))[y == label] % FOLDS, minlength=FOLDS) for label in (0, 1)])
+    shipped = df.sparkSession.sparkContext.broadcast([odds_table(seen.sum(1) - seen[:, k], n.sum(1) - n[:, k]) for k in range(FOLDS)])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = zip(b.column(0).to_numpy(), b.column(2), strict=True)
+            means = [_mean(shipped.value[_fold(lids, lid)], np.frombuffer(t.as_buffer(), np.uint16)) for lid, t in each]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(means, pa.float64())], ["lid", "style", "mean"])
+
+    got = made.select("lid", "style", "terms").mapInArrow(look_up, "lid long, style array<double>, mean double").toArrow().sort_by("lid")
     style = got["style"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
-    terms = [np.frombuffer(t.as_buffer(), np.uint16) for t in got["terms"]]  # views of the Arrow table
-    return Model(style, terms, got["label"].to_numpy().astype(float))
+    weights, bias = fit(np.c_[style, got["mean"].to_numpy()], y)
+    return Model(odds_table(seen.sum(1), n.sum(1)), weights, bias)
+
+
+def _fold(lids: np.ndarray, lid: int) -> int:
+    """The fold of a training row, by its place among the sorted ids."""
+    return int(np.searchsorted(lids, lid)) % FOLDS
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:

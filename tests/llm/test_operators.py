@@ -427,6 +427,28 @@ def test_posteriors_against_brute_force(spark):
         assert np.allclose([x.host_posterior, x.path_posterior, x.quality_score], [hp, pp, final], atol=1e-6)
 
 
+def test_quality_model_is_made_where_the_texts_lie(spark, monkeypatch):
+    """The model is that of a plain version, and what the driver receives does not grow with the texts."""
+    r = random.Random(3)
+    texts = [f"{prose(40, 7000 + i)} {'fine words' if i % 3 else '%% $$'} {r.random()}" for i in range(60)] + ["one two " * 100_000, "", None]
+    y = np.array([int(i % 3 > 0) for i in range(60)] + [1, 0, 0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    sent, plain = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sent.append(plain(df)) or sent[-1])
+    model = Q.fit_quality(docs, labels)
+    assert sent and max(t.nbytes for t in sent) < 100_000
+    found = [np.concatenate([t for t, _ in Q.terms_of([x or ""])]) for x in texts]
+    seen, n = np.zeros((Q.FOLDS, 2, Q.BUCKETS), np.int64), np.zeros((Q.FOLDS, 2), np.int64)
+    for i, t in enumerate(found):
+        seen[i % Q.FOLDS, y[i], np.unique(t)] += 1
+        n[i % Q.FOLDS, y[i]] += 1
+    tables = [Q.odds_table(seen.sum(0) - seen[k], n.sum(0) - n[k]) for k in range(Q.FOLDS)]
+    x = np.array([[*Q.features_of(t or ""), tables[i % Q.FOLDS][found[i]].mean() if len(found[i]) else 0] for i, t in enumerate(texts)])
+    weights, bias = Q.fit(x, y.astype(float))
+    assert np.array_equal(model.table, Q.odds_table(seen.sum(0), n.sum(0))) and np.allclose(model.weights, weights, atol=1e-5) and np.isclose(model.bias, bias, atol=1e-5)
+
+
 # ---------------------------------------------------------------- 7
 def test_toxicity_learns_and_generalises(spark, odd, none):
     r = random.Random(9)
