@@ -7,7 +7,8 @@
   searched exactly, in parallel, and a leaf that many ask is searched by as many tasks; bit flips or plain comparison
   are left for the leaves that no vantage point parts.
 * `near_groups` adds the connected components.
-* `similar_groups` is the wide-radius form for a Jaccard threshold (see there).
+* `similar_groups` is the form for a Jaccard threshold: what these links connect is compared by shingles, and files of smallest
+  hashes add the pairs that lie beyond the tree's radius (see there).
 """
 
 from __future__ import annotations
@@ -448,21 +449,24 @@ def link_file(sets: _Sets, similarity: float, members: np.ndarray | None = None,
 
 
 def _sketches(df: DataFrame, words: int) -> DataFrame:
-    """(id, h, k, n, sig, anchors): k names the set of distinct shingles, n is its size, anchors are its ANCHORS smallest hashes."""
+    """(id, h, k, n, sig, anchors, fp): k names the set of distinct shingles, n is its size, anchors are its ANCHORS smallest
+    hashes; fp is the SimHash of all shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for b in text_slices(batch, 2):
-                k, n, sig, anchors = [], [], [], []
+                k, n, sig, anchors, fp = [], [], [], [], []
                 for t in texts_of(b.column(2)):
-                    h = np.unique(shingle_hashes(t, words))
+                    every = shingle_hashes(t, words)
+                    fp.append(simhash(every))
+                    h = np.unique(every)
                     k.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)), n.append(len(h))
                     sig.append(signature(h).tobytes()), anchors.append(h[:ANCHORS].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["id", "h", "k", "n", "sig", "anchors"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(anchors, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "h", "k", "n", "sig", "anchors", "fp"])
 
-    return df.select("id", "h", "t").mapInArrow(run, "id long, h long, k long, n int, sig binary, anchors array<long>")
+    return df.select("id", "h", "t").mapInArrow(run, "id long, h long, k long, n int, sig binary, anchors array<long>, fp long")
 
 
 def _search(rows: DataFrame, similarity: float) -> DataFrame:
@@ -542,15 +546,24 @@ def _pieces(rows: str):
     return F.ceil(F.col(rows) / PIECE).cast("long")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _tree_files(rows: DataFrame, radius: int) -> DataFrame:
+    """(anchor, k): the sets of rows (k, fp), filed under what links of at most `radius` bits connect their fingerprints to."""
+    fps = cut(rows.select("fp").distinct())
+    roots = components(link_fingerprints(fps, radius))
+    met = rows.select("k", "fp").distinct().join(roots, F.col("fp") == F.col("node"), "left")
+    return met.select(F.coalesce("root", "fp").alias("anchor"), "k").distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(id, h, kept, rows): one row for each distinct (id, text); kept marks one of each group of similar texts, rows counts repeats.
 
-    At a Jaccard similarity of 0.8 about ten of 64 bits differ, a radius at which no triangle bound of a Hamming metric rules
-    out any shard (distances of unrelated texts stay within 32 +- 12). So this form files each distinct shingle set under its
-    twelve smallest hashes - two texts of similarity 0.8 miss all of them with probability 0.2**12 - and compares signatures of
-    BINS bytes inside each file. Their estimate is the exact similarity for texts of few shingles, but for bins that two
-    hashes share, and has a standard error of 0.013 at 0.8 for long ones. Files with the same rows are compared once, files
-    over GROUP rows as `_large_files` says.
+    Fingerprints of the shingles go through the vantage-point tree of `link_fingerprints`; the sets of a component make a file,
+    and inside it the similarity decides. At a Jaccard similarity of 0.8 about ten of 64 bits differ, a radius at which no
+    triangle bound of a Hamming metric rules out any shard (distances of unrelated texts stay within 32 +- 12). For the pairs
+    beyond `radius` each distinct shingle set is also filed under its twelve smallest hashes - two texts of similarity 0.8 miss
+    all of them with probability 0.2**12. Inside all files signatures of BINS bytes are compared. Their estimate is the exact
+    similarity for texts of few shingles, but for bins that two hashes share, and has a standard error of 0.013 at 0.8 for long
+    ones. Files with the same rows are compared once, files over GROUP rows as `_large_files` says.
 
     Texts with the same words are always one group. Empty, blank and null texts are one group. h: xxhash64 of the text.
     The kept row has the smallest (id, h), nulls last. An empty table gives no rows.
@@ -559,7 +572,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(_sketches(src, words))
     low = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("h"))).alias("low")
     sets = cut(rows.groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("anchors").alias("anchors"), low))
-    filed = sets.select(F.explode("anchors").alias("anchor"), "k")
+    filed = sets.select(F.explode("anchors").alias("anchor"), "k").union(cut(_tree_files(rows, radius)))
     pivot = F.min(F.struct(F.xxhash64("anchor", "k").alias("by"), F.col("k"))).alias("pivot")
     sizes = cut(filed.groupBy("anchor").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("k")).alias("who"), pivot).filter("size > 1"))
     small = sizes.filter(F.col("size") <= GROUP).groupBy("size", "who").agg(F.min("anchor").alias("anchor")).select("anchor")

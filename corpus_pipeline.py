@@ -30,7 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1 in its form for shingle similarity (five words, 0.8): one document of each group stays, that of the smallest id.
 
-    Texts without words are one group; of ties in the id the smallest text hash stays, nulls last.
+    SimHash and the vantage-point tree find what lies within two bits, files of smallest hashes what lies beyond; the similarity of
+    shingles decides both. Texts without words are one group; of ties in the id the smallest text hash stays, nulls last.
     """
     return drop_similar(docs, words=5, similarity=0.8)
 

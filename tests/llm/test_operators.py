@@ -174,6 +174,22 @@ def test_similar_groups_against_all_pairs(spark, monkeypatch, group):
     assert {i for i in got if got[i] and i in clear} == set(clear)
 
 
+def test_the_tree_files_sets_and_similarity_decides(spark, monkeypatch):
+    """Without other files, texts meet where the tree links their fingerprints, and only those similar by shingles are linked."""
+    base = [prose(400, 300 + i) for i in range(40)]
+    print_of = lambda t: np.uint64(S.simhash(S.shingle_hashes(t.encode(), 5)))
+    apart = lambda a, b: int(np.bitwise_count(print_of(a) ^ print_of(b)))
+    near = [next(t for j in itertools.count() if apart(t := f"{b} tail{j}", b) <= 2) for b in base[:20]]
+    line = "the same line over again "
+    alike = [line * 60 + prose(25, 800 + i) for i in range(4)]  # a common line decides their fingerprints, not their shingle sets
+    assert all(apart(alike[0], t) <= 2 for t in alike)
+    texts = base + near + alike
+    monkeypatch.setattr(S, "ANCHORS", 0)
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.id for r in got if r.kept} == set(range(40)) | set(range(60, 64))
+    assert len({r.id for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), radius=0).collect() if r.kept}) > 44
+
+
 def test_tails_on_one_frequent_passage(spark, monkeypatch):
     monkeypatch.setattr(S, "GROUP", 4)
     passage = prose(100, 41)
