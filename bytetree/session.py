@@ -268,15 +268,15 @@ class Items:
 
                 def together():
                     sizes = np.array([len(p) for _, p in pieces])
-                    kept = batch.take(pa.array(np.repeat([i for i, _ in pieces], sizes)))
+                    kept = _keys_at(batch, n, np.repeat([i for i, _ in pieces], sizes))
                     number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     own = [pa.array(number), whole.arrow([p for _, p in pieces], arrow.field(1).type), *(pa.nulls(len(number), f.type) for f in list(arrow)[2:])]
-                    return pa.RecordBatch.from_arrays([*kept.columns[:n], *own], [*batch.schema.names[:n], *arrow.names])
+                    return pa.RecordBatch.from_arrays([*kept, *own], [*batch.schema.names[:n], *arrow.names])
 
                 def flush():
-                    kept = batch.take(pa.array(at, pa.int64()))
+                    kept = _keys_at(batch, n, np.array(at, np.int64))
                     made_cols = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
-                    return pa.RecordBatch.from_arrays([*kept.columns[:n], *made_cols], [*batch.schema.names[:n], *arrow.names])
+                    return pa.RecordBatch.from_arrays([*kept, *made_cols], [*batch.schema.names[:n], *arrow.names])
 
                 for i, data in enumerate(batch.column(n)):
                     data = data.as_py() or b""
@@ -492,6 +492,12 @@ class Items:
             rows.unpersist()
 
 
+def _keys_at(batch: pa.RecordBatch, n: int, rows: np.ndarray) -> list[pa.Array]:
+    """The first n columns, at the rows; sources are never copied for their items."""
+    at = pa.array(rows)
+    return [c.take(at) for c in batch.columns[:n]]
+
+
 def _yaml(v) -> str:
     import yaml
 
