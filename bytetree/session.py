@@ -4,7 +4,8 @@ A `Session` binds names to schemas, to BINARY or STRING columns of DataFrames, a
 `Session.eval` compiles an expression on the driver and returns `Items`, from which DataFrames are made:
 
 * where the layout is constant, as built-in Column functions that Catalyst compiles (strategy "catalyst");
-* else by the lazy decoder in Arrow batches on the executors (strategy "decoder").
+* else by numpy for runs of sources at once, in Arrow batches on the executors (`decode.batches`);
+* else, and for sources on which anything fails, by the lazy decoder there, box by box (strategy "decoder").
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .decode.board import Board
+from .decode.batches import evaluate, own_key, words
 from .decode.box import Box, Data, Source, TypeVal
 from .decode.vectors import Records, Varints, reader
-from .errors import ExprError, NoDataError, NoItemError, PathError
+from .errors import ExprError, NoDataError, NoItemError, PathError, Unsupported
 from .lang.ast import Chain, Member, Name, Node, Slice
 from .lang.parser import parse_expression
 from .operators.nodes import NODE_SCHEMA, node_rows
@@ -36,6 +39,7 @@ BATCH_ROWS = 2000
 DRIVER_ROWS, DRIVER_BYTES = 10_000, 64 << 20  #: of values that come to the driver as Python or YAML
 FILES_BYTES = 8 << 20  #: of file contents that every task carries
 PIECE_ITEMS = 1 << 16  #: items decoded by numpy at once
+RUN_BYTES = 2 << 20  #: of sources evaluated at once
 SPREAD_BYTES = 64 << 20  #: a core's share of a scan that is left where it is
 
 
@@ -75,9 +79,9 @@ class Program:
         b.rt.check_names(node)
         return b, node, slot
 
-    def rows(self):
+    def rows(self, board: tuple[Board, Node, Data] | None = None):
         """A function from a row's bytes to the expression's value there."""
-        b, node, slot = self.board()
+        b, node, slot = board or self.board()
 
         def run(data: bytes):
             slot.source = Source(data)
@@ -248,18 +252,62 @@ class Items:
         ext = {k: (x.func, x.is_filter) for k, x in s.local.rt.externals.items()}
         return Program(self.expr, self.source or "__none", dict(s.local.specs), dict(s.local.exprs), ext, dict(s.constants), dict(s.files))
 
-    def _map(self, made: T.StructType, each, whole: Records | Varints | None = None) -> DataFrame:
-        """Keys and `made` columns: each(run, data) yields tuples for one source row, or a Piece with all its items for `whole` to decode."""
+    def _at_once(self, kind: T.DataType, items: bool) -> bool:
+        """Whether the expression is one that numpy evaluates for many sources at once."""
+        if self.strategy == "decoder" or self.source is None:
+            return False
+        try:
+            b, node, slot = self._program().board()
+            evaluate(b.rt, slot, node, pa.array([], pa.binary()), to_arrow_schema(T.StructType([T.StructField("v", kind)])).field(0).type, items, probe=True)
+        except (PathError, RecursionError):
+            return False
+        return True
+
+    def _map(self, made: T.StructType, each, whole: Records | Varints | None = None, at_once: bool = False) -> DataFrame:
+        """Keys and `made` columns: each(run, data) yields tuples for one source row, or a Piece with all its items for `whole` to decode.
+        at_once: numpy evaluates runs of sources, and what it leaves is given to `each`."""
         df, keys, column = self._input()
         program, mode = self._program(), self.mode
         src = _spread(df.select(*keys, F.col(column).cast("binary").alias(column)))
         out = T.StructType([*(src.schema[k] for k in keys), *made.fields])
         arrow = to_arrow_schema(T.StructType(made.fields))
         n = len(keys)
+        items = made.fieldNames()[0] == "ordinal"
+
+        def runs(board: tuple[Board, Node, Data], batch: pa.RecordBatch, left: list[int]) -> Iterator[pa.RecordBatch]:
+            """What numpy gives; the rows it gives nothing for are added to `left`."""
+            b, node, slot = board
+            kind = arrow.field(1 if items else 0).type
+            for first, sources in _runs(batch.column(n)):
+                try:
+                    got = evaluate(b.rt, slot, node, sources, kind, items)
+                except Unsupported:
+                    left += range(first, first + len(sources))
+                    continue
+                left += (got.left + first).tolist()
+                if mode == "FAILFAST":
+                    left += [first + i for i, _, _ in got.known]
+                rows, m = first + got.rows, len(got.rows)
+                nulls = [pa.nulls(m, pa.string())] * 2
+                yield from made_of(batch, rows, [*([pa.array(got.ordinal)] if items else []), got.values, *nulls])
+                if got.known and mode == "PERMISSIVE":
+                    rows = np.array([first + i for i, _, _ in got.known])
+                    yield from made_of(batch, rows, [pa.nulls(len(rows), kind), *(pa.array([k[j] for k in got.known], pa.string()) for j in (1, 2))])
+
+        def made_of(batch: pa.RecordBatch, rows: np.ndarray, own: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), PIECE_ITEMS):
+                kept = _keys_at(batch, n, rows[at : at + PIECE_ITEMS])
+                yield pa.RecordBatch.from_arrays([*kept, *(c.slice(at, PIECE_ITEMS) for c in own)], [*batch.schema.names[:n], *arrow.names])
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            run = program.rows()
+            board = program.board()
+            run = program.rows(board)
             for batch in batches:
+                which: list[int] | range = range(len(batch))
+                if at_once:
+                    which = []
+                    yield from runs(board, batch, which)
+                    which.sort()
                 at: list[int] = []
                 cols: list[list] = [[] for _ in made.fields]
                 held = 0
@@ -278,8 +326,8 @@ class Items:
                     made_cols = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
                     return pa.RecordBatch.from_arrays([*kept, *made_cols], [*batch.schema.names[:n], *arrow.names])
 
-                for i, data in enumerate(batch.column(n)):
-                    data = data.as_py() or b""
+                for i in which:
+                    data = batch.column(n)[i].as_py() or b""
                     try:
                         for row in each(run, data):
                             if isinstance(row, Piece):
@@ -330,7 +378,7 @@ class Items:
             v = run(data)
             yield (lazy(v, kind) if isinstance(v, Box) else fit(v, kind)), None, None
 
-        return self._map(made, each)
+        return self._map(made, each, at_once=self._at_once(kind, False))
 
     def rows(self) -> DataFrame:
         """Keys, ordinal and item: one row for each item of an array, in storage order within a source row.
@@ -366,7 +414,7 @@ class Items:
                     if mode == "PERMISSIVE":
                         yield i, None, e.status, str(e)
 
-        return self._map(made, each, whole)
+        return self._map(made, each, whole, whole is None and self._at_once(kind, True))
 
     def _vectors(self) -> Records | Varints | None:
         """How the items are read at once by numpy, if they are."""
@@ -424,12 +472,60 @@ class Items:
         nodes = K.node_columns(rt, layout, items, top, F.col(column), F.col("__i"), F.col("__n"), NODE_SCHEMA)
         return rows.select(*keys, F.explode(nodes).alias("__node")).select(*keys, "__node.*")
 
+    def _word_nodes(self) -> DataFrame | None:
+        """The node table down to depth 1 of items that end at a byte: numpy finds them for runs of sources, and Catalyst makes the
+        columns that are asked for."""
+        if self.delimiter() is None:
+            return None
+        rt = self.session.local.rt
+        edge, block = rt.delimited(rt.choices(self.node.right)[0][0])
+        keyed = own_key(block) is not None
+        if len(edge) != 1 or block is not None and block.attr("@key") and not keyed:
+            return None
+        df, keys, column = self._input()
+        program, n = self._program(), len(keys)
+        src = _spread(df.select(*keys, F.col(column).cast("binary").alias(column)))
+        found = T.StructType([T.StructField(k, t) for k, t in (("__i", T.LongType()), ("__n", T.LongType()), ("__twin", T.IntegerType()), ("__at", T.LongType()), ("__size", T.LongType()), ("__v", T.BinaryType()))])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b, node, slot = program.board()
+            stage = b.rt.choices(node.right)[0][0]
+            for batch in batches:
+                names = [*batch.schema.names[:n], *found.fieldNames()]
+                for first, sources in _runs(batch.column(n)):
+                    w = words(b.rt, slot, stage, sources)
+                    m = len(sources)
+                    tops = [pa.array(np.full(m, -1)), pa.array(w.counts), pa.nulls(m, pa.int32()), pa.array(np.zeros(m, np.int64)), pa.array(w.sizes), pa.nulls(m, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, m).columns[:n], *tops], names)
+                    items = [pa.array(w.ordinal), pa.nulls(len(w.own), pa.int64()), pa.array(w.twin), pa.array(w.offset), pa.array(w.size), w.text]
+                    for at in range(0, len(w.own), PIECE_ITEMS):
+                        kept = _keys_at(batch, n, first + w.own[at : at + PIECE_ITEMS])
+                        yield pa.RecordBatch.from_arrays([*kept, *(c.slice(at, PIECE_ITEMS) for c in items)], names)
+
+        rows = src.mapInArrow(work, T.StructType([*(src.schema[k] for k in keys), *found.fields]))
+        i, v, top = F.col("__i"), F.col("__v"), F.col("__i") < 0
+        none = F.lit(None)
+        text = F.decode(v, "ISO-8859-1")
+        simple = F.contains(text, F.lit('"')) & ~F.contains(text, F.lit("'"))
+        quoted = F.when(simple, F.concat(F.lit("'"), text, F.lit("'"))).otherwise(F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+        rank = F.when(F.col("__twin") > 0, F.concat(F.lit("{"), F.col("__twin").cast("string"), F.lit("}"))).otherwise("")
+        cols = {
+            "node_id": i + 1, "parent_id": F.when(~top, F.lit(0)), "depth": F.when(top, F.lit(0)).otherwise(F.lit(1)), "ordinal": F.greatest(i, F.lit(0).cast("long")),
+            "dpath": F.when(top, F.lit("")).otherwise(F.concat(F.lit("["), F.concat(quoted, rank) if keyed else i.cast("string"), F.lit("]"))),
+            "filter": F.when(top, F.lit("array")).otherwise(F.lit("struct" if block is not None else "string")), "key_bin": v if keyed else none, "twin": F.col("__twin") if keyed else none,
+            "space_id": F.lit(0), "offset": F.col("__at"), "size": F.col("__size") if block is not None else F.when(top, F.col("__size")).otherwise(F.length(v)),
+            "n_items": F.when(top, F.col("__n")).otherwise(F.lit(1) if block is not None else F.length(v)), "v_bin": none if block is not None else v,
+        }
+        return rows.select(*keys, *(cols.get(f.name, none).cast(f.dataType).alias(f.name) for f in NODE_SCHEMA.fields))
+
     def _whole(self, e: Chain) -> bool:
         return self.source is not None and isinstance(e.left, Name) and e.left.name == self.source
 
     def nodes(self, depth: int | None = None) -> DataFrame:
         """The node table: one row for each box below the expression, down to `depth` if one is given, in preorder (columns: NODE_SCHEMA)."""
         found = self._constant_nodes() if self.strategy != "decoder" and depth is None else None
+        if found is None and self.strategy != "decoder" and depth == 1:
+            found = self._word_nodes()
         if found is not None:
             return found
 
@@ -492,6 +588,17 @@ class Items:
             rows.unpersist()
 
 
+def _runs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, its sources) of runs of at most RUN_BYTES, or of one source that is larger."""
+    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        done = int(ends[first - 1]) if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, done + RUN_BYTES, side="right")))
+        yield first, column.slice(first, stop - first)
+        first = stop
+
+
 def _keys_at(batch: pa.RecordBatch, n: int, rows: np.ndarray) -> list[pa.Array]:
     """The first n columns, at the rows; sources are never copied for their items."""
     at = pa.array(rows)
