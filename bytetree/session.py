@@ -39,7 +39,7 @@ BATCH_ROWS = 2000
 DRIVER_ROWS, DRIVER_BYTES = 10_000, 64 << 20  #: of values that come to the driver as Python or YAML
 FILES_BYTES = 8 << 20  #: of file contents that every task carries
 PIECE_ITEMS = 1 << 16  #: items decoded by numpy at once
-RUN_BYTES = 2 << 20  #: of sources evaluated at once
+RUN_BYTES = 1 << 20  #: of sources evaluated at once
 SPREAD_BYTES = 64 << 20  #: a core's share of a scan that is left where it is
 
 
