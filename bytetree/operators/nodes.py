@@ -140,10 +140,11 @@ def with_next_twin(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_with_key(nodes: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
-    """The next item after each of the given nodes that has the node's own key."""
-    ids = [*keys, "node_id"]
-    to = with_next_twin(nodes, keys).join(of.select(*ids), ids, "left_semi").filter("next_twin is not null")
-    return nodes.join(to.select(*keys, "parent_id", F.col("next_twin").alias("ordinal")), [*keys, "parent_id", "ordinal"], "left_semi")
+    """The next item after each of the given nodes that has the node's own key: its twin of the next rank in the same array, so one
+    equi-join. Nodes that have none of the keys in `of` may be left out of `nodes` beforehand."""
+    key = F.struct("key_int", "key_bin").alias("__key")
+    after = of.filter("twin is not null").select(*keys, "parent_id", key, (F.col("twin") + 1).alias("twin"))
+    return nodes.select("*", key).join(after, [*keys, "parent_id", "__key", "twin"], "left_semi").select(*nodes.columns)
 
 
 def positions(nodes: DataFrame, of: DataFrame, n: int, keys: list[str]) -> DataFrame:

@@ -602,7 +602,7 @@ def cursor_items(spark, d):
 )
 def next_with_key_(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
-    n = _over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1)
+    n = by_key(_over(spark, docs, _WORDS, "text").eval("data <> Spec.Schema").nodes(1), b"the", None)
     return next_with_key(n, by_key(n, b"the"), ["doc_id"]).select("doc_id", "ordinal")
 
 
