@@ -1,7 +1,7 @@
 """Indexes of large keyed or variable-length arrays, written once as Parquet and read back with pruning.
 
-* A key index holds a row for each keyed item. It is dealt by a hash of the key and sorted by key, so that a lookup skips files
-  by their Bloom filters and row groups by their ranges.
+* A key index holds a row for each keyed item. It is dealt by a hash of the key, in pieces of like size, and sorted by key, so that
+  a lookup skips files by their Bloom filters and row groups by their ranges.
 * An offset index holds the place of every EVERY-th item, so that the n-th item of an array of variable items is found by
   decoding at most EVERY - 1 items before it.
 """
@@ -15,11 +15,15 @@ EVERY = 32
 
 
 def write_key_index(nodes: DataFrame, path: str, keys: list[str], files: int = 8) -> None:
-    """Write (keys, parent_id, ordinal, twin, offset, size, key) of the keyed items of a node table to `path`."""
+    """Write (keys, parent_id, ordinal, twin, offset, size, key) of the keyed items of a node table to `path`.
+
+    Small tables make few files, large ones at least `files`: adaptive execution deals a key that is in very many items to several.
+    """
     keyed = nodes.filter("key_bin is not null or key_int is not null")
     key = F.coalesce(F.col("key_bin"), F.encode(F.col("key_int").cast("string"), "UTF-8")).alias("key")
     rows = keyed.select(*keys, "parent_id", "ordinal", "twin", "offset", "size", key)
-    dealt = rows.repartition(files, F.xxhash64("key")).sortWithinPartitions("key", *keys, "ordinal")
+    parts = max(files, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.hint("rebalance", parts, "key").sortWithinPartitions("key", *keys, "ordinal")
     dealt.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled#key", "true").parquet(path)
 
 

@@ -112,3 +112,62 @@ def test_one_run_of_many_sources_asks_boxes_for_few(spark, monkeypatch):
     b, node, slot = s.eval("len((d <> X.Capped).items)")._program().board()
     got = evaluate(b.rt, slot, node, pa.array([b"\x01\x00\x00", b"\x2e\x00\x00"], pa.binary()), pa.int64(), False)
     assert not len(got.left) and got.known == [(0, "out_of_bounds", "3 bytes where 0 are left")] and got.values.to_pylist() == [1]
+
+
+def test_next_with_key_is_one_join_on_ranks(spark):
+    s = Session(spark)
+    s.add_spec("X", SPEC + "let Ints = [] struct { n: u8; @key: n; };")
+    s.add_data_source("d", spark.createDataFrame([(1, bytearray(b"a.b.a.a.b")), (2, bytearray(b"b.a"))], "k long, content binary"))
+    n = s.eval("d <> X.Words").nodes(1)
+    after = next_with_key(n, n.filter("ordinal in (0, 2) and depth = 1"), ["k"])
+    assert [(r.k, r.ordinal) for r in after.orderBy("k", "ordinal").collect()] == [(1, 2), (1, 3)] and after.columns == n.columns
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
+    n = s.eval("d <> X.Ints").nodes(1)
+    assert [(r.k, r.ordinal) for r in next_with_key(n, by_key(n, 46), ["k"]).collect()] == [(1, 3)]
+
+
+def test_key_index_deals_a_common_key_to_several_files(spark):
+    """One key in most items was one task and one file, however large."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        s = Session(spark)
+        s.add_spec("X", SPEC)
+        s.add_data_source("d", spark.range(0, 400, 1, 8).selectExpr("id k", "cast(concat(repeat('the.', 500), id) as binary) content"))
+        path = work_folder(spark, "key-index-test")
+        write_key_index(s.eval("d <> X.Words").nodes(1), path, ["k"])
+        per = [r[1] for r in by_index(spark, path, b"the", None).groupBy(F.input_file_name()).count().collect()]
+        assert sum(per) == 200_000 and len(per) > 3 and max(per) < 100_000
+        assert by_index(spark, path, b"7").select("k", "ordinal", "twin").collect() == [(7, 500, 0)]
+        write_offset_index(s.eval("d <> X.Words").nodes(1), path + "-o", ["k"])
+        assert nearest_mark(spark, path + "-o", 70).filter("k = 7").select("offset", "ahead").collect() == [(256, 6)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_run_leaves_nothing_to_the_collector(spark):
+    """Columns refer to each other; the arrays of many runs piled up until cycles were collected."""
+    import gc
+
+    import pyarrow as pa
+
+    from bytetree.decode.batches import Column, evaluate, words
+
+    s = Session(spark)
+    s.add_spec("X", SPEC)
+    s.add_data_source("d", spark.createDataFrame([(1, bytearray(b""))], "k long, content binary"))
+    b, node, slot = s.eval("d <> X.Words")._program().board()
+    gc.collect()
+    gc.disable()
+    try:
+        data = pa.array([b"a.b.a"], pa.binary())
+        words(b.rt, slot, b.rt.choices(node.right)[0][0], data)
+        evaluate(b.rt, slot, node, data, pa.struct([("word", pa.binary())]), True)
+        held = [c for c in gc.get_objects() if isinstance(c, Column) and c.__dict__]
+    finally:
+        gc.enable()
+    assert not held
