@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -783,8 +784,8 @@ def snappy_copies(spark, d):
 
 @query("gzip_files", "SELECT doc_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'doc' || doc_id AS name FROM documents")
 def gzip_files(spark, d):
-    @F.pandas_udf("binary")
-    def packed(name: pd.Series, t: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def packed(name: pa.Array, t: pa.Array) -> pa.Array:
         import gzip
         import io
 
@@ -794,7 +795,7 @@ def gzip_files(spark, d):
                 g.write(x.encode())
             return f.getvalue()
 
-        return pd.Series([one(n, x) for n, x in zip(name, t, strict=True)], dtype=object)
+        return pa.array((one(n.as_py(), x.as_py()) for n, x in zip(name, t, strict=True)), pa.binary())
 
     docs = _table(spark, d, "documents").select("doc_id", packed(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), "text").alias("content"))
     s = Session(spark)
